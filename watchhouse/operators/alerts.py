@@ -50,36 +50,32 @@ def merge_triggers(alerts: DataFrame, triggers: DataFrame, as_of, mode: str = "a
     Closed and acknowledged alerts never match.  ``mode="accumulate"`` adds the trigger counts,
     ``mode="replace"`` overwrites them (for windows that are evaluated repeatedly).
     """
-    matched = match_open(combine_triggers(triggers), alerts)
-    return _updated(alerts, matched, as_of, mode).unionByName(_inserted(matched, as_of))
-
-
-def _updated(alerts: DataFrame, matched: DataFrame, as_of, mode: str) -> DataFrame:
-    # one row per alert: a keyless and a keyed trigger may meet in the same alert
-    last = F.max(F.struct("last_seen", "description", F.to_json("extra").alias("extra")))
-    updates = matched.filter("open_id IS NOT NULL").groupBy(F.col("open_id").alias("id")).agg(
-        F.sum("event_count").alias("_n"), last.alias("_last")
-    )
-    joined = alerts.join(updates, "id", "left")
-    hit = F.col("_last").isNotNull()
-    base = F.col("event_count") if mode == "accumulate" else F.lit(0)
-    extra = F.from_json(F.col("_last.extra"), "map<string,string>")
-    changed = {
-        "event_count": F.when(hit, base + F.col("_n")).otherwise(F.col("event_count")),
-        "last_seen": F.when(hit, F.col("_last.last_seen")).otherwise(F.col("last_seen")),
-        "description": F.when(hit, F.col("_last.description")).otherwise(F.col("description")),
-        "updated_at": F.when(hit, c.as_timestamp(as_of)).otherwise(F.col("updated_at")),
-        "extra": F.when(hit & (F.size(extra) > 0), extra).otherwise(F.col("extra")),
-    }
-    return _shape(joined, changed)
-
-
-def _inserted(matched: DataFrame, as_of) -> DataFrame:
     now = c.as_timestamp(as_of)
     new_id = F.sha2(F.concat_ws("|", "rule_id", F.coalesce("group_key", F.lit("")), now.cast("string")), 256)
-    return _shape(matched.filter("open_id IS NULL"), {
-        "id": new_id, "status": F.lit("open"), "assigned_to": F.lit(None), "created_at": now, "updated_at": now,
-    })
+    matched = match_open(combine_triggers(triggers), alerts).withColumn("id", F.coalesce("open_id", new_id))
+    # one row per alert: a keyless and a keyed trigger may meet in the same one
+    latest = F.max(F.struct("last_seen", "description", "title", "severity", "src_ip", "source_host", "rule_id",
+                            "group_key", F.to_json("extra").alias("extra")))
+    incoming = matched.groupBy("id").agg(
+        F.sum("event_count").alias("_n"), F.min("first_seen").alias("_first"), latest.alias("_new"))
+
+    joined = alerts.withColumn("_old", F.lit(True)).join(incoming, "id", "full")
+    old, hit = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    before = F.when(old, F.col("event_count")).otherwise(F.lit(0)) if mode == "accumulate" else F.lit(0)
+    new_extra = F.from_json(F.col("_new.extra"), "map<string,string>")
+    values = {name: F.when(old, F.col(name)).otherwise(F.col(f"_new.{name}"))
+              for name in ("rule_id", "severity", "title", "src_ip", "source_host", "group_key")}
+    values |= {
+        "status": F.when(old, F.col("status")).otherwise("open"),
+        "first_seen": F.when(old, F.col("first_seen")).otherwise(F.col("_first")),
+        "last_seen": F.when(hit, F.col("_new.last_seen")).otherwise(F.col("last_seen")),
+        "description": F.when(hit, F.col("_new.description")).otherwise(F.col("description")),
+        "event_count": F.when(hit, before + F.col("_n")).otherwise(F.col("event_count")),
+        "extra": F.when(old & (~hit | (F.size(new_extra) == 0)), F.col("extra")).otherwise(new_extra),
+        "created_at": F.when(old, F.col("created_at")).otherwise(now),
+        "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
+    }
+    return _shape(joined, values)
 
 
 def _shape(df: DataFrame, values: dict[str, Column]) -> DataFrame:

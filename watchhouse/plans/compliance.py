@@ -92,12 +92,18 @@ def cardholder_events(events: DataFrame, time_from, time_to) -> DataFrame:
     return tagged.agg(F.count(F.lit(1)).alias("cardholder_env_events"))
 
 
-def calendar(spark, time_from, time_to) -> DataFrame:
-    """Dates from + i days for every whole day of the span.  A last, broken day is not included."""
+def calendar_dates(time_from, time_to) -> Column:
+    """Array of the dates from + i days, i up to the whole days of the span.
+
+    The date of a last, broken day is not included.
+    """
     start, end = c.as_timestamp(time_from), c.as_timestamp(time_to)
     days = F.call_function("div", F.unix_micros(end) - F.unix_micros(start), F.lit(86_400_000_000).cast("bigint"))
-    dates = F.transform(F.sequence(F.lit(0), days.cast("int")), lambda i: F.date_add(start.cast("date"), i))
-    return spark.range(1).select(F.explode(dates).alias("day"))
+    return F.transform(F.sequence(F.lit(0), days.cast("int")), lambda i: F.date_add(start.cast("date"), i))
+
+
+def calendar(spark, time_from, time_to) -> DataFrame:
+    return spark.range(1).select(F.explode(calendar_dates(time_from, time_to)).alias("day"))
 
 
 def daily_gaps(events: DataFrame, time_from, time_to) -> DataFrame:
@@ -123,13 +129,10 @@ def report(events: DataFrame, framework: str, time_from, time_to, as_of) -> Data
         F.count_if(privilege_escalation()).alias("privileged"), F.count_if(audit_clear()).alias("clears"),
         F.count_if(tagged).alias("card"), F.max("received_at").alias("last"),
     )
-    cells = [
-        F.struct(F.lit("all").alias("section"), F.lit("").alias("item")),
-        F.struct(F.lit("category"), F.col("category")),
-        F.struct(F.lit("host"), F.col("source_host")),
-    ]
+    keys = {"all": F.lit(""), "category": F.col("category"), "host": F.col("source_host")}
     if pci:
-        cells.append(F.struct(F.lit("day"), F.col("day").cast("string")))
+        keys["day"] = F.col("day").cast("string")
+    cells = [F.struct(F.lit(name).alias("section"), key.alias("item")) for name, key in keys.items()]
     sums = ("total", "failed", "privileged", "clears", "card")
     rolled = cube.select("*", F.inline(F.array(*cells))).filter("item IS NOT NULL").groupBy("section", "item").agg(
         *[F.sum(n).alias(n) for n in sums], F.max("last").alias("last"),

@@ -76,12 +76,11 @@ def summary(events: DataFrame, alerts: DataFrame, rules: DataFrame, as_of, hours
     """
     cube = _recent(events, as_of, hours).groupBy("source_host", "log_level", "category").agg(
         F.count(F.lit(1)).alias("n"))
-    cells = F.array(
-        F.struct(F.lit("total_events").alias("section"), F.lit("").alias("item")),
-        F.struct(F.lit("by_level"), F.col("log_level")),
-        F.struct(F.lit("by_category"), F.col("category")),
-        F.struct(F.lit("host"), F.col("source_host")),
-    )
+    cells = F.array(*[
+        F.struct(F.lit(section).alias("section"), item.alias("item"))
+        for section, item in (("total_events", F.lit("")), ("by_level", F.col("log_level")),
+                              ("by_category", F.col("category")), ("host", F.col("source_host")))
+    ])
     counted = cube.select("n", F.inline(cells)).filter("item IS NOT NULL").groupBy("section", "item").agg(
         F.sum("n").alias("n"))
     hosts = F.col("section") == "host"

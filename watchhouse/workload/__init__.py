@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("rules",)
+_MODULES = ("rules", "reports", "maintenance")
 
 
 def queries() -> dict:
