@@ -63,8 +63,8 @@ def stamp_id() -> Column:
     return F.sha2(F.concat_ws("|", "source_ip", F.col("received_at").cast("string"), "record_id", "raw"), 256)
 
 
-def parse_lines(lines: DataFrame, ingest_node: str = "worker-01") -> DataFrame:
-    """Parse lines whose ``line_type`` is known.
+def parse_lines(lines: DataFrame, ingest_node: str = "worker-01", formats: tuple[str, ...] = tuple(FORMATS)) -> DataFrame:
+    """Parse lines whose ``line_type`` is known; types outside ``formats`` become problems.
 
     Returns the event columns, ``is_pci_env`` and ``problem`` (NULL for good rows).  All four
     formats are handled in the same pass; each stage column is NULL for lines of another format.
@@ -75,10 +75,11 @@ def parse_lines(lines: DataFrame, ingest_node: str = "worker-01") -> DataFrame:
         lines = lines.withColumn("is_pci_env", F.lit(False))
     kind = F.when(F.col("line_type") == "cisco_ios", "cisco_asa").otherwise(F.col("line_type"))
     df = lines.withColumn("_kind", kind)
-    for name, module in FORMATS.items():
+    modules = {name: FORMATS[name] for name in formats}
+    for name, module in modules.items():
         df = module.prepare(df, F.col("_kind") == name)
 
-    parsed = {name: module.fields() for name, module in FORMATS.items()}
+    parsed = {name: module.fields() for name, module in modules.items()}
     constant = {
         "id": stamp_id(),
         "received_at": F.col("received_at"),
@@ -101,17 +102,17 @@ def parse_lines(lines: DataFrame, ingest_node: str = "worker-01") -> DataFrame:
             chain = F.coalesce(chain, c.text_array())
         return chain.cast(field.dataType).alias(field.name)
 
-    problem = (
-        F.when(F.col("_kind") == "windows", normalize_windows.problem())
-        .when(F.col("_kind") == "linux", normalize_linux.problem())
-        .when(~F.col("_kind").isin(*FORMATS), "unknown source type")
-    )
+    problem = F.when(~F.col("_kind").isin(*formats), "unknown source type")
+    for name, module in modules.items():
+        if hasattr(module, "problem"):
+            problem = problem.when(F.col("_kind") == name, module.problem())
     return df.select(*[column(f) for f in EVENTS.fields], "source_ip", "is_pci_env", problem.alias("problem"))
 
 
 def parse_as(lines: DataFrame, source_type: str, ingest_node: str = "worker-01") -> DataFrame:
     """Parse lines that all come from one source type."""
-    return parse_lines(lines.withColumn("line_type", F.lit(source_type)), ingest_node)
+    formats = ("cisco_asa",) if source_type == "cisco_ios" else (source_type,)
+    return parse_lines(lines.withColumn("line_type", F.lit(source_type)), ingest_node, formats)
 
 
 def normalize(lines: DataFrame, sources: DataFrame, ingest_node: str = "worker-01") -> DataFrame:

@@ -23,7 +23,7 @@ def prepare(df: DataFrame, applies: Column) -> DataFrame:
     return df.withColumn(IPS, F.when(F.col(CODE).isNotNull(), found))
 
 
-def _endpoints() -> tuple[Column, Column]:
+def endpoints() -> tuple[Column, Column]:
     """(source, destination) ``ip/port`` texts: last and first of the line; a single one is the source."""
     ips = F.col(IPS)
     count = F.size(ips)
@@ -40,7 +40,7 @@ def fields() -> dict[str, Column]:
         pairs += [F.lit(k), v]
     info = F.try_element_at(F.create_map(*pairs), code)
     text = F.coalesce(info["text"], F.concat(F.lit("ASA-"), sev, F.lit("-"), code))
-    src, dst = _endpoints()
+    src, dst = endpoints()
     stamp = c.group_of(raw, fv.CISCO_HEADER, 2)
     untagged = F.coalesce(c.blank_to_null(c.strip(rest)), raw)
     return {

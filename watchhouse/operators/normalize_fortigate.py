@@ -13,7 +13,7 @@ KV = "_fg"
 
 def prepare(df: DataFrame, applies: Column) -> DataFrame:
     """Parse the pairs of each applicable line once."""
-    return df.withColumn(KV, F.when(applies, c.key_values(F.col("raw"))))
+    return c.with_key_values(df, KV, F.col("raw"), applies)
 
 
 def _field(name: str) -> Column:

@@ -17,6 +17,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the parsers are wide expressions: above this bytecode size the JVM would interpret one fused
+    # method, so Spark is told to generate smaller, compilable ones instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # State store needed by the keyed streaming operators (rate limit, sequence).

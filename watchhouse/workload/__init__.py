@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("rules", "reports", "maintenance")
+_MODULES = ("rules", "reports", "maintenance", "normalise")
 
 
 def queries() -> dict:

@@ -191,7 +191,7 @@ GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem
 
 
 def _render(name: str, dialect: dict[str, str]) -> str:
-    text = TEMPLATES[name].replace("{{", "{").replace("}}", "}")
+    text = TEMPLATES[name]
     for key, value in dialect.items():
         text = text.replace(f"[{key}]", value)
     return text
