@@ -63,10 +63,11 @@ def stamp_id() -> Column:
     return F.sha2(F.concat_ws("|", "source_ip", F.col("received_at").cast("string"), "record_id", "raw"), 256)
 
 
-def parse_lines(lines: DataFrame, ingest_node: str = "worker-01", formats: tuple[str, ...] = tuple(FORMATS)) -> DataFrame:
+def parse_lines(lines: DataFrame, ingest_node: str = "worker-01", formats: tuple[str, ...] = tuple(FORMATS),
+                keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse lines whose ``line_type`` is known; types outside ``formats`` become problems.
 
-    Returns the event columns, ``is_pci_env`` and ``problem`` (NULL for good rows).  All four
+    Returns the event columns, the input columns named in ``keep``, ``source_ip``, ``is_pci_env`` and ``problem`` (NULL for good rows).  All four
     formats are handled in the same pass; each stage column is NULL for lines of another format.
     """
     if "record_id" not in lines.columns:
@@ -106,13 +107,13 @@ def parse_lines(lines: DataFrame, ingest_node: str = "worker-01", formats: tuple
     for name, module in modules.items():
         if hasattr(module, "problem"):
             problem = problem.when(F.col("_kind") == name, module.problem())
-    return df.select(*[column(f) for f in EVENTS.fields], "source_ip", "is_pci_env", problem.alias("problem"))
+    return df.select(*[column(f) for f in EVENTS.fields], *keep, "source_ip", "is_pci_env", problem.alias("problem"))
 
 
-def parse_as(lines: DataFrame, source_type: str, ingest_node: str = "worker-01") -> DataFrame:
+def parse_as(lines: DataFrame, source_type: str, ingest_node: str = "worker-01", keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse lines that all come from one source type."""
     formats = ("cisco_asa",) if source_type == "cisco_ios" else (source_type,)
-    return parse_lines(lines.withColumn("line_type", F.lit(source_type)), ingest_node, formats)
+    return parse_lines(lines.withColumn("line_type", F.lit(source_type)), ingest_node, formats, keep)
 
 
 def normalize(lines: DataFrame, sources: DataFrame, ingest_node: str = "worker-01") -> DataFrame:

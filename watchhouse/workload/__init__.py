@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("rules", "reports", "maintenance", "normalise")
+_MODULES = ("rules", "reports", "maintenance", "normalise", "files")
 
 
 def queries() -> dict:

@@ -25,9 +25,7 @@ def _id(df: DataFrame, *columns) -> DataFrame:
 
 def _parsed(lines: DataFrame, kind: str, *columns: str) -> DataFrame:
     """Parse and return the named fields next to the line's record id."""
-    parsed = normalize.parse_as(lines, kind)
-    keyed = lines.select(F.col("record_id"), normalize.stamp_id().alias("id"))
-    return parsed.join(keyed, "id").select(F.col("record_id"), *columns)
+    return normalize.parse_as(lines, kind, keep=("record_id",)).select("record_id", *columns)
 
 
 # auditd texts contain "type=", which is taken for the firewall format
@@ -232,10 +230,8 @@ def norm_time_formats(t: Tables):
 
 @query(f"""{with_tables('fortigate_lines')} SELECT record_id, 'worker-01' AS ingest_node, sha256(raw) AS raw_hash, length(raw) = length(raw) AS kept FROM fortigate_lines""")
 def norm_stamp(t: Tables):
-    lines = t.fortigate_lines
-    parsed = normalize.parse_as(lines, "fortigate")
-    keyed = lines.select("record_id", F.col("raw"), normalize.stamp_id().alias("id"))
-    return parsed.join(keyed, "id").select("record_id", "ingest_node", "raw_hash", (F.col("raw") == F.col("raw_message")).alias("kept"))
+    parsed = normalize.parse_as(t.fortigate_lines, "fortigate", keep=("record_id", "raw"))
+    return parsed.select("record_id", "ingest_node", "raw_hash", (F.col("raw") == F.col("raw_message")).alias("kept"))
 
 
 # --- projections -----------------------------------------------------------------------------------------------
