@@ -17,14 +17,14 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # state beyond memory, and required by the keyed streaming operators (rate limit, sequence)
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # the parsers are wide expressions: above this bytecode size the JVM would interpret one fused
     # method, so Spark is told to generate smaller, compilable ones instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
-# State store needed by the keyed streaming operators (rate limit, sequence).
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session and return it."""

@@ -48,6 +48,6 @@ def rate_limit_stream(lines: DataFrame, rate: float = fv.RATE_LIMIT_PER_SECOND,
     rows = lines.select("source_ip", F.unix_micros("received_at").alias("at"), F.lit(1).cast("bigint").alias("n"))
     counted = rows.groupBy("source_ip").transformWithStateInPandas(
         _Bucket(float(rate), capacity, idle_seconds), "source_ip string, at bigint, n bigint, allowed bigint",
-        "append", "none",
+        "append", "processingTime",
     )
     return counted.select("source_ip", F.timestamp_micros("at").alias("received_at"), "n", "allowed")

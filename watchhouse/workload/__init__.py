@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("rules", "reports", "maintenance", "normalise", "files")
+_MODULES = ("rules", "reports", "maintenance", "normalise", "files", "streams")
 
 
 def queries() -> dict:
