@@ -18,7 +18,8 @@ class _Bucket(StatefulProcessor):
         self.rate, self.capacity, self.idle_ms = rate, capacity, int(idle_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "at bigint, tokens double", ttlDurationMs=self.idle_ms)
+        self.handle = handle
+        self.state = handle.getValueState("bucket", "at bigint, tokens double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         counts = pd.concat(list(rows)).groupby("at", sort=True)["n"].sum()
@@ -31,23 +32,32 @@ class _Bucket(StatefulProcessor):
             last = at if last is None else max(at, last)
             allowed.append(accepted)
         self.state.update((int(last), float(tokens)))
+        self.handle.registerTimer(last // 1000 + self.idle_ms)
         yield pd.DataFrame({"source_ip": key[0], "at": counts.index, "n": counts.to_numpy(), "allowed": allowed})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        saved = self.state.get()
+        if saved and saved[0] // 1000 + self.idle_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def rate_limit_stream(lines: DataFrame, rate: float = fv.RATE_LIMIT_PER_SECOND, capacity: float | None = None,
-                      idle_seconds: float = fv.RATE_LIMIT_IDLE_SECONDS) -> DataFrame:
+                      idle_seconds: float = fv.RATE_LIMIT_IDLE_SECONDS, delay: str = "10 minutes") -> DataFrame:
     """Per (source_ip, received_at) of the stream: events seen ``n`` and ``allowed``.
 
-    The bucket of a source that stays silent expires and starts full again.  Use the RocksDB state
-    store.
+    The bucket of a source that stays silent for ``idle_seconds`` of event time is removed and starts
+    full again, so senders seen once do not pile up.  Lines more than ``delay`` late are dropped.
+    Needs the RocksDB state store.
     """
     capacity = float(rate * 2 if capacity is None else capacity)
-    rows = lines.select("source_ip", F.unix_micros("received_at").alias("at"), F.lit(1).cast("bigint").alias("n"))
+    rows = lines.withWatermark("received_at", delay).select(
+        "source_ip", "received_at", F.unix_micros("received_at").alias("at"), F.lit(1).cast("bigint").alias("n"))
     counted = rows.groupBy("source_ip").transformWithStateInPandas(
         _Bucket(float(rate), capacity, idle_seconds), "source_ip string, at bigint, n bigint, allowed bigint",
-        "append", "processingTime",
+        "append", "eventTime",
     )
     return counted.select("source_ip", F.timestamp_micros("at").alias("received_at"), "n", "allowed")
