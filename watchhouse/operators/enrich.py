@@ -9,8 +9,8 @@ from watchhouse.functions import columns as c
 from watchhouse.functions import fixed_values as fv
 from watchhouse.schema import EVENT_SUMMARY_COLUMNS, EVENTS
 
-# address ranges are cut into blocks of 2^16 addresses to get an equality join key
-_BLOCK_BITS = 16
+# address ranges are cut at blocks of 2^16 and 2^8 addresses to get equality join keys
+_WIDE_BITS, _NARROW_BITS = 16, 8
 
 
 def compliance_tags(tags: Column, category: Column, event_id: Column, is_pci_env: Column) -> Column:
@@ -46,33 +46,52 @@ def pci_flag(events: DataFrame, sources: DataFrame, ip_column: str = "src_ip") -
     ).drop("_pci")
 
 
-def _geo_blocks(ranges: DataFrame) -> DataFrame:
-    """One row per (range, block it touches): start_ip, end_ip, country, city, block."""
-    block = lambda n: F.shiftright(n, _BLOCK_BITS)
-    return ranges.select(
-        F.col("start_ip").alias("_lo"), F.col("end_ip").alias("_hi"),
-        F.col("country").alias("_country"), F.col("city").alias("_city"),
-        F.explode(F.sequence(block(F.col("start_ip")), block(F.col("end_ip")))).alias("_block"),
+def _blocks(number: Column, bits: int) -> Column:
+    return F.shiftright(number, bits)
+
+
+def _geo_pieces(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split ranges into whole wide blocks and narrow-block pieces.
+
+    Wide: one row per 2^16 block lying entirely in a range.  Narrow: what is left at the ends of a
+    range, one row per 2^8 block it touches, with its bounds; at most 256 rows share a block.
+    """
+    lo, hi = F.col("start_ip"), F.col("end_ip")
+    size = 1 << _WIDE_BITS
+    first, last = _blocks(lo + (size - 1), _WIDE_BITS), _blocks(hi + 1, _WIDE_BITS) - 1
+    whole = first <= last
+
+    def piece(a: Column, b: Column) -> Column:
+        return F.struct(a.cast("bigint").alias("lo"), b.cast("bigint").alias("hi"))
+
+    place = (F.col("country").alias("_country"), F.col("city").alias("_city"))
+    wide = ranges.filter(whole).select(*place, F.explode(F.sequence(first, last)).alias("_wide"))
+    ends = F.array(piece(lo, F.when(whole, first * size - 1).otherwise(hi)), piece(F.when(whole, (last + 1) * size), hi))
+    rest = ranges.select(*place, F.inline(F.filter(ends, lambda p: p["lo"] <= p["hi"])))
+    narrow = rest.select(
+        "_country", "_city", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
+        F.explode(F.sequence(_blocks(F.col("lo"), _NARROW_BITS), _blocks(F.col("hi"), _NARROW_BITS))).alias("_narrow"),
     )
+    return wide, narrow
 
 
 def add_geoip(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """Fill ``geo_country`` / ``geo_city`` from non-overlapping address ranges.
 
-    ``ranges(start_ip, end_ip, country, city)`` with integer bounds.  The range condition becomes an
-    equality join on the address block plus a check within the block.  Rows already located keep
-    their values, misses stay NULL.
+    ``ranges(start_ip, end_ip, country, city)`` with integer bounds.  The range condition becomes two
+    equality joins on address blocks, so an event meets at most 256 ranges however large the table
+    is.  Rows already located keep their values, misses stay NULL.
     """
+    wide, narrow = _geo_pieces(ranges)
     ip = F.when(F.col("geo_country").isNull(), c.ipv4_number(F.col("src_ip")))
-    located = events.withColumn("_ip", ip)
-    blocks = _geo_blocks(ranges)
-    on = (F.shiftright(located["_ip"], _BLOCK_BITS) == blocks["_block"]) & located["_ip"].between(
-        blocks["_lo"], blocks["_hi"]
-    )
-    joined = located.join(blocks, on, "left")
+    located = events.withColumn("_ip", ip).withColumns({
+        "_n": _blocks(F.col("_ip"), _NARROW_BITS), "_w": _blocks(F.col("_ip"), _WIDE_BITS)})
+    inside = (F.col("_n") == F.col("_narrow")) & F.col("_ip").between(F.col("_lo"), F.col("_hi"))
+    joined = located.join(narrow, inside, "left").join(
+        wide.withColumnsRenamed({"_country": "_wide_country", "_city": "_wide_city"}), F.col("_w") == F.col("_wide"), "left")
     return joined.withColumns({
-        "geo_country": F.coalesce("geo_country", "_country"),
-        "geo_city": F.coalesce("geo_city", "_city"),
+        "geo_country": F.coalesce("geo_country", "_country", "_wide_country"),
+        "geo_city": F.coalesce("geo_city", "_city", "_wide_city"),
     }).select(*events.columns)
 
 
