@@ -100,7 +100,7 @@ def test_one_pass_equals_rule_by_rule(events):
         make_rule("3", "c", "threshold", "low", {"count": 150, **month}),
         make_rule("4", "d", "threshold", "low", {"filters": {"event_id": ["c"]}, "distinct_users": 2, **month}),
     ]
-    together = {tuple(r.asDict().items() if False else (r["rule_id"], r["title"], r["event_count"], r["first_seen"], r["group_key"]))
+    together = {(r["rule_id"], r["title"], r["event_count"], r["first_seen"], r["group_key"])
                 for r in threshold.threshold_triggers(df, rules, NOW).collect()}
     apart = {(r["rule_id"], r["title"], r["event_count"], r["first_seen"], r["group_key"])
              for rule in rules for r in threshold.threshold_rule(df, rule, NOW).collect()}
