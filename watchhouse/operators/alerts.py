@@ -36,12 +36,16 @@ def combine_triggers(triggers: DataFrame) -> DataFrame:
 def match_open(triggers: DataFrame, alerts: DataFrame) -> DataFrame:
     """Combined triggers with ``open_id``, the alert they update, or NULL for a new alert.
 
-    A trigger without a group key matches the newest open alert of its rule, whatever its key.
+    A trigger without a group key matches the newest open alert of its rule, whatever its key.  So
+    every open alert is listed under its key and under its rule as a whole, and one join serves both.
     """
-    keyed, keyless = triggers.filter("group_key IS NOT NULL"), triggers.filter("group_key IS NULL")
-    by_key = keyed.join(newest_open(alerts, "rule_id", "group_key"), ["rule_id", "group_key"], "left")
-    by_rule = keyless.join(newest_open(alerts, "rule_id"), "rule_id", "left")
-    return by_key.unionByName(by_rule)
+    def place(of_group: Column, key: Column) -> Column:
+        return F.struct(of_group.alias("of_group"), F.coalesce(key, F.lit("")).alias("key"))
+
+    listed = F.array(place(F.lit(False), F.lit("")), F.when(F.col("group_key").isNotNull(), place(F.lit(True), F.col("group_key"))))
+    places = alerts.select("rule_id", "status", "created_at", "id", F.explode(F.array_compact(listed)).alias("place"))
+    wanted = triggers.withColumn("place", place(F.col("group_key").isNotNull(), F.col("group_key")))
+    return wanted.join(newest_open(places, "rule_id", "place"), ["rule_id", "place"], "left").drop("place")
 
 
 def merge_triggers(alerts: DataFrame, triggers: DataFrame, as_of, mode: str = "accumulate") -> DataFrame:

@@ -39,7 +39,9 @@ def _bursts(counts: DataFrame, rate: float, capacity: float) -> DataFrame:
     sliced = counts.withColumn(
         "slice", F.call_function("div", F.unix_micros("received_at"), F.lit(_SLICE_SECONDS * 1_000_000).cast("bigint"))
     ).repartition("source_ip", "slice")
-    seen = running_before(sliced, ["source_ip"], "slice", "received_at", {"previous": ("max", F.col("received_at"))})
+    seen = running_before(sliced, ["source_ip"], "slice", "received_at", {
+        # reading n as well gives both sides of the scan the same columns, hence one shared shuffle
+        "previous": ("max", F.when(F.col("n") > 0, F.col("received_at")))})
     quiet = (F.unix_micros("received_at") - F.unix_micros("previous")) / F.lit(1e6)
     starts = F.coalesce(quiet * F.lit(float(rate)) >= F.lit(float(capacity)), F.lit(True))
     marked = seen.withColumn("start", F.when(starts, F.col("received_at")))

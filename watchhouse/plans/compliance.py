@@ -134,9 +134,14 @@ def report(events: DataFrame, framework: str, time_from, time_to, as_of) -> Data
         keys["day"] = F.col("day").cast("string")
     cells = [F.struct(F.lit(name).alias("section"), key.alias("item")) for name, key in keys.items()]
     sums = ("total", "failed", "privileged", "clears", "card")
-    rolled = cube.select("*", F.inline(F.array(*cells))).filter("item IS NOT NULL").groupBy("section", "item").agg(
-        *[F.sum(n).alias(n) for n in sums], F.max("last").alias("last"),
-    )
+    parts = cube.select(*sums, "last", F.inline(F.array(*cells))).filter("item IS NOT NULL")
+    if pci:
+        # every calendar day takes part with no events, so silent days show up as zero
+        silent = calendar(events.sparkSession, time_from, time_to).select(
+            *[F.lit(0).cast("bigint").alias(n) for n in sums], F.lit(None).cast("timestamp").alias("last"),
+            F.lit("day").alias("section"), F.col("day").cast("string").alias("item"))
+        parts = parts.unionByName(silent)
+    rolled = parts.groupBy("section", "item").agg(*[F.sum(n).alias(n) for n in sums], F.max("last").alias("last"))
     text = lambda col: col.cast("string")
 
     def row(condition: Column, section: str, item: Column, value: Column) -> Column:
@@ -154,15 +159,9 @@ def report(events: DataFrame, framework: str, time_from, time_to, as_of) -> Data
     ]
     if pci:
         rows += [row(whole, "cardholder_env_events", blank, F.col("card")),
-                 row(F.col("section") == "day", "active_day", F.col("item"), F.col("total"))]
+                 row((F.col("section") == "day") & (F.col("total") == 0), "daily_review_gap", F.col("item"), blank)]
     counted = rolled.select(F.inline(F.array_compact(F.array(*rows))))
-    sections = counted.filter("section <> 'active_day'").unionByName(_retention_rows(events, framework, as_of))
-    if not pci:
-        return sections
-    active = counted.filter("section = 'active_day'").select(F.col("item").cast("date").alias("day"))
-    gaps = calendar(events.sparkSession, time_from, time_to).join(active, "day", "left_anti").select(
-        F.lit("daily_review_gap").alias("section"), text(F.col("day")).alias("item"), F.lit("").alias("value"))
-    return sections.unionByName(gaps)
+    return counted.unionByName(_retention_rows(events, framework, as_of))
 
 
 def _retention_rows(events: DataFrame, framework: str, as_of) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchhouse.operators import filters
@@ -10,6 +10,7 @@ from watchhouse.operators import filters
 MAX_HOURS = 168
 _BUCKETS = {"1m": "1 minute", "5m": "5 minutes", "1h": "1 hour"}
 TOP_HOSTS, TOP_RULES = 10, 5
+_SALTS = 64
 
 
 def _recent(events: DataFrame, as_of, hours: int) -> DataFrame:
@@ -72,27 +73,41 @@ def summary(events: DataFrame, alerts: DataFrame, rules: DataFrame, as_of, hours
     """The whole dashboard as rows (section, item, n), with one scan of the events.
 
     Events are first counted per (host, level, category); all event sections are sums over that
-    small table.  The host section is cut to the top ten only after counting.
+    small table.  Hosts are cut to the top ten in two steps, first within salted parts, so that no
+    task ranks all hosts.
     """
     cube = _recent(events, as_of, hours).groupBy("source_host", "log_level", "category").agg(
         F.count(F.lit(1)).alias("n"))
-    cells = F.array(*[
-        F.struct(F.lit(section).alias("section"), item.alias("item"))
-        for section, item in (("total_events", F.lit("")), ("by_level", F.col("log_level")),
-                              ("by_category", F.col("category")), ("host", F.col("source_host")))
-    ])
-    counted = cube.select("n", F.inline(cells)).filter("item IS NOT NULL").groupBy("section", "item").agg(
-        F.sum("n").alias("n"))
-    hosts = F.col("section") == "host"
-    plain = F.when(hosts, F.lit(None)).otherwise(F.col("section"))
-    # top hosts and the number of hosts come from the same counted table
-    best = counted.filter(hosts).orderBy(F.desc("n"), "item").limit(TOP_HOSTS).select(
-        F.lit("top_host").alias("section"), "item", "n")
-    active = counted.filter(hosts).agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("active_sources").alias("section"), F.lit("").alias("item"), "n")
-    rest = counted.filter(plain.isNotNull()).select("section", "item", "n")
+    keys = {"total_events": F.lit(""), "by_level": F.col("log_level"), "by_category": F.col("category"),
+            "top_host": F.col("source_host")}
+    counted = _sum_by(cube, {name: (key, F.col("n")) for name, key in keys.items()})
+    host = F.col("section") == "top_host"
+    # every host adds one to the number of active sources
+    spread = {"same": (F.col("item"), F.col("n")), "active_sources": (F.when(host, F.lit("")), F.lit(1).cast("bigint"))}
+    tagged = counted.select("section", F.inline(_cells(spread)).alias("part", "new_item", "new_n")).select(
+        "section", "part", F.col("new_item").alias("item"), F.col("new_n").alias("n"))
+    summed = tagged.withColumn("section", F.when(F.col("part") == "same", F.col("section")).otherwise(F.col("part"))).filter(
+        "item IS NOT NULL").groupBy("section", "item").agg(F.sum("n").alias("n"))
+
+    def best(df: DataFrame, *parts: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("section", *parts).orderBy(F.desc("n"), "item"))
+        return df.withColumn("rank", rank).filter((F.col("section") != "top_host") | (F.col("rank") <= TOP_HOSTS))
+
+    salted = summed.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(_SALTS)))
+    sections = best(best(salted, "salt")).select("section", "item", "n")
     alerts_part = open_alerts(alerts).select(
         F.lit("open_alerts").alias("section"), F.lit("").alias("item"), F.col("open_alerts").alias("n"))
     rules_part = top_rules(alerts, rules).select(
         F.lit("top_rule").alias("section"), F.col("rule_name").alias("item"), F.col("alert_count").alias("n"))
-    return rest.unionByName(best).unionByName(active).unionByName(alerts_part).unionByName(rules_part)
+    return sections.unionByName(alerts_part).unionByName(rules_part)
+
+
+def _cells(parts: dict[str, tuple[Column, Column]]) -> Column:
+    return F.array(*[F.struct(F.lit(name).alias("section"), item.alias("item"), n.alias("n"))
+                     for name, (item, n) in parts.items()])
+
+
+def _sum_by(df: DataFrame, parts: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Sum ``n`` per (section, item) over several keys of each row at once."""
+    return df.select(F.inline(_cells(parts))).filter("item IS NOT NULL").groupBy("section", "item").agg(
+        F.sum("n").alias("n"))

@@ -7,6 +7,9 @@ completions it reaches.  That takes one running aggregate per step and keeps exa
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from watchhouse.plans.triggers import as_triggers, shown
 
 
 def step_times(events: DataFrame, rule: Rule, as_of, slices: int = DEFAULT_SLICES) -> DataFrame:
-    """Distinct (group, time) of rows that match any step, with one flag per step."""
+    """Distinct (group, time) of rows that match any step; bit k of ``steps`` says step k matches."""
     matches = [filters.step_filter(step) for step in rule.body["steps"]]
     any_step = matches[0]
     for m in matches[1:]:
@@ -29,12 +32,10 @@ def step_times(events: DataFrame, rule: Rule, as_of, slices: int = DEFAULT_SLICE
         F.col(rule.group_by).cast("string").alias("grp"),
         time_slice(F.col("received_at"), c.seconds_before(as_of, span), span, slices).alias("slice"),
         F.col("received_at").alias("ts"),
-        *[F.coalesce(m, F.lit(False)).alias(f"m{i}") for i, m in enumerate(matches)],
+        reduce(add, [F.when(m, 1 << k).otherwise(0) for k, m in enumerate(matches)]).alias("steps"),
     )
     # one shuffle on (group, slice) serves the dedup and every later running aggregate
-    return rows.repartition("grp", "slice").groupBy("grp", "slice", "ts").agg(
-        *[F.bool_or(f"m{i}").alias(f"m{i}") for i in range(len(matches))]
-    )
+    return rows.repartition("grp", "slice").groupBy("grp", "slice", "ts").agg(F.bit_or("steps").alias("steps"))
 
 
 def chains(events: DataFrame, rule: Rule, as_of, per: str = "start", slices: int = DEFAULT_SLICES) -> DataFrame:
@@ -45,12 +46,15 @@ def chains(events: DataFrame, rule: Rule, as_of, per: str = "start", slices: int
     ``nearest`` the latest of them, ``farthest`` the earliest.
     """
     forward = per == "start"
-    flags = [f"m{i}" for i in range(len(rule.body["steps"]))]
-    walk = list(reversed(flags)) if forward else flags  # from the far end to the reported end
+    order = range(len(rule.body["steps"]))
+    walk = list(reversed(order)) if forward else list(order)  # from the far end to the reported end
     near, far = ("min", "max") if forward else ("max", "min")
 
-    def at(flag: str, value: Column) -> Column:
-        return F.when(F.col(flag), value)
+    def on(step: int) -> Column:
+        return F.col("steps").bitwiseAND(F.lit(1 << step)) != 0
+
+    def at(step: int, value: Column) -> Column:
+        return F.when(on(step), value)
 
     df = running_before(
         step_times(events, rule, as_of, slices), ["grp"], "slice", "ts",
@@ -58,16 +62,16 @@ def chains(events: DataFrame, rule: Rule, as_of, per: str = "start", slices: int
          "farthest": (far, at(walk[0], F.col("ts")))},
         descending=forward,
     )
-    for flag in walk[1:-1]:
+    for step in walk[1:-1]:
         # the closest row of this step reaches the most ends; a row without ends stops the chain
-        on = F.col(flag) & (F.col("n") > 0)
-        ends = [F.when(on, F.col(name)).alias(f"_{name}") for name in ("n", "nearest", "farthest")]
+        alive = on(step) & (F.col("n") > 0)
+        ends = [F.when(alive, F.col(name)).alias(f"_{name}") for name in ("n", "nearest", "farthest")]
         df = running_before(
-            df.select("grp", "slice", "ts", *flags, *ends), ["grp"], "slice", "ts",
+            df.select("grp", "slice", "ts", "steps", *ends), ["grp"], "slice", "ts",
             {"n": ("max", F.col("_n")), "nearest": (near, F.col("_nearest")), "farthest": (far, F.col("_farthest"))},
             descending=forward,
         )
-    return df.filter(F.col(walk[-1]) & (F.col("n") > 0)).select("grp", "ts", "n", "nearest", "farthest")
+    return df.filter(on(walk[-1]) & (F.col("n") > 0)).select("grp", "ts", "n", "nearest", "farthest")
 
 
 def sequence_rule(events: DataFrame, rule: Rule, as_of, slices: int = DEFAULT_SLICES) -> DataFrame:
