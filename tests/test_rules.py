@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchhouse.operators import filters
-from watchhouse.plans import anomaly, run_rules, sequence, threshold
+from watchhouse.plans import anomaly, blacklist, run_rules, sequence, threshold
 from watchhouse.plans.rule_bodies import SEEDED_RULES, make_rule, valid_rules, validate_rules
 from watchhouse.schema import EVENTS, RULES
 
@@ -151,6 +151,25 @@ def test_anomaly(events):
     assert anomaly.anomaly_rule(flat, make_rule("n", "Flat", "anomaly", "low", {}), "2024-01-30 00:00:00").count() == 0
 
 
+def test_anomaly_and_blacklist_rules_share_a_pass(spark, events):
+    rows = _random_rows(300, 5) + [{"received_at": T0 - timedelta(hours=h), "src_ip": "x", "event_id": "a"} for h in range(1, 50)]
+    df = events(rows).cache()
+    body = {"std_devs": 0.5, "window_seconds": 86400}
+    odd = [make_rule("1", "one", "anomaly", "low", {**body, "group_by": "src_ip"}), make_rule("2", "two", "anomaly", "low", body),
+           make_rule("3", "three", "anomaly", "low", {**body, "group_by": "user_name", "baseline_days": 1, "filters": {"event_id": ["a", "b"]}})]
+    together = {tuple(map(str, r)) for r in anomaly.anomaly_triggers(df, odd, "2024-01-30 00:20:00").collect()}
+    apart = {tuple(map(str, r)) for rule in odd for r in anomaly.anomaly_rule(df, rule, "2024-01-30 00:20:00").collect()}
+    assert together == apart and {r[0] for r in together} >= {"1", "2"}
+
+    lists = spark.createDataFrame([("l", "hot"), ("l", "hot"), ("l", "a"), ("m", "x"), ("m", "a")], "list_name string, value string")
+    bad = [make_rule(i, f"b{i}", "blacklist", "low", {"field": f, "list_name": n}) for i, f, n in (("1", "src_ip", "l"), ("2", "src_ip", "m"), ("3", "event_id", "l"))]
+    got = {(r["group_key"], r["event_count"]) for r in blacklist.blacklist_triggers(df, lists, bad, "2024-01-30 00:20:00").collect()}
+    recent = [r for r in rows if r["received_at"] >= T0 - timedelta(minutes=10)]
+    want = {(f"1:src_ip:hot", sum(r["src_ip"] == "hot" for r in recent)), ("2:src_ip:x", sum(r["src_ip"] == "x" for r in recent)),
+            ("3:event_id:a", sum(r["event_id"] == "a" for r in recent))}
+    assert got == want
+
+
 def test_run_all_skips_bad_rules(spark, events):
     rows = [("1", "ok", "", "absence", "low", True, '{"window_seconds": 60}', T0, T0), ("2", "bad", "", "absence", "low", True, "{}", T0, T0),
             ("3", "off", "", "absence", "low", False, '{"window_seconds": 60}', T0, T0)]

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from watchhouse.operators.filters import AGGREGATE_RULES, REAL_TIME_RULES, rules_due
-from watchhouse.plans.anomaly import anomaly_rule
-from watchhouse.plans.blacklist import blacklist_rule
+from watchhouse.plans.anomaly import anomaly_triggers
+from watchhouse.plans.blacklist import blacklist_triggers
 from watchhouse.plans.rule_bodies import Rule, rule_batches
 from watchhouse.plans.sequence import sequence_rule
 from watchhouse.plans.threshold import absence_triggers, threshold_triggers
@@ -17,16 +17,18 @@ from watchhouse.schema import TRIGGERS
 
 
 def evaluate(events: DataFrame, blacklists: DataFrame, rules: Sequence[Rule], as_of, compat: bool = False) -> DataFrame:
-    """Triggers of the given rules: one pass for all threshold rules, one for all absence rules."""
+    """Triggers of the given rules: one pass over the events per rule type, and one per sequence rule."""
     of = {t: [r for r in rules if r.rule_type == t] for t in {r.rule_type for r in rules}}
     parts = []
     if "threshold" in of:
         parts.append(threshold_triggers(events, of["threshold"], as_of, compat))
     if "absence" in of:
         parts.append(absence_triggers(events, of["absence"], as_of))
+    if "blacklist" in of:
+        parts.append(blacklist_triggers(events, blacklists, of["blacklist"], as_of))
+    if "anomaly" in of:
+        parts.append(anomaly_triggers(events, of["anomaly"], as_of))
     parts += [sequence_rule(events, r, as_of) for r in of.get("sequence", [])]
-    parts += [blacklist_rule(events, blacklists, r, as_of) for r in of.get("blacklist", [])]
-    parts += [anomaly_rule(events, r, as_of) for r in of.get("anomaly", [])]
     if not parts:
         return events.sparkSession.createDataFrame([], TRIGGERS)
     return reduce(DataFrame.unionByName, parts)
