@@ -8,6 +8,13 @@ under Structured Streaming.  No function reads the wall clock: callers pass
 ``as_of``.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from watchhouse.session import configure, shared_dir
 
 __all__ = ["configure", "shared_dir"]
+
+# The few Python functions that run in tasks travel with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
