@@ -28,6 +28,7 @@ BINS = 8
 STATISTICS = 14
 MAX_TRAINING_ROWS = 8000
 EPOCHS = 12
+BATCH, LEAST_STEPS = 128, 750  # a small sample is gone through more often
 THRESHOLD = 0.3
 KEPT_WORDS = 300_000
 
@@ -118,10 +119,10 @@ class FactorMachine:
         starts, index, value = self.rows(feats)
         seen_w, seen_v = np.full(self.size, 1e-3), np.full(self.factor.shape, 1e-3)
         order, rng = np.arange(len(labels)), np.random.default_rng(5)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // len(order)))):
             rng.shuffle(order)
-            for low in range(0, len(order), 128):
-                rows = order[low:low + 128]
+            for low in range(0, len(order), BATCH):
+                rows = order[low:low + BATCH]
                 sizes = starts[rows + 1] - starts[rows]
                 take = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in rows])
                 at, i, x = np.concatenate([[0], np.cumsum(sizes)]), index[take], value[take]
