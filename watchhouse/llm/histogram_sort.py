@@ -24,11 +24,12 @@ TOLERANCE = 0.0005  # of a shard's bytes
 SINGLE = -1  # marks a cut that falls inside one key value
 
 
-def _refine(keys: DataFrame, key: str, where: Column, low: int, high: int, targets: list[int], slack: int) -> dict[int, tuple[int, int, int]]:
+def _refine(keys: DataFrame, key: str, where: Column, low: int, high: int, targets: list[int], slack: int, whole: bool = False) -> dict[int, tuple[int, int, int]]:
     """For each target (bytes below, within the rows of ``where``): a cut of ``key``, 0 or SINGLE, and the bytes below it.
 
     Every round is one aggregate over the rows inside the open intervals.  An interval closes when one of its probes misses
-    the target by no more than ``slack`` bytes, or when it is a single key value.
+    the target by no more than ``slack`` bytes, or when it is a single key value; ``whole`` says that such a value is not cut, so that
+    its nearer edge is taken.
     """
     open_at = {t: (low, high, 0) for t in targets}
     done: dict[int, tuple[int, int, int]] = {}
@@ -57,6 +58,8 @@ def _refine(keys: DataFrame, key: str, where: Column, low: int, high: int, targe
                 done[target] = (first, 0, below)
             elif below + held - target <= slack:
                 done[target] = (last + 1, 0, below + held)
+            elif first == last and whole:
+                done[target] = (first, 0, below) if 2 * (target - below) <= held else (last + 1, 0, below + held)
             elif first == last:
                 done[target] = (first, SINGLE, below)
             else:
@@ -81,7 +84,7 @@ def splitters(keys: DataFrame, n_shards: int) -> list[tuple[int, int]]:
             continue
         inside = F.col("hash") == start
         ids = keys.where(inside).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-        at, _, _ = _refine(keys, "id", inside, ids.lo, ids.hi, [target - below], slack)[target - below]
+        at, _, _ = _refine(keys, "id", inside, ids.lo, ids.hi, [target - below], slack, True)[target - below]
         cuts.append((start, at))
     return sorted(cuts)
 
