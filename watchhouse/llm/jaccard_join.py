@@ -35,7 +35,7 @@ SHINGLE = 5
 FRAGMENTS = 4
 WHOLE = 128  # sets of up to this size are indexed whole
 COMMON = 64  # from this frequency on shingles count as equally common
-GROWTH = 16
+GROWTH = 8
 KEPT_WORDS = 300_000
 _SIGN = np.uint64(1 << 63)
 
@@ -75,14 +75,15 @@ def _indexed(n: int) -> int:
 
 
 def _keys(batches):
-    """doc_id, set size and set id (null for an empty set)."""
+    """doc_id, text hash, set size and set id (null for an empty set)."""
     for batch in batches:
         sizes, ids = [], []
         for text in batch.column("text").cast(pa.binary()):
             found = shingles(text.as_py())
             sizes.append(len(found))
             ids.append(_set_id(found) if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "sid"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "th", "n_shingles", "sid"])
 
 
 def _index(batches):
@@ -184,9 +185,10 @@ _POSSIBLE = "least(rest, _rest) >= least(e - n, _e - _n) + (75 * (n + _n) + 174)
 
 
 def _blocks(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(h, sid, n, e, rest): the rarest indexed shingles, which each linking pair shares one of.
+    """(h, sid, n, e, rest, lone): the rarest indexed shingles, which each linking pair shares one of.
 
-    e: how many shingles of the set are indexed; rest: how many of them that others have too come from here on.
+    e: how many shingles of the set are indexed; rest: how many of them that others have too come from here on; lone: the share that
+    no other set has.
     """
     n = partitions(docs)
     found = docs.select("text").mapInArrow(_index, "deal long, h long, sid long, df int").repartition(n, "deal").sortWithinPartitions("h", "sid")
@@ -194,15 +196,16 @@ def _blocks(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     rare = Window.partitionBy("sid").orderBy("df", "h")
     ranked = shared.withColumn("_rank", F.row_number().over(rare)).withColumn("_all", F.count("*").over(Window.partitionBy("sid")))
     rest = (F.col("_all") - F.col("_rank") + 1).cast("int").alias("rest")
-    return ranked.where(F.col("_rank") <= F.col("_all") - F.expr(_common()) + 1).select("h", "sid", "n", F.expr(_INDEXED_SQL).alias("e"), rest)
+    return ranked.where(F.col("_rank") <= F.col("_all") - F.expr(_common()) + 1).select(
+        "h", "sid", "n", F.expr(_INDEXED_SQL).alias("e"), rest, (1 - F.col("_all") / F.expr(_INDEXED_SQL)).cast("float").alias("lone"))
 
 
 def _fragments(batches):
     """(sid, fragment, hashes): a set cut at equal ranges of the global order."""
     for batch in batches:
         sids, parts, hashes = [], [], []
-        for sid, packed in zip(batch.column("sid").to_pylist(), batch.column("packed")):
-            found = shingles(_unpack(packed.as_py()))
+        for sid, text in zip(batch.column("sid").to_pylist(), batch.column("text").cast(pa.binary())):
+            found = shingles(text.as_py())
             fragment = (found >> np.uint64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
             for part in np.unique(fragment):
                 sids.append(sid)
@@ -211,26 +214,6 @@ def _fragments(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(parts, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], ["sid", "fragment", "hashes"])
 
 
-def _pack(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes) -> bytes:
-    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-
-
-def _texts(batches):
-    """(sid, packed text), once per set and batch; packed, as texts are what is shuffled most."""
-    for batch in batches:
-        rows = {}
-        for text in batch.column("text").cast(pa.binary()):
-            data = text.as_py()
-            found = shingles(data)
-            if len(found):
-                rows.setdefault(_set_id(found), data)
-        yield pa.RecordBatch.from_arrays([pa.array([*rows], pa.int64()), pa.array(map(_pack, rows.values()), pa.binary())], ["sid", "packed"])
-
-
 def _verify(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """Links (a, b) among pairs (a, b, na, nb): common shingles are counted by fragment and summed by pair."""
     left = fragments.select(F.col("sid").alias("a"), "fragment", F.col("hashes").alias("_a"))
@@ -244,19 +227,20 @@ def _classes(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
     """(sid, component) of the sets in blocks, by rounds over the pairs across components."""
     component = blocks.select("sid").distinct().withColumn("component", F.col("sid"))
     done, limit = 0, 1
-    order = F.xxhash64("sid")
+    # members with the fewest shingles of their own come first: in a group of edited copies they are the closest to all others
+    order = [F.col("lone"), F.xxhash64("sid"), F.col("sid")]
     while True:
         members = blocks.join(component, "sid")
         # a block is open while it has two components and members that have not been compared with all others
         open_blocks = members.groupBy("h").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_m")).where(
             f"_low != _high AND _m > {done + 1}").select("h", "_m")
-        live = stored(members.join(open_blocks, "h").withColumn("_o", order), "open-blocks")
+        live = stored(members.join(open_blocks, "h"), "open-blocks")
         if live.isEmpty():
             return component
         # the first ``limit`` members of each block, ranked in parts first
-        parts = Window.partitionBy("h", "_part").orderBy("_o", "sid")
-        ranked = live.withColumn("_part", F.pmod("_o", F.lit(64))).withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= limit)
-        ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("h").orderBy("_o", "sid"))).where(F.col("_r").between(done + 1, limit))
+        parts = Window.partitionBy("h", "_part").orderBy(*order)
+        ranked = live.withColumn("_part", F.pmod(F.xxhash64("sid"), F.lit(64))).withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= limit)
+        ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("h").orderBy(*order))).where(F.col("_r").between(done + 1, limit))
         chosen = ranked.select("h", F.col("sid").alias("_sid"), F.col("n").alias("_n"), F.col("e").alias("_e"), F.col("rest").alias("_rest"), F.col("component").alias("_c"))
         across = live.join(chosen, "h").where(f"component != _c AND 4 * least(n, _n) >= 3 * greatest(n, _n) AND {_POSSIBLE}")
         first = F.col("sid") < F.col("_sid")
@@ -276,13 +260,15 @@ def classified(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set id, component_id per row; docs: doc_id and text."""
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    keys = stored(read.mapInArrow(_keys, f"doc_id {kind}, n_shingles long, sid long"), "sets")
-    sets = keys.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
+    hashed = read.withColumn("th", F.xxhash64("text"))
+    keys = stored(hashed.mapInArrow(_keys, f"doc_id {kind}, th long, n_shingles long, sid long"), "sets")
+    sets = keys.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.min("th").alias("th"))
     blocks = stored(_blocks(read, sets.select("sid", "n")), "blocks")
     shared = blocks.groupBy("h").agg(F.count("*").alias("_m")).where("_m > 1").select("h")
     blocks = stored(blocks.join(shared, "h"), "shared-blocks")
-    wanted = blocks.select("sid").distinct()
-    texts = read.select("text").mapInArrow(_texts, "sid long, packed binary").groupBy("sid").agg(F.any_value("packed").alias("packed")).join(wanted, "sid")
+    # one text of each set; equal texts are reduced before the exchange
+    wanted = sets.select("sid", "th").join(blocks.select("sid").distinct(), "sid")
+    texts = hashed.groupBy("th").agg(F.any_value("text").alias("text")).join(wanted, "th").select("sid", "text")
     fragments = stored(texts.mapInArrow(_fragments, "sid long, fragment int, hashes array<bigint>"), "fragments")
     component = _classes(blocks, fragments)
     named = sets.join(component, "sid", "left").select("sid", "first", F.coalesce("component", "sid").alias("component"))
