@@ -4,10 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from watchhouse import workload
+from watchhouse.workload.registry import SQL as REGISTERED_SQL
 from watchhouse.workload.tables import GIVEN
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+QUERIES = dict(workload.queries())
+SQL = dict(REGISTERED_SQL)
 TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
 
 

@@ -120,9 +120,6 @@ HOT_STORAGE_MONTHS = 12
 
 # --- operational limits ----------------------------------------------------------------
 BLACKLIST_WINDOW_SECONDS = 1800
-ERROR_RAW_CHARS = 500
-FRAME_MAX_DIGITS = 6
-FRAME_MAX_LINE_BYTES = 65536
 RATE_LIMIT_PER_SECOND = 10_000.0
 RATE_LIMIT_IDLE_SECONDS = 300.0
 COOL_AFTER_DAYS, ARCHIVE_AFTER_DAYS, DELETE_AFTER_DAYS = 365, 730, 2192
@@ -137,7 +134,6 @@ CISCO_USER = r"[Uu]sername\s*[=:]\s*(\S+)"
 DETECT_FORTIGATE = r"type=|devname=|logid="
 DETECT_CISCO = r"%(?:ASA|PIX|FTD|IOS)-\d-\w+:"
 DETECT_WINDOWS = r'"EventID"'
-DETECT_LINUX = r'"__REALTIME_TIMESTAMP"|"_HOSTNAME"'
 SSH_ACCEPTED = r"Accepted (\S+) for (\S+) from (\S+) port (\d+)"
 SSH_FAILED = (
     r"(?:Failed|Invalid user)\s+(?:\S+\s+)?(?:for\s+)?(\S+)?\s+from\s+(\S+)\s+port\s+(\d+)"

@@ -126,11 +126,11 @@ def good_events(parsed: DataFrame) -> DataFrame:
 
 
 def bad_lines(parsed: DataFrame, error: str = "parse_error") -> DataFrame:
-    """Dead letters: reason, sender and the first 500 characters of the line."""
+    """Dead letters: reason, sender and the whole line."""
     return parsed.filter("problem IS NOT NULL").select(
         F.lit(error).alias("error"),
         F.col("problem").alias("detail"),
         "source_ip",
-        F.substring("raw_message", 1, fv.ERROR_RAW_CHARS).alias("raw"),
+        F.col("raw_message").alias("raw"),
         "received_at",
     ).select(*ERRORS.fieldNames())

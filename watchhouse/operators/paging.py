@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from watchhouse.functions import columns as c
 
-MAX_EVENT_PAGE, MAX_PAGE = 500, 200
-
 
 @dataclass(frozen=True)
 class Page:
@@ -20,9 +18,9 @@ class Page:
     totals: DataFrame
 
 
-def page(table: DataFrame, order: list[Column], number: int, size: int, largest: int = MAX_PAGE) -> Page:
-    if number < 1 or not 1 <= size <= largest:
-        raise ValueError(f"page must be >= 1 and page_size within 1..{largest}")
+def page(table: DataFrame, order: list[Column], number: int, size: int, largest: int | None = None) -> Page:
+    if number < 1 or size < 1 or (largest is not None and size > largest):
+        raise ValueError(f"page and page_size must be >= 1, and page_size at most {largest}")
     pages = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(size))).cast("bigint")
     totals = table.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.lit(number).alias("page"), F.lit(size).alias("page_size"), pages.alias("pages")
@@ -33,7 +31,7 @@ def page(table: DataFrame, order: list[Column], number: int, size: int, largest:
 def page_events(events: DataFrame, number: int = 1, size: int = 50, newest_first: bool = True) -> Page:
     keys = [F.col("received_at"), F.col("id")]
     order = [k.desc() for k in keys] if newest_first else [k.asc() for k in keys]
-    return page(events, order, number, size, MAX_EVENT_PAGE)
+    return page(events, order, number, size)
 
 
 def next_events(events: DataFrame, after_time, after_id: str, size: int = 50) -> DataFrame:

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from watchhouse.operators import filters
 
-MAX_HOURS = 168
 _BUCKETS = {"1m": "1 minute", "5m": "5 minutes", "1h": "1 hour"}
 TOP_HOSTS, TOP_RULES = 10, 5
 _SALTS = 64
 
 
 def _recent(events: DataFrame, as_of, hours: int) -> DataFrame:
-    if not 1 <= hours <= MAX_HOURS:
-        raise ValueError(f"hours must be within 1..{MAX_HOURS}")
+    if hours < 1:
+        raise ValueError("hours must be at least 1")
     return events.filter(filters.in_window(as_of, hours * 3600))
 
 

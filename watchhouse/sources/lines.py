@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchhouse.functions import columns as c
-from watchhouse.functions import fixed_values as fv
 
 # .../source_ip=10.0.0.1/part.log
 _IP_FOLDER = r"source_ip=([^/]+)/"
@@ -42,7 +41,7 @@ def _octet_messages(content: bytes) -> Iterator[bytes]:
     """Messages of ``<length> <message>`` frames; stops at the first malformed or cut-off frame."""
     position = 0
     while position < len(content):
-        space = content.find(b" ", position, position + fv.FRAME_MAX_DIGITS + 1)
+        space = content.find(b" ", position)
         count = content[position:space]
         if space < 0 or not count.isdigit() or len(content) < space + 1 + int(count):
             return

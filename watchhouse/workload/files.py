@@ -232,11 +232,10 @@ def sink_fanout(t: Tables):
     return parts[0].unionByName(parts[1])
 
 
-@query("""SELECT 'parse_error' AS error, 'not a JSON object' AS detail, sha256(substr(text, 1, 500)) AS digest, count(*) AS n FROM documents
+@query("""SELECT 'parse_error' AS error, 'not a JSON object' AS detail, sha256(text) AS digest, count(*) AS n FROM documents
     WHERE NOT regexp_matches(text, 'type=|devname=|logid=') GROUP BY 3""")
 def sink_errors(t: Tables):
-    """Documents are no log lines: unless one looks like a firewall line, it becomes a dead letter
-    with its first 500 characters."""
+    """Documents are no log lines: unless one looks like a firewall line, it becomes a dead letter."""
     lines = t.documents.select(
         F.col("text").alias("raw"), F.lit("10.9.9.9").alias("source_ip"), F.lit(AS_OF).cast("timestamp").alias("received_at"),
         F.col("doc_id").cast("string").alias("record_id"))
