@@ -165,7 +165,7 @@ def keep_good(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
 ORACLE_SQL = r"""
 WITH base AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
 split AS (SELECT rn, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM base),
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM base),
 win AS (SELECT rn, i, list_slice(ws, i, i + 4) AS five FROM (SELECT rn, ws, unnest(range(1, len(ws) - 3)) AS i FROM split)),
 twice AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, five) AS c FROM win) WHERE c > 1),
 covered AS (SELECT rn, count(DISTINCT p) AS n FROM (SELECT rn, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rn),
