@@ -11,7 +11,9 @@ and only pairs across components go on, with GROWTH times as many members compar
 compared every member or a block is one component.  No block is cut short, so no link between components is lost.
 
 Verification.  The global order is cut into FRAGMENTS equal ranges.  Every candidate pair counts its common shingles in each range
-separately, and the counts are summed per pair.
+separately, and the counts are summed per pair.  Before that, parity bitmaps of SKETCH bits bound the overlap from above: bits that
+differ are at most as many as the shingles that only one of the two has.  So no linking pair is lost, and the sets of most
+others are never fetched.  Sets lie in a table bucketed by set id, so that pairs move to them.
 
 Documents with equal sets are one class from the start and are compared once.  A document without words has an empty set and
 links with nothing; a text of any length is read whole; repeated rows (also of one doc_id) fall into one class; a null doc_id takes part
@@ -22,6 +24,7 @@ are ignored by ``components`` and carried on by ``keep_one``.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 
 from watchhouse.llm.common import partitions, stored, worker_cache
 from watchhouse.llm.components import connect
+from watchhouse.session import shared_dir
 
 SHINGLE = 5
 FRAGMENTS = 4
+SKETCH = 1024  # bits; beyond some 1 700 shingles a bitmap is full and turns no pair away
 WHOLE = 128  # sets of up to this size are indexed whole
 COMMON = 64  # from this frequency on shingles count as equally common
 GROWTH = 8
@@ -201,26 +206,44 @@ def _blocks(docs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _fragments(batches):
-    """(sid, fragment, hashes): a set cut at equal ranges of the global order."""
+    """(sid, parts, sketch): a set cut at equal ranges of the global order, and the parity of its shingles per bit of the sketch."""
+    edges = np.array([part << (64 - FRAGMENTS.bit_length() + 1) for part in range(1, FRAGMENTS)], np.uint64)
     for batch in batches:
-        sids, parts, hashes = [], [], []
-        for sid, text in zip(batch.column("sid").to_pylist(), batch.column("text").cast(pa.binary())):
+        parts, sketches = [], []
+        for text in batch.column("text").cast(pa.binary()):
             found = shingles(text.as_py())
-            fragment = (found >> np.uint64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
-            for part in np.unique(fragment):
-                sids.append(sid)
-                parts.append(int(part))
-                hashes.append(found[fragment == part].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(parts, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], ["sid", "fragment", "hashes"])
+            parts.append(np.split(found.view(np.int64), np.searchsorted(found, edges)))
+            odd = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+            sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("sid"), pa.array([list(p) for p in parts], pa.list_(pa.list_(pa.int64()))), pa.array(sketches, pa.list_(pa.int64()))], ["sid", "parts", "sketch"])
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """Written to the shared folder as a table bucketed by sid: joins on sid leave it where it is."""
+    spark = df.sparkSession
+    name = f"jaccard_sets_{uuid.uuid4().hex}"
+    df.repartition(buckets, "sid").mapInArrow(_fragments, "sid long, parts array<array<bigint>>, sketch array<bigint>").write.bucketBy(buckets, "sid").option(
+        "path", shared_dir(spark, "fragments")).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def _verify(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Links (a, b) among pairs (a, b, na, nb): common shingles are counted by fragment and summed by pair."""
-    left = fragments.select(F.col("sid").alias("a"), "fragment", F.col("hashes").alias("_a"))
-    right = fragments.select(F.col("sid").alias("b"), "fragment", F.col("hashes").alias("_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("_a", "_b")).cast("long").alias("_n"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("_n").alias("_n"))
-    return total.where("100 * _n >= 75 * (na + nb - _n)").select("a", "b")
+    """Links (a, b) among pairs (x, c, nx, nc); many x may share one c.
+
+    The bitmaps turn pairs away first; common shingles of the rest are counted by fragment and summed by pair.
+    """
+    pairs = stored(pairs, "pairs")
+    # written, so that both sides of a join on c are shuffled and a c with many pairs can be split
+    compared = stored(pairs.select("c").distinct().join(fragments.withColumnRenamed("sid", "c"), "c").select("c", F.col("parts").alias("_c"), F.col("sketch").alias("_cs")), "compared")
+    sketched = pairs.join(fragments.select(F.col("sid").alias("x"), F.col("sketch").alias("_xs")), "x").join(compared.select("c", "_cs"), "c")
+    differing = sum((F.bit_count(F.get("_xs", i).bitwiseXOR(F.get("_cs", i))) for i in range(SKETCH // 64)), F.lit(0))
+    # 175 * common >= 75 * (nx + nc), and 2 * common <= nx + nc - differing
+    near = sketched.where(F.col("nx") + F.col("nc") >= 7 * differing).select("x", "c", "nx", "nc")
+    both = near.join(fragments.select(F.col("sid").alias("x"), F.col("parts").alias("_x")), "x").join(compared.select("c", "_c"), "c")
+    partial = both.select("x", "c", "nx", "nc", F.explode(F.zip_with("_x", "_c", lambda x, c: F.size(F.array_intersect(x, c)))).alias("_n"))
+    total = partial.groupBy("x", "c", "nx", "nc").agg(F.sum("_n").alias("_n"))
+    return total.where("100 * _n >= 75 * (nx + nc - _n)").select(F.col("x").alias("a"), F.col("c").alias("b"))
 
 
 def _classes(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -229,6 +252,8 @@ def _classes(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
     done, limit = 0, 1
     # members with the fewest shingles of their own come first: in a group of edited copies they are the closest to all others
     order = [F.col("lone"), F.xxhash64("sid"), F.col("sid")]
+    # a pair is compared from the one that comes first; members of former rounds have met all others already
+    later = F.struct(*order) > F.struct("_lone", F.xxhash64("_sid"), "_sid")
     while True:
         members = blocks.join(component, "sid")
         # a block is open while it has two components and members that have not been compared with all others
@@ -241,12 +266,9 @@ def _classes(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
         parts = Window.partitionBy("h", "_part").orderBy(*order)
         ranked = live.withColumn("_part", F.pmod(F.xxhash64("sid"), F.lit(64))).withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= limit)
         ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("h").orderBy(*order))).where(F.col("_r").between(done + 1, limit))
-        chosen = ranked.select("h", F.col("sid").alias("_sid"), F.col("n").alias("_n"), F.col("e").alias("_e"), F.col("rest").alias("_rest"), F.col("component").alias("_c"))
+        chosen = ranked.select("h", F.col("sid").alias("_sid"), F.col("n").alias("_n"), F.col("e").alias("_e"), F.col("rest").alias("_rest"), F.col("lone").alias("_lone"), F.col("component").alias("_c"))
         across = live.join(chosen, "h").where(f"component != _c AND 4 * least(n, _n) >= 3 * greatest(n, _n) AND {_POSSIBLE}")
-        first = F.col("sid") < F.col("_sid")
-        pairs = across.select(
-            F.least("sid", "_sid").alias("a"), F.greatest("sid", "_sid").alias("b"), F.when(first, F.col("n")).otherwise(F.col("_n")).alias("na"),
-            F.when(first, F.col("_n")).otherwise(F.col("n")).alias("nb")).distinct()
+        pairs = across.where(later).select(F.col("sid").alias("x"), F.col("_sid").alias("c"), F.col("n").alias("nx"), F.col("_n").alias("nc")).distinct()
         links = stored(_verify(pairs, fragments), "found-links")
         if not links.isEmpty():
             of = lambda name: component.select(F.col("sid").alias(name), F.col("component").alias(f"c{name}"))
@@ -269,7 +291,7 @@ def classified(docs: DataFrame) -> DataFrame:
     # one text of each set; equal texts are reduced before the exchange
     wanted = sets.select("sid", "th").join(blocks.select("sid").distinct(), "sid")
     texts = hashed.groupBy("th").agg(F.any_value("text").alias("text")).join(wanted, "th").select("sid", "text")
-    fragments = stored(texts.mapInArrow(_fragments, "sid long, fragment int, hashes array<bigint>"), "fragments")
+    fragments = _bucketed(texts, partitions(docs))
     component = _classes(blocks, fragments)
     named = sets.join(component, "sid", "left").select("sid", "first", F.coalesce("component", "sid").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
