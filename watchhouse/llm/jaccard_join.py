@@ -275,6 +275,8 @@ def _classes(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
             joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
             merged = connect(joined).withColumnRenamed("node", "component")
             component = stored(component.join(merged, "component", "left").select("sid", F.coalesce("label", "component").alias("component")), "components")
+        # a closed block stays closed: components only grow
+        blocks = live.drop("component", "_m")
         done, limit = limit, limit * GROWTH
 
 
