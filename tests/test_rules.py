@@ -178,3 +178,24 @@ def test_run_all_skips_bad_rules(spark, events):
     got = run_rules.run_all(events([{"received_at": at(0)}]), lists, rules, NOW).collect()
     assert [(r["rule_id"], r["group_key"], r["event_count"]) for r in got] == [("1", "1:absent", 0)]
     assert run_rules.run_all(events([]), lists, rules, NOW, ["threshold"]).count() == 0
+
+
+def test_ill_typed_steps_are_reported(spark):
+    from pyspark.sql import functions as F
+
+    from watchhouse.plans.rule_bodies import rule_problems
+
+    def body(steps):
+        return f'{{"steps": {steps}, "group_by": "src_ip", "window_seconds": 60}}'
+
+    cases = {
+        '[{"event_id": "1"}, {"event_id": "2", "action": null}]': [],
+        '[{"event_id": 4625}, {"event_id": "2"}]': ["step field is not text"],
+        '[{"event_id": {"x": "1"}}, {"event_id": "2"}]': ["step field is not text"],
+        '[{"event_id": "1", "log_level": 3}, {"event_id": "2"}]': ["step field is not text"],
+        '[{"event_id": "1"}, null]': ["step field is not text", "step without event_id, action or category"],
+        '[{"event_id": "1"}, {"log_level": "x"}]': ["step without event_id, action or category"],
+    }
+    rows = spark.createDataFrame([(steps, body(steps)) for steps in cases], "steps string, body string")
+    got = {r["steps"]: r["p"] for r in rows.select("steps", rule_problems(F.lit("sequence"), F.col("body")).alias("p")).collect()}
+    assert {k: [p for p in v if p] for k, v in got.items()} == cases

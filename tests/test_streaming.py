@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from watchhouse.plans.rule_bodies import make_rule
 from watchhouse.sources.lines import syslog_lines
 from watchhouse.streaming import ingest, rules
@@ -34,19 +36,48 @@ def test_ingest_continues_where_it_stopped(spark, tmp_path):
     assert spark.read.text(f"{out}/archive").filter("day = 2 AND value LIKE 'type=%'").count() == 2
 
 
-def test_sequence_state_spans_batches(spark, tmp_path):
+def _second(seconds):
+    return T0 + timedelta(seconds=seconds)
+
+
+def _sequence(spark, tmp_path, rule, batches):
+    """Completions after each batch has been run as its own micro-batch, then one row that moves the watermark on."""
     schema = "src_ip string, event_id string, received_at timestamp"
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
-    rule = make_rule("s", "S", "sequence", "low", {"steps": [{"event_id": "a"}, {"event_id": "b"}], "group_by": "src_ip", "window_seconds": 100})
-    batches = [[("x", "a", T0), ("x", "a", T0 + timedelta(seconds=10)), ("y", "a", T0)],
-               [("x", "b", T0 + timedelta(seconds=10)), ("x", "b", T0 + timedelta(seconds=20)), ("y", "b", T0 + timedelta(seconds=101))]]
-    for rows in batches:
+    for rows in [*batches, [("end", rule.body["steps"][0]["event_id"], _second(100_000))]]:
         _append(spark, path, rows, schema)
         events = spark.readStream.schema(schema).parquet(path).selectExpr("*", "'h' AS source_host")
         _run(rules.sequence_stream(events, rule), out, f"{out}-checkpoint")
-    got = sorted((r["src_ip"], r["first_seen"], r["last_seen"]) for r in spark.read.parquet(out).collect())
+    return sorted((r["src_ip"], r["first_seen"], r["last_seen"]) for r in spark.read.parquet(out).collect())
+
+
+def _ab():
+    return make_rule("s", "S", "sequence", "low", {"steps": [{"event_id": "a"}, {"event_id": "b"}], "group_by": "src_ip", "window_seconds": 100})
+
+
+def test_sequence_state_spans_batches(spark, tmp_path):
+    batches = [[("x", "a", T0), ("x", "a", _second(10)), ("y", "a", T0)],
+               [("x", "b", _second(10)), ("x", "b", _second(20)), ("y", "b", _second(101))]]
     # a start of the same instant does not count, nor one outside the window
-    assert got == [("x", T0, T0 + timedelta(seconds=10)), ("x", T0 + timedelta(seconds=10), T0 + timedelta(seconds=20))]
+    assert _sequence(spark, tmp_path, _ab(), batches) == [("x", T0, _second(10)), ("x", _second(10), _second(20))]
+
+
+def test_sequence_ignores_the_order_of_arrival(spark, tmp_path):
+    # the start of y comes after a completion that lies before it; that of x, late but in time, before its completion
+    batches = [[("y", "a", _second(50)), ("x", "b", _second(55))], [("y", "b", _second(40)), ("x", "a", _second(45))]]
+    assert _sequence(spark, tmp_path, _ab(), batches) == [("x", _second(45), _second(55))]
+
+
+def test_absence_reports_every_silent_tick(spark):
+    from watchhouse.plans.threshold import absence_ticks
+
+    events = spark.createDataFrame([("a", _second(s)) for s in (0, 95, 300)], "event_id string, received_at timestamp").withColumn("src_ip", F.lit("x")).withColumn(
+        "extra", F.create_map().cast("map<string,string>"))
+    every, other = (make_rule(name, name, "absence", "low", {"filters": {"event_id": [wanted]}, "window_seconds": 60}) for name, wanted in (("e", "a"), ("o", "z")))
+    ticks = spark.createDataFrame([(_second(s),) for s in (60, 61, 94, 95, 155, 156, 299, 360, 360)] + [(None,)], "as_of timestamp")
+    got = sorted((r["rule_id"], int((r["last_seen"] - T0).total_seconds())) for r in absence_ticks(events, [every, other], ticks).collect())
+    assert got == [("e", s) for s in (61, 94, 156, 299)] + [("o", s) for s in (60, 61, 94, 95, 155, 156, 299, 360)]
+    assert absence_ticks(events, [every], ticks.limit(0)).count() == 0
 
 
 def test_bucket_state_spans_batches(spark, tmp_path):

@@ -29,21 +29,21 @@ def event_filter(spec: Mapping) -> Column:
     """A rule's event filter: all given fields must hold.  Unknown keys are ignored."""
     parts = []
     if spec.get("event_id"):
-        parts.append(F.col("event_id").isin(list(spec["event_id"])))
+        parts.append(F.col("event_id").isin([str(v) for v in spec["event_id"]]))
     for name in ("category", "source_type", "action"):
         if spec.get(name):
-            parts.append(F.col(name) == spec[name])
+            parts.append(F.col(name) == str(spec[name]))
     for tag in spec.get("tags") or []:
         parts.append(F.array_contains("tags", tag))
     for name in ("user_name", "log_level"):
         if spec.get(name):
-            parts.append(F.col(name) == spec[name])
+            parts.append(F.col(name) == str(spec[name]))
     return all_of(parts)
 
 
 def step_filter(step: Mapping) -> Column:
     names = ("event_id", "action", "category", "log_level")
-    return all_of(F.col(n) == step[n] for n in names if step.get(n))
+    return all_of(F.col(n) == str(step[n]) for n in names if step.get(n))
 
 
 def outside_hours(moment: Column, start, end) -> Column:

@@ -153,10 +153,18 @@ def rule_problems(rule_type: Column, body: Column) -> Column:
     def reason(condition: Column, text: str) -> Column:
         return F.when(condition, F.lit(text))
 
-    steps = F.from_json(F.coalesce(b.text("steps"), F.lit("[]")), "array<map<string,string>>")
+    steps = F.try_variant_get(b.document, "$.steps", "array<variant>")
+
+    def step_typed(step: Column) -> Column:
+        """An object whose known fields are texts or null."""
+        ok = F.coalesce(F.schema_of_variant(step).startswith("OBJECT"), F.lit(False))
+        for name in ("event_id", "action", "category", "log_level"):
+            kind = F.schema_of_variant(F.try_variant_get(step, f"$.{name}", "variant"))
+            ok = ok & F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
+        return ok
 
     def step_ok(step: Column) -> Column:
-        present = [c.blank_to_null(F.try_element_at(step, F.lit(n))).isNotNull()
+        present = [c.blank_to_null(F.try_variant_get(step, f"$.{n}", "string")).isNotNull()
                    for n in ("event_id", "action", "category")]
         return present[0] | present[1] | present[2]
 
@@ -185,6 +193,7 @@ def rule_problems(rule_type: Column, body: Column) -> Column:
         reason(is_type["threshold"] & aggregate_bad, "bad aggregate"),
         reason(is_type["threshold"] & _bad_integer(b, "distinct_users", -(2**31), None, False, True), "bad distinct_users"),
         reason(is_type["sequence"] & ~F.coalesce(F.size(steps) >= 2, F.lit(False)), "fewer than two steps"),
+        reason(is_type["sequence"] & ~F.coalesce(F.forall(steps, step_typed), F.lit(False)), "step field is not text"),
         reason(is_type["sequence"] & ~F.coalesce(F.forall(steps, step_ok), F.lit(False)),
                "step without event_id, action or category"),
         reason(is_type["blacklist"] & _bad_group(b, "field", True), "bad field"),

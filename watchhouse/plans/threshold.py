@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from watchhouse.functions import columns as c
 from watchhouse.operators import filters
 from watchhouse.plans.rule_bodies import Rule
 from watchhouse.plans.triggers import as_triggers, shown
+from watchhouse.schema import TRIGGERS
 
 _NUMBER = "decimal(38,6)"
 
@@ -53,11 +56,11 @@ def _extra_number(name: str) -> Column:
     return F.try_element_at(F.col("extra"), F.lit(name)).try_cast(_NUMBER)
 
 
-def _matches(rules: Sequence[Rule], as_of, compat: bool) -> Column:
-    """Array of (rule_no, group, number) for every rule the row satisfies."""
+def _matches(rules: Sequence[Rule], compat: bool, within: Callable[[Rule], Column]) -> Column:
+    """Array of (rule_no, group, number) for every rule the row satisfies; ``within`` is the rule's time condition."""
     hits = []
     for no, rule in enumerate(rules):
-        wanted = filters.in_window(as_of, rule.window_seconds) & filters.event_filter(rule.filters)
+        wanted = within(rule) & filters.event_filter(rule.filters)
         number = F.lit(None).cast(_NUMBER)
         if _mode(rule, compat) == "aggregate":
             field = rule.body["aggregate"]["field"]
@@ -72,7 +75,7 @@ def _matches(rules: Sequence[Rule], as_of, compat: bool) -> Column:
 def _matched_rows(events: DataFrame, rules: Sequence[Rule], as_of, compat: bool, *carry: str) -> DataFrame:
     widest = max(rule.window_seconds for rule in rules)
     scanned = events.filter(filters.in_window(as_of, widest))
-    return scanned.select(*carry, F.inline(_matches(rules, as_of, compat)))
+    return scanned.select(*carry, F.inline(_matches(rules, compat, lambda rule: filters.in_window(as_of, rule.window_seconds))))
 
 
 def threshold_triggers(events: DataFrame, rules: Sequence[Rule], as_of, compat: bool = False) -> DataFrame:
@@ -130,14 +133,118 @@ def threshold_rule(events: DataFrame, rule: Rule, as_of, compat: bool = False) -
     return threshold_triggers(events, [rule], as_of, compat)
 
 
+# --- panes: partial results that a stream keeps ------------------------------------------------------
+
+PANE_SECONDS = 30
+
+
+def _of_rule(values: list) -> Column:
+    """The value of the row's rule."""
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule_no"))
+
+
+def _with_member(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``member``: the user, for rules that count users."""
+    return rows.withColumn("member", F.when(_of_rule([_mode(r, False) == "distinct" for r in rules]), F.col("user_name")))
+
+
+def _partial() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.min("received_at").alias("first_seen"), F.max("received_at").alias("last_seen"),
+            F.max("number").alias("number")]
+
+
+def threshold_panes(events: DataFrame, rules: Sequence[Rule], delay: str = "1 minute", pane: int = PANE_SECONDS) -> DataFrame:
+    """Partial results of all given threshold rules per pane of ``pane`` seconds: one stream for any number of rules.
+
+    One row per (rule, group, pane), and per user for rules that count users.  A row of the input is counted once, whatever the
+    window; ``threshold_tick`` combines panes.  On a stream a pane is final once the watermark has passed it; rows that
+    come later than ``delay`` after it are dropped.
+    """
+    rows = events.withWatermark("received_at", delay) if events.isStreaming else events
+    matched = _with_member(rows.select("received_at", "user_name", F.inline(_matches(rules, False, lambda rule: F.lit(True)))), rules)
+    counted = matched.withColumn("rule_id", _of_rule([r.id for r in rules])).groupBy(
+        F.window("received_at", f"{pane} seconds").alias("w"), "rule_id", "grp", "member").agg(*_partial())
+    return counted.select(F.col("w.start").alias("pane"), "rule_id", "grp", "member", "n", "first_seen", "last_seen", "number")
+
+
+def threshold_tick(panes: DataFrame, events: DataFrame, rules: Sequence[Rule], as_of, pane: int = PANE_SECONDS) -> DataFrame:
+    """Triggers of the look-backs ``[as_of - window, as_of)``, from whole panes and the events of panes that an end cuts.
+
+    ``as_of`` must not lie after the watermark of the stream that keeps the panes.
+    """
+    end = F.unix_micros(c.as_timestamp(as_of))
+    width = F.lit(pane * 1_000_000)
+    last_whole = F.timestamp_micros(end - F.pmod(end, width))
+
+    def start(seconds: Column) -> Column:
+        return end - seconds.cast("bigint") * 1_000_000
+
+    def first_whole(seconds: Column) -> Column:
+        return F.timestamp_micros(start(seconds) + F.pmod(-start(seconds), width))
+
+    def cut(rule: Rule) -> Column:
+        at, seconds = F.col("received_at"), F.lit(rule.window_seconds)
+        return (at >= F.timestamp_micros(start(seconds))) & (at < c.as_timestamp(as_of)) & ((at < first_whole(seconds)) | (at >= last_whole))
+
+    params = events.sparkSession.createDataFrame([(no, r.id, r.window_seconds) for no, r in enumerate(rules)], "rule_no int, rule_id string, seconds long")
+    widest = F.lit(max(r.window_seconds for r in rules))
+    recent = panes.filter(F.col("pane").between(F.timestamp_micros(start(widest)), c.as_timestamp(as_of)))
+    whole = recent.join(params, "rule_id").filter(
+        (F.col("pane") >= first_whole(F.col("seconds"))) & (F.unix_micros("pane") + width <= F.unix_micros(last_whole)))
+    names = ["rule_no", "grp", "member", "n", "first_seen", "last_seen", "number"]
+    ends = events.filter(reduce(or_, [cut(r) for r in rules])).select("received_at", "user_name", F.inline(_matches(rules, False, cut)))
+    partial = _with_member(ends, rules).groupBy("rule_no", "grp", "member").agg(*_partial())
+    # members first, so that counting them needs no set per group
+    members = whole.select(*names).unionByName(partial.select(*names)).groupBy("rule_no", "grp", "member").agg(
+        F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("number").alias("number"))
+    counted = members.groupBy("rule_no", "grp").agg(
+        F.sum("n").alias("_rows"), F.count("member").alias("_members"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"), F.max("number").alias("number"))
+    users = _of_rule([_mode(r, False) == "distinct" for r in rules])
+    return _decide(counted.withColumn("event_count", F.when(users, F.col("_members")).otherwise(F.col("_rows"))), rules, False)
+
+
+# --- absence ---------------------------------------------------------------------------------------------
+
+
 def absence_triggers(events: DataFrame, rules: Sequence[Rule], as_of) -> DataFrame:
     """One trigger, dated ``as_of``, for every rule no event satisfies."""
     params = events.sparkSession.createDataFrame(_params(rules, True), _PARAMS)
     seen = _matched_rows(events, rules, as_of, True).groupBy("rule_no").agg(F.count(F.lit(1)).alias("n"))
-    silent = params.join(seen, "rule_no", "left_anti").select(
-        "*", c.as_timestamp(as_of).alias("first_seen"), c.as_timestamp(as_of).alias("last_seen"),
-        F.lit(0).cast("bigint").alias("event_count"),
-    )
+    return _absent(params.join(seen, "rule_no", "left_anti").withColumn("as_of", c.as_timestamp(as_of)))
+
+
+def absence_ticks(events: DataFrame, rules: Sequence[Rule], ticks: DataFrame) -> DataFrame:
+    """One trigger per tick of ``ticks(as_of)`` and rule that no event in ``[as_of - window, as_of]`` satisfies.
+
+    Events are reduced to their first and last instant per rule and block of window length.  A look-back meets two blocks: the
+    older one counts by its last instant, the other by its first, so ticks and blocks meet in an equality join.
+    """
+    low, high = ticks.agg(F.min("as_of").cast("string"), F.max("as_of").cast("string")).first()
+    if low is None:
+        return events.sparkSession.createDataFrame([], TRIGGERS)
+    spans = [r.window_seconds * 1_000_000 for r in rules]
+
+    def block(us: Column, span: Column) -> Column:
+        return us - F.pmod(us, span)
+
+    at = F.col("received_at")
+    rows = events.filter((at >= c.seconds_before(low, max(r.window_seconds for r in rules))) & (at <= c.as_timestamp(high)))
+    matched = rows.select(F.unix_micros("received_at").alias("us"), F.inline(_matches(rules, True, lambda rule: F.lit(True))))
+    seen = matched.groupBy("rule_no", block(F.col("us"), _of_rule(spans)).alias("block")).agg(F.min("us").alias("low"), F.max("us").alias("high"))
+    asked = ticks.filter("as_of IS NOT NULL").select("as_of").distinct().select(
+        "as_of", F.inline(F.array(*[F.struct(F.lit(no).alias("rule_no"), F.lit(span).alias("span")) for no, span in enumerate(spans)])))
+    us = F.unix_micros("as_of")
+    looked = asked.withColumn("block", F.explode(F.array(block(us, F.col("span")), block(us, F.col("span")) - F.col("span"))))
+    met = (F.col("high") >= us - F.col("span")) & (F.col("low") <= us)
+    silent = looked.join(seen, ["rule_no", "block"], "left").groupBy("as_of", "rule_no").agg(
+        F.bool_or(F.coalesce(met, F.lit(False))).alias("met")).filter("NOT met")
+    return _absent(silent.join(events.sparkSession.createDataFrame(_params(rules, True), _PARAMS), "rule_no"))
+
+
+def _absent(silent: DataFrame) -> DataFrame:
+    """Triggers of rules that are silent at ``as_of``."""
+    silent = silent.withColumns({"first_seen": F.col("as_of"), "last_seen": F.col("as_of"), "event_count": F.lit(0).cast("bigint")})
     return as_triggers(
         silent, rule_id=F.col("rule_id"), severity=F.col("severity"), name=F.col("name"), group_column=None,
         group=None, key=F.concat(F.col("rule_id"), F.lit(":absent")),

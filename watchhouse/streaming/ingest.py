@@ -15,7 +15,7 @@ STORAGE_TRIGGER = "5 seconds"
 ARCHIVE_TRIGGER = "60 seconds"
 
 
-def _trigger(writer, interval: str | None):
+def trigger(writer, interval: str | None):
     """A processing-time trigger, or everything available once when ``interval`` is None."""
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
@@ -30,7 +30,7 @@ def start_storage(events: DataFrame, path: str, checkpoint: str, interval: str |
         events = events.withWatermark("received_at", dedupe_within).dropDuplicatesWithinWatermark(["id"])
     writer = event_table(events).writeStream.format("parquet").partitionBy("event_month").option(
         "checkpointLocation", checkpoint)
-    return _trigger(writer, interval).start(path)
+    return trigger(writer, interval).start(path)
 
 
 def start_archive(lines: DataFrame, path: str, checkpoint: str, as_of=None,
@@ -39,7 +39,7 @@ def start_archive(lines: DataFrame, path: str, checkpoint: str, as_of=None,
     moment = F.current_timestamp() if as_of is None else c.as_timestamp(as_of)
     writer = archive_rows(lines, moment).writeStream.format("text").partitionBy(
         "source_type", "year", "month", "day").option("compression", "gzip").option("checkpointLocation", checkpoint)
-    return _trigger(writer, interval).start(path)
+    return trigger(writer, interval).start(path)
 
 
 def normalized_stream(lines: DataFrame, sources: DataFrame, geo_ranges: DataFrame | None = None) -> DataFrame:
@@ -73,7 +73,7 @@ def start_ingest(lines: DataFrame, sources: DataFrame, out: str, checkpoint: str
             batch.unpersist()
 
     writer = parsed.writeStream.foreachBatch(fan_out).option("checkpointLocation", checkpoint)
-    return _trigger(writer, interval).start()
+    return trigger(writer, interval).start()
 
 
 def _overwrite(df: DataFrame, batch_id: int, path: str, file_format: str, *partitions: str) -> None:

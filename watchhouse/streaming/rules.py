@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, or_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,53 +16,15 @@ from watchhouse.functions import columns as c
 from watchhouse.operators import filters
 from watchhouse.plans.anomaly import anomaly_from_hourly, hourly_counts
 from watchhouse.plans.rule_bodies import Rule
-from watchhouse.plans.threshold import absence_triggers
+from watchhouse.plans.threshold import absence_ticks
 from watchhouse.plans.triggers import as_triggers, shown
-from watchhouse.schema import ALERTS, TRIGGERS
+from watchhouse.schema import ALERTS
 from watchhouse.operators.alerts import merge_triggers
+from watchhouse.streaming.ingest import trigger
 
-# a row belongs to window / slide windows; keep that number small
-MAX_WINDOW_COPIES = 60
 REAL_TIME_SECONDS = 30
 
 
-def slide_seconds(window_seconds: int) -> int:
-    """The rule cadence, or a coarser one when the window is long."""
-    return max(min(REAL_TIME_SECONDS, window_seconds), math.ceil(window_seconds / MAX_WINDOW_COPIES))
-
-
-def threshold_windows(events: DataFrame, rule: Rule, delay: str = "1 minute", slide: int | None = None) -> DataFrame:
-    """Counting threshold rule over sliding windows; works on streams and on stored events.
-
-    Each window stands for one look-back ``[end - window, end)``; windows of a group are reported
-    separately with the same group key, to be merged with ``mode="replace"``.
-    """
-    window = rule.window_seconds
-    slide = slide or slide_seconds(window)
-    rows = events.filter(filters.event_filter(rule.filters))
-    if events.isStreaming:
-        rows = rows.withWatermark("received_at", delay)
-    group = F.col(rule.group_by).cast("string") if rule.group_by else F.lit("")
-    counted = rows.groupBy(
-        F.window("received_at", f"{window} seconds", f"{slide} seconds").alias("w"), group.alias("grp")
-    ).agg(
-        F.count(F.lit(1)).alias("event_count"), F.min("received_at").alias("first_seen"),
-        F.max("received_at").alias("last_seen"),
-    )
-    reached = counted.filter(F.col("event_count") >= int(rule.body.get("count", 1)))
-    hours = rule.body.get("outside_hours")
-    if hours:
-        reached = reached.filter(filters.outside_hours(F.col("last_seen"), hours["start"], hours["end"]))
-    triggers = as_triggers(
-        reached, rule_id=rule.id, severity=rule.severity, name=rule.name, group_column=rule.group_by,
-        group=shown(F.col("grp")) if rule.group_by else None,
-        description=F.concat(F.lit("Triggered "), F.col("event_count").cast("string"),
-                             F.lit(f" event(s) within {window}s")),
-        extra=F.create_map(F.lit("window_end"), F.col("w.end").cast("string")),
-    )
-    return triggers
-
-
 def blacklist_stream(events: DataFrame, blacklists: DataFrame, rule: Rule) -> DataFrame:
     """One trigger per matching event of the stream; the list is a static table."""
     field, list_name = rule.body["field"], rule.body["list_name"]
@@ -81,67 +44,80 @@ def blacklist_stream(events: DataFrame, blacklists: DataFrame, rule: Rule) -> Da
 
 
 class _SequenceState(StatefulProcessor):
-    """Per group and step: the latest start of a chain that has reached the step.
+    """Per group: instants that wait for the watermark, and per step the latest start of a chain that has reached it.
 
-    ``reached[k]`` covers instants before ``at``; ``fresh[k]`` collects those of instant ``at`` itself,
-    which become usable only for later instants, as steps must be strictly ordered in time.
+    Rows wait in buckets of event time, keyed by their end, and a bucket is walked in time order once the watermark has passed
+    its end, so the order of arrival does not matter.  Steps are strictly ordered in time: an instant extends only
+    chains of earlier instants.  State is cleared a window after the last row of a group.
     """
 
-    def __init__(self, steps: int, window_micros: int):
-        self.steps, self.window = steps, window_micros
+    def __init__(self, steps: int, window_micros: int, bucket_ms: int):
+        self.steps, self.window, self.bucket_ms = steps, window_micros, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("reached", "at bigint, reached array<bigint>, fresh array<bigint>",
-                                          ttlDurationMs=None)
+        self.handle = handle
+        self.state = handle.getValueState("reached", "at bigint, reached array<bigint>")
+        self.waiting = handle.getMapState("waiting", "ends bigint", "at array<bigint>, steps array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).groupby("at", sort=True).max()
-        none = [None] * self.steps
+        watermark = timerValues.getCurrentWatermarkInMs()
+        fresh: dict[int, dict[int, int]] = {}
+        for part in rows:
+            part = part[["at", "steps"]].drop_duplicates()
+            for at, steps in zip(part["at"].tolist(), part["steps"].tolist()):
+                ends = (at // 1000 // self.bucket_ms + 1) * self.bucket_ms
+                if ends > watermark:
+                    marks = fresh.setdefault(ends, {})
+                    marks[at] = marks.get(at, 0) | steps
+        for ends, marks in fresh.items():
+            if self.waiting.containsKey((ends,)):
+                for at, steps in zip(*self.waiting.getValue((ends,))):
+                    marks[at] = marks.get(at, 0) | steps
+            self.waiting.updateValue((ends,), (list(marks), list(marks.values())))
+            self.handle.registerTimer(ends)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ends = expiredTimerInfo.getExpiryTimeInMs()
         saved = self.state.get()
-        at, reached, fresh = (saved[0], list(saved[1]), list(saved[2])) if saved else (None, none[:], none[:])
+        if not self.waiting.containsKey((ends,)):
+            if saved and saved[0] + self.window < ends * 1000:
+                self.state.clear()
+            return
+        marks = sorted(zip(*self.waiting.getValue((ends,))))
+        self.waiting.removeKey((ends,))
+        reached = list(saved[1]) if saved else [None] * self.steps
         found = []
-        flags = batch[[f"m{i}" for i in range(self.steps)]].to_numpy()
-        for moment, marks in zip(batch.index, flags):
-            moment = int(moment)
-            if moment != at:
-                reached = [_later(a, b) for a, b in zip(reached, fresh)]
-                fresh, at = none[:], moment
-            starts = [moment if k == 0 else reached[k - 1] for k in range(self.steps)]
+        for at, steps in marks:
+            starts = [at, *reached[:-1]]
             for k, start in enumerate(starts):
-                if marks[k] and start is not None and moment - start <= self.window:
-                    fresh[k] = _later(fresh[k], start)
-            if fresh[-1] is not None:
-                found.append((key[0], fresh[-1], moment))
-        self.state.update((at, reached, fresh))
+                if steps >> k & 1 and start is not None and (k == 0 or start < at) and at - start <= self.window:
+                    reached[k] = start if reached[k] is None else max(reached[k], start)
+                    if k == self.steps - 1:
+                        found.append((key[0], start, at))
+        self.state.update((marks[-1][0], reached))
+        self.handle.registerTimer(ends + self.window // 1000 + self.bucket_ms)
         yield pd.DataFrame(found, columns=["grp", "first", "last"])
 
     def close(self) -> None:
         pass
 
 
-def _later(a: int | None, b: int | None) -> int | None:
-    if a is None or b is None:
-        return b if a is None else a
-    return max(a, b)
-
-
-def sequence_stream(events: DataFrame, rule: Rule) -> DataFrame:
+def sequence_stream(events: DataFrame, rule: Rule, delay: str = "1 minute") -> DataFrame:
     """One trigger per completed chain end, with the latest start that leads to it.
 
-    Only rows that match a step reach the state, which holds a few numbers per group.  Needs the
-    RocksDB state store.
+    Only rows that match a step reach the state.  A completion is reported when the watermark has passed its bucket (the
+    rule cadence); rows more than ``delay`` late are dropped.  Needs the RocksDB state store.
     """
     steps = [filters.step_filter(s) for s in rule.body["steps"]]
-    any_step = steps[0]
-    for s in steps[1:]:
-        any_step = any_step | s
-    rows = events.filter(any_step & F.col(rule.group_by).isNotNull()).select(
-        F.col(rule.group_by).cast("string").alias("grp"), F.unix_micros("received_at").alias("at"),
-        *[F.coalesce(s, F.lit(False)).alias(f"m{i}") for i, s in enumerate(steps)],
+    rows = events.filter(reduce(or_, steps) & F.col(rule.group_by).isNotNull()).withWatermark("received_at", delay).select(
+        F.col(rule.group_by).cast("string").alias("grp"), "received_at", F.unix_micros("received_at").alias("at"),
+        reduce(add, [F.when(s, 1 << k).otherwise(0) for k, s in enumerate(steps)]).cast("bigint").alias("steps"),
     )
+    bucket = max(1, min(REAL_TIME_SECONDS, rule.window_seconds))
     found = rows.groupBy("grp").transformWithStateInPandas(
-        _SequenceState(len(steps), rule.window_seconds * 1_000_000), "grp string, first bigint, last bigint",
-        "append", "none",
+        _SequenceState(len(steps), rule.window_seconds * 1_000_000, bucket * 1000), "grp string, first bigint, last bigint",
+        "append", "eventTime",
     )
     seen = found.select(
         "grp", F.timestamp_micros("first").alias("first_seen"), F.timestamp_micros("last").alias("last_seen"),
@@ -156,14 +132,14 @@ def sequence_stream(events: DataFrame, rule: Rule) -> DataFrame:
 # --- ticks on stored events -------------------------------------------------------------------------
 
 
-def start_hourly_rollup(events: DataFrame, rule: Rule, path: str, checkpoint: str) -> StreamingQuery:
+def start_hourly_rollup(events: DataFrame, rule: Rule, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Keep hourly counts of an anomaly rule up to date, so a tick reads hours instead of events.
 
     Each batch writes its partial counts to its own partition; readers add them up.
     """
     group = F.col(rule.group_by).cast("string") if rule.group_by else F.lit(None).cast("string")
 
-    def add(batch: DataFrame, batch_id: int) -> None:
+    def keep(batch: DataFrame, batch_id: int) -> None:
         wanted = filters.event_filter(rule.filters)
         if rule.group_by:
             wanted = wanted & group.isNotNull()
@@ -173,8 +149,7 @@ def start_hourly_rollup(events: DataFrame, rule: Rule, path: str, checkpoint: st
         counts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
-    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    return trigger(events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint), interval).start()
 
 
 def anomaly_tick(events: DataFrame, hourly: DataFrame, rule: Rule, as_of) -> DataFrame:
@@ -197,23 +172,17 @@ def anomaly_tick(events: DataFrame, hourly: DataFrame, rule: Rule, as_of) -> Dat
     return anomaly_from_hourly(merged, rule, as_of)
 
 
-def start_absence(ticks: DataFrame, read_events, rules: list[Rule], path: str, checkpoint: str) -> StreamingQuery:
-    """Evaluate absence rules for every tick time of ``ticks(as_of)`` against the stored events.
+def start_absence(ticks: DataFrame, read_events, rules: list[Rule], path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Evaluate absence rules at every tick of ``ticks(as_of)`` against the stored events.
 
-    Silence produces no rows, so a tick stream (not the event stream) drives the query.
-    ``read_events()`` returns the stored events.
+    Silence produces no rows, so a tick stream (not the event stream) drives the query.  ``read_events()`` returns the stored
+    events; ``interval`` is a processing-time trigger, by default all ticks there are.
     """
     def check(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        out = spark.createDataFrame([], TRIGGERS)
-        for (moment,) in batch.agg(F.max("as_of").cast("string")).collect():
-            if moment is not None:
-                out = absence_triggers(read_events(), rules, moment)
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+        absence_ticks(read_events(), rules, batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
-    return ticks.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    return trigger(ticks.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint), interval).start()
 
 
 # --- alerts -------------------------------------------------------------------------------------------
@@ -247,10 +216,9 @@ class AlertStore:
 
 
 def start_alert_merge(triggers: DataFrame, store: AlertStore, checkpoint: str, as_of,
-                      mode: str = "accumulate") -> StreamingQuery:
+                      mode: str = "accumulate", interval: str | None = None) -> StreamingQuery:
     """Merge a trigger stream into the alert table, one version per batch."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         store.write(merge_triggers(store.read(before=batch_id), batch, as_of, mode), batch_id)
 
-    return triggers.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    return trigger(triggers.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint), interval).start()

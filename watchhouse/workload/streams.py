@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchhouse.operators import rate_limit as buckets
 from watchhouse.plans.rule_bodies import make_rule
+from watchhouse.plans.threshold import threshold_panes, threshold_tick
 from watchhouse.session import shared_dir
 from watchhouse.sources import sinks, tables
 from watchhouse.streaming import ingest, rules
@@ -61,28 +62,42 @@ def st_archive(t: Tables):
     return archived.groupBy("source_type", "year", "day", "raw").agg(F.count(F.lit(1)).alias("n"))
 
 
-_WINDOW, _SLIDE = 10 * DAY, 14_400
+_TICKS = ("2024-01-15 00:00:00", "2024-01-22 12:00:07", "2024-01-29 06:00:30")
 
 
-@query(f"""{SIEM}, f AS (SELECT src_ip, received_at, CAST(floor(epoch(received_at) / {_SLIDE}) AS BIGINT) * {_SLIDE} AS s0 FROM siem WHERE event_id = '4625'),
-    w AS (SELECT src_ip, received_at, s0 - k * {_SLIDE} + {_WINDOW} AS e FROM f, range(0, {_WINDOW // _SLIDE}) r(k))
-    SELECT concat('w:', src_ip) AS group_key, CAST(e AS BIGINT) AS window_end, count(*) AS event_count, {ts('min(received_at)', 'first_seen')} FROM w
-    WHERE e <= (SELECT epoch(max(received_at)) - 60 FROM f) GROUP BY src_ip, e HAVING count(*) >= 5""", streaming=True)
+def _threshold_sql(rule: str, group: str, days: int, wanted: str, count: str, having: str) -> str:
+    return (f"SELECT tick, concat('{rule}:', {group}) AS group_key, {count} AS event_count, {ts('min(received_at)', 'first_seen')}, {ts('max(received_at)', 'last_seen')} "
+            f"FROM siem, k WHERE {wanted} AND received_at >= moment - INTERVAL {days * DAY} SECOND AND received_at < moment GROUP BY tick, {group} HAVING {having}")
+
+
+_SENT = "TRY_CAST(extra['sentbyte'] AS DECIMAL(38,6))"
+
+
+@query(f"""{SIEM}, k AS (SELECT tick, CAST(tick AS TIMESTAMP) AS moment FROM (SELECT unnest({list(_TICKS)}) AS tick)),
+    t AS ({_threshold_sql('c', 'src_ip', 10, "event_id = '4625'", 'count(*)', 'count(*) >= 5')}
+      UNION ALL {_threshold_sql('u', 'source_host', 7, "category = 'auth'", 'count(DISTINCT user_name)', 'count(DISTINCT user_name) >= 20')}
+      UNION ALL {_threshold_sql('s', 'src_ip', 3, "source_type = 'fortigate' AND extra['sentbyte'] IS NOT NULL", 'count(*)', f'CAST(max({_SENT}) AS DOUBLE) > 400000000')})
+    SELECT * FROM t""", streaming=True)
 def st_threshold(t: Tables):
-    """Ten-day windows sliding by four hours; windows the watermark has passed are final."""
-    rule = make_rule("w", "Windowed", "threshold", "high", {
-        "filters": {"event_id": ["4625"]}, "group_by": "src_ip", "count": 5, "window_seconds": _WINDOW})
-    found = _collect(rules.threshold_windows(t.siem, rule), "threshold")
-    end = F.unix_timestamp(F.col("extra")["window_end"].cast("timestamp"))
-    return found.select("group_key", end.alias("window_end"), "event_count", "first_seen")
+    """Counting, distinct-user and aggregate rules kept as panes by one stream; each tick equals the batch form."""
+    wanted = [
+        make_rule("c", "Count", "threshold", "high", {"filters": {"event_id": ["4625"]}, "group_by": "src_ip", "count": 5, "window_seconds": 10 * DAY}),
+        make_rule("u", "Users", "threshold", "high", {"filters": {"category": "auth"}, "group_by": "source_host", "distinct_users": 20, "window_seconds": 7 * DAY}),
+        make_rule("s", "Sent", "threshold", "high", {"filters": {"source_type": "fortigate"}, "group_by": "src_ip", "window_seconds": 3 * DAY,
+                                                     "aggregate": {"field": "sentbyte", "op": "gt", "value": 400000000}})]
+    panes = _collect(threshold_panes(t.siem, wanted), "threshold")
+    stored = Tables(t.spark, t.folder).siem
+    fired = [threshold_tick(panes, stored, wanted, tick).withColumn("tick", F.lit(tick)) for tick in _TICKS]
+    return fired[0].unionByName(fired[1]).unionByName(fired[2]).select("tick", "group_key", "event_count", "first_seen", "last_seen")
 
 
-@query(f"""{SIEM}, a AS (SELECT src_ip AS g, received_at AS ts, event_id AS e FROM siem),
+@query(f"""{SIEM}, a AS (SELECT src_ip AS g, received_at AS ts, event_id AS e FROM siem WHERE event_id IN ('4625', '4624', '4672')),
     m AS (SELECT x.g, y.ts AS t1, max(x.ts) AS t0 FROM a x JOIN a y ON y.g = x.g AND y.ts > x.ts WHERE x.e = '4625' AND y.e = '4624' GROUP BY x.g, y.ts),
     z AS (SELECT m.g, z.ts AS t2, max(t0) AS t0 FROM m JOIN a z ON z.g = m.g AND z.ts > m.t1 WHERE z.e = '4672' GROUP BY m.g, z.ts)
-    SELECT concat('q:', g) AS group_key, {ts('t0', 'first_seen')}, {ts('t2', 'last_seen')} FROM z WHERE epoch_us(t2) - epoch_us(t0) <= {5 * DAY * 1_000_000}""", streaming=True)
+    SELECT concat('q:', g) AS group_key, {ts('t0', 'first_seen')}, {ts('t2', 'last_seen')} FROM z WHERE epoch_us(t2) - epoch_us(t0) <= {5 * DAY * 1_000_000}
+      AND (floor(epoch(t2) / 30) + 1) * 30 <= (SELECT epoch(max(ts)) - 60 FROM a)""", streaming=True)
 def st_sequence(t: Tables):
-    """Three steps within five days: every completion with the latest start that leads to it."""
+    """Three steps within five days: every completion the watermark has passed, with the latest start that leads to it."""
     rule = make_rule("q", "Chain", "sequence", "high", {
         "steps": [{"event_id": "4625"}, {"event_id": "4624"}, {"event_id": "4672"}], "group_by": "src_ip", "window_seconds": 5 * DAY})
     return _collect(rules.sequence_stream(t.siem, rule), "sequence").select("group_key", "first_seen", "last_seen")
@@ -98,14 +113,19 @@ def st_blacklist(t: Tables):
     return found.select("group_key", "last_seen")
 
 
-@query(f"""{SIEM}, m AS (SELECT date_trunc('day', max(received_at)) AS now FROM siem),
-    n AS (SELECT count(*) AS a, count(*) FILTER (list_contains(tags, 'no:such:tag')) AS b FROM siem, m WHERE received_at >= now - INTERVAL 604800 SECOND)
-    SELECT 'silent:absent' AS group_key, {ts('now', 'last_seen')} FROM m, n WHERE b = 0 UNION ALL SELECT 'busy:absent', {ts('now', 'last_seen')} FROM m, n WHERE a = 0""", streaming=True)
+@query(f"""{SIEM}, k AS (SELECT DISTINCT date_trunc('day', received_at) AS tick FROM siem),
+    r AS (SELECT tick, unnest(['silent:absent', 'quiet:absent', 'busy:absent']) AS group_key FROM k)
+    SELECT group_key, {ts('tick', 'last_seen')} FROM r WHERE NOT EXISTS (SELECT 1 FROM siem WHERE received_at <= tick AND CASE group_key
+      WHEN 'silent:absent' THEN received_at >= tick - INTERVAL 604800 SECOND AND list_contains(tags, 'no:such:tag')
+      WHEN 'quiet:absent' THEN received_at >= tick - INTERVAL 7200 SECOND AND action = 'logon' AND log_level = 'info' AND user_name = 'user7'
+      ELSE received_at >= tick - INTERVAL 604800 SECOND END)""", streaming=True)
 def st_absence(t: Tables):
-    """Ticks derived from the event stream; each looks back over the stored events."""
+    """Ticks derived from the event stream; each one looks back over the stored events, silent or not."""
     path = shared_dir(t.spark, "absence")
     window = {"window_seconds": 7 * DAY}
     wanted = [make_rule("silent", "Silent", "absence", "high", {"filters": {"tags": ["no:such:tag"]}, **window}),
+              make_rule("quiet", "Quiet", "absence", "high", {
+                  "filters": {"action": "logon", "log_level": "info", "user_name": "user7"}, "window_seconds": 7200}),
               make_rule("busy", "Busy", "absence", "high", window)]
     stored = Tables(t.spark, t.folder).siem
     ticks = t.siem.select(F.date_trunc("day", "received_at").alias("as_of"))
