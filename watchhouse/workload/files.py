@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchhouse.operators import normalize
@@ -10,7 +11,7 @@ from watchhouse.session import cut_lineage, shared_dir
 from watchhouse.sources import lines as src
 from watchhouse.sources import sinks, tables
 from watchhouse.workload.registry import query
-from watchhouse.workload.tables import AS_OF, Tables, duck_ip, ts, with_tables
+from watchhouse.workload.tables import AS_OF, Tables, duck_ip, ip, ts, with_tables
 
 _U, _E = "CAST(user_id AS STRING)", "CAST(event_id AS STRING)"
 _IP = duck_ip("user_id")
@@ -213,33 +214,46 @@ def archive_inventory(t: Tables):
         (F.count(F.lit(1)) > 0).alias("has_files"), (F.sum("length") > 0).alias("has_bytes"))
 
 
-_MIXED = """WITH k AS (SELECT CASE WHEN event_id % 5 = 0 OR (event_id % 5 = 3 AND event_type = 'purchase') THEN 'fortigate' WHEN event_id % 5 = 1 AND event_id % 11 <> 0 THEN 'cisco_asa'
-      WHEN event_id % 5 = 2 THEN 'windows' WHEN event_id % 5 = 3 THEN 'linux' END AS what, event_id, event_type FROM events)"""
+# Mixed lines with what becomes of them: registered senders are parsed by their registered type, others by content; auditd texts contain
+# "type=", which is taken for the firewall format; Windows and Linux lines must be JSON objects, as two of five lines are.
+MIXED = f"""{with_tables('sources', 'mixed_lines')}, resolved AS (SELECT m.raw, e.event_id, s.id IS NOT NULL AS registered, coalesce(s.source_type,
+      CASE WHEN e.event_id % 5 = 0 OR (e.event_id % 5 = 3 AND e.event_type = 'purchase') THEN 'fortigate'
+        WHEN e.event_id % 5 = 1 AND e.event_id % 11 <> 0 THEN 'cisco_asa' WHEN e.event_id % 5 = 2 THEN 'windows' ELSE 'linux' END) AS kind
+      FROM events e JOIN mixed_lines m ON m.record_id = CAST(e.event_id AS VARCHAR) LEFT JOIN sources s ON s.ip_address = m.source_ip AND s.enabled),
+    k AS (SELECT raw, sha256(raw) AS digest, registered, CASE WHEN kind = 'cisco_ios' THEN 'cisco_asa'
+      WHEN kind IN ('windows', 'linux') AND event_id % 5 NOT IN (2, 3) THEN NULL ELSE kind END AS what FROM resolved)"""
+_EVENTS_AND_ARCHIVE = f"""{MIXED} SELECT 'events' AS sink, what AS kind, digest, count(*) AS n FROM k WHERE what IS NOT NULL GROUP BY what, digest
+    UNION ALL SELECT 'archive', what, digest, count(*) FROM k WHERE what IS NOT NULL GROUP BY what, digest"""
+FANNED_OUT = f"""{_EVENTS_AND_ARCHIVE}
+    UNION ALL SELECT 'errors', 'not a JSON object', digest, count(*) FROM k WHERE what IS NULL GROUP BY digest"""
 
 
-@query(f"""{_MIXED} SELECT 'events' AS sink, what AS kind, count(*) AS n FROM k WHERE what IS NOT NULL GROUP BY what
-    UNION ALL SELECT 'archive', what, count(*) FROM k WHERE what IS NOT NULL GROUP BY what""")
+def counted_lines(sink: str, df: DataFrame, kind: str, raw: str) -> DataFrame:
+    """Every line of a sink by its digest, with its number of copies."""
+    return df.groupBy(F.lit(sink).alias("sink"), F.col(kind).alias("kind"), F.sha2(raw, 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_EVENTS_AND_ARCHIVE)
 def sink_fanout(t: Tables):
     """Parsed once, stored as events and as raw archive."""
-    parsed = cut_lineage(normalize.normalize(t.mixed_lines, t.sources.limit(0)), "parsed")
+    parsed = cut_lineage(normalize.normalize(t.mixed_lines, t.sources), "parsed")
     path = shared_dir(t.spark, "fanout")
     good = normalize.good_events(parsed)
     sinks.write_events(good, f"{path}/events")
     sinks.write_archive(good.select(F.col("raw_message").alias("raw"), "source_type"), f"{path}/archive", AS_OF)
     events, archive = tables.read_events(t.spark, f"{path}/events"), sinks.read_archive(t.spark, f"{path}/archive")
-    parts = [df.groupBy(F.col("source_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).withColumn("sink", F.lit(name))
-             for name, df in (("events", events), ("archive", archive))]
-    return parts[0].unionByName(parts[1])
+    return counted_lines("events", events, "source_type", "raw_message").unionByName(counted_lines("archive", archive, "source_type", "raw"))
 
 
-@query("""SELECT 'parse_error' AS error, 'not a JSON object' AS detail, sha256(text) AS digest, count(*) AS n FROM documents
-    WHERE NOT regexp_matches(text, 'type=|devname=|logid=') GROUP BY 3""")
+@query(f"""{with_tables('sources')}, k AS (SELECT d.text, coalesce(s.source_type, CASE WHEN regexp_matches(d.text, 'type=|devname=|logid=') THEN 'fortigate' ELSE 'linux' END) AS kind
+      FROM documents d LEFT JOIN sources s ON s.ip_address = {duck_ip('doc_id')} AND s.enabled)
+    SELECT 'parse_error' AS error, 'not a JSON object' AS detail, sha256(text) AS digest, count(*) AS n FROM k WHERE kind IN ('windows', 'linux') GROUP BY 3""")
 def sink_errors(t: Tables):
-    """Documents are no log lines: unless one looks like a firewall line, it becomes a dead letter."""
+    """Documents are no JSON: from senders taken for Windows or Linux each becomes a dead letter, whole."""
     lines = t.documents.select(
-        F.col("text").alias("raw"), F.lit("10.9.9.9").alias("source_ip"), F.lit(AS_OF).cast("timestamp").alias("received_at"),
+        F.col("text").alias("raw"), F.expr(ip("doc_id").replace("[div]", "div")).alias("source_ip"), F.lit(AS_OF).cast("timestamp").alias("received_at"),
         F.col("doc_id").cast("string").alias("record_id"))
     path = shared_dir(t.spark, "errors")
-    sinks.write_errors(normalize.bad_lines(normalize.normalize(lines, t.sources.limit(0))), path)
+    sinks.write_errors(normalize.bad_lines(normalize.normalize(lines, t.sources)), path)
     stored = tables.read_table(t.spark, path, "errors")
     return stored.groupBy("error", "detail", F.sha2("raw", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))

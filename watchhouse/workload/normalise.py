@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from watchhouse.functions import columns as c
 from watchhouse.operators import enrich, normalize, normalize_cisco, normalize_windows
 from watchhouse.sources.lines import clean_lines
+from watchhouse.workload.files import MIXED
 from watchhouse.workload.registry import query
 from watchhouse.workload.tables import Tables, duck_ip, ts, with_tables
 
@@ -306,17 +307,13 @@ def join_geoip(t: Tables):
 # --- the whole path --------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH k AS (SELECT CASE WHEN {_FORTI_LIKE} THEN 'fortigate' WHEN event_id % 5 = 1 AND event_id % 11 <> 0 THEN 'cisco_asa'
-      WHEN event_id % 5 = 1 THEN 'untagged text' WHEN event_id % 5 = 2 THEN 'windows' WHEN event_id % 5 = 3 THEN 'linux' ELSE 'not a JSON object' END AS what FROM events)
-    SELECT CASE WHEN what IN ('untagged text', 'not a JSON object') THEN 'error' ELSE 'event' END AS kind, what, count(*) AS n FROM k GROUP BY what""")
+@query(f"""{MIXED} SELECT digest, CASE WHEN what IS NULL THEN 'error' ELSE 'event' END AS kind, coalesce(what, 'not a JSON object') AS what, count(*) AS n FROM k GROUP BY ALL""")
 def norm_mixed(t: Tables):
-    """Unregistered senders: each line is recognised by content, free text becomes a dead letter."""
-    lines = t.mixed_lines
-    parsed = normalize.normalize(lines, t.sources.limit(0))
-    what = F.when(F.col("problem").isNull(), F.col("source_type")).when(
-        F.col("raw_message").rlike("plain text"), "untagged text").otherwise(F.col("problem"))
+    """Registered senders by their type, others by content; what a parser refuses becomes a dead letter."""
+    parsed = normalize.normalize(t.mixed_lines, t.sources)
     kind = F.when(F.col("problem").isNull(), "event").otherwise("error")
-    return parsed.groupBy(kind.alias("kind"), what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    what = F.when(F.col("problem").isNull(), F.col("source_type")).otherwise(F.col("problem"))
+    return parsed.groupBy(F.col("raw_hash").alias("digest"), kind.alias("kind"), what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(28), chr(29), chr(30), chr(31), chr(133), chr(160))"

@@ -12,7 +12,7 @@ from watchhouse.session import shared_dir
 from watchhouse.sources import sinks, tables
 from watchhouse.streaming import ingest, rules
 from watchhouse.streaming.rate_limit import rate_limit_stream
-from watchhouse.workload.files import _MIXED
+from watchhouse.workload.files import FANNED_OUT, counted_lines
 from watchhouse.workload.registry import query
 from watchhouse.workload.tables import AS_OF, DAY, Tables, duck_ip, ts, with_tables
 
@@ -28,20 +28,16 @@ def _collect(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query(f"""{_MIXED} SELECT 'events' AS sink, what AS kind, count(*) AS n FROM k WHERE what IS NOT NULL GROUP BY what
-    UNION ALL SELECT 'archive', what, count(*) FROM k WHERE what IS NOT NULL GROUP BY what
-    UNION ALL SELECT 'errors', 'not a JSON object', count(*) FROM k WHERE what IS NULL""", streaming=True)
+@query(FANNED_OUT, streaming=True)
 def st_normalize(t: Tables):
-    """Raw lines through one micro-batch job into events, archive and dead letters."""
+    """Raw lines of registered and other senders through one micro-batch job into events, archive and dead letters."""
     path = shared_dir(t.spark, "ingest")
-    run = ingest.start_ingest(t.mixed_lines, t.sources.limit(0), path, f"{path}/checkpoint", AS_OF, interval=None)
-    run.awaitTermination()
+    registry = Tables(t.spark, t.folder).sources
+    ingest.start_ingest(t.mixed_lines, registry, path, f"{path}/checkpoint", AS_OF, interval=None).awaitTermination()
     read = t.spark.read
-    parts = [("events", read.parquet(f"{path}/events"), "source_type"), ("archive", read.text(f"{path}/archive"), "source_type"),
-             ("errors", read.parquet(f"{path}/errors"), "detail")]
-    counts = [df.groupBy(F.col(key).alias("kind")).agg(F.count(F.lit(1)).alias("n")).withColumn("sink", F.lit(name))
-              for name, df, key in parts]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    events = counted_lines("events", read.parquet(f"{path}/events"), "source_type", "raw_message")
+    archive = counted_lines("archive", read.text(f"{path}/archive"), "source_type", "value")
+    return events.unionByName(archive).unionByName(counted_lines("errors", read.parquet(f"{path}/errors"), "detail", "raw"))
 
 
 @query(f"""{SIEM} SELECT id, {ts('received_at')}, message, strftime(received_at, '%Y-%m') AS event_month FROM siem""", streaming=True)
