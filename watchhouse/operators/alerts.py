@@ -52,7 +52,8 @@ def merge_triggers(alerts: DataFrame, triggers: DataFrame, as_of, mode: str = "a
     """The alert table after the triggers: open alerts updated, new ones added, the rest unchanged.
 
     Closed and acknowledged alerts never match.  ``mode="accumulate"`` adds the trigger counts,
-    ``mode="replace"`` overwrites them (for windows that are evaluated repeatedly).
+    ``mode="replace"`` overwrites them (for windows that are evaluated repeatedly).  Only open alerts
+    are shuffled; the history passes by.
     """
     now = c.as_timestamp(as_of)
     new_id = F.sha2(F.concat_ws("|", "rule_id", F.coalesce("group_key", F.lit("")), now.cast("string")), 256)
@@ -63,7 +64,8 @@ def merge_triggers(alerts: DataFrame, triggers: DataFrame, as_of, mode: str = "a
     incoming = matched.groupBy("id").agg(
         F.sum("event_count").alias("_n"), F.min("first_seen").alias("_first"), latest.alias("_new"))
 
-    joined = alerts.withColumn("_old", F.lit(True)).join(incoming, "id", "full")
+    history = alerts.filter(~F.col("status").eqNullSafe("open"))
+    joined = alerts.filter("status = 'open'").withColumn("_old", F.lit(True)).join(incoming, "id", "full")
     old, hit = F.col("_old").isNotNull(), F.col("_new").isNotNull()
     before = F.when(old, F.col("event_count")).otherwise(F.lit(0)) if mode == "accumulate" else F.lit(0)
     new_extra = F.from_json(F.col("_new.extra"), "map<string,string>")
@@ -79,7 +81,7 @@ def merge_triggers(alerts: DataFrame, triggers: DataFrame, as_of, mode: str = "a
         "created_at": F.when(old, F.col("created_at")).otherwise(now),
         "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
     }
-    return _shape(joined, values)
+    return _shape(joined, values).unionByName(_shape(history, {}))
 
 
 def _shape(df: DataFrame, values: dict[str, Column]) -> DataFrame:

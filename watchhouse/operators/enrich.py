@@ -84,8 +84,10 @@ def add_geoip(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     wide, narrow = _geo_pieces(ranges)
     ip = F.when(F.col("geo_country").isNull(), c.ipv4_number(F.col("src_ip")))
+    # rows without an address get keys below zero, which no block has: a shuffled join deals them out instead of gathering NULLs
+    nowhere = -1 - F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     located = events.withColumn("_ip", ip).withColumns({
-        "_n": _blocks(F.col("_ip"), _NARROW_BITS), "_w": _blocks(F.col("_ip"), _WIDE_BITS)})
+        "_n": F.coalesce(_blocks(F.col("_ip"), _NARROW_BITS), nowhere), "_w": F.coalesce(_blocks(F.col("_ip"), _WIDE_BITS), nowhere)})
     inside = (F.col("_n") == F.col("_narrow")) & F.col("_ip").between(F.col("_lo"), F.col("_hi"))
     joined = located.join(narrow, inside, "left").join(
         wide.withColumnsRenamed({"_country": "_wide_country", "_city": "_wide_city"}), F.col("_w") == F.col("_wide"), "left")
