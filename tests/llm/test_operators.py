@@ -114,6 +114,24 @@ def test_nearest_vectors(spark):
     assert len(curve_search.nearest(few, F.col("vec_id") == 0, 10).collect()) == 2
 
 
+def _recall(spark, vectors, **how):
+    """Share of the ten nearest distances of every hundredth row that the operator reaches."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in curve_search.nearest(df, F.col("vec_id") % 100 == 0, 10, **how).collect():
+        found[r.query_id].append(r.score)
+    hits = 0
+    for q in range(0, len(vectors), 100):
+        tenth = np.sort(np.delete(np.sqrt(((vectors - vectors[q]) ** 2).sum(1)), q))[9]
+        hits += sum(score <= tenth * (1 + 1e-12) for score in found[q])
+    return hits / (10 * len(range(0, len(vectors), 100)))
+
+
+def test_window_grows_with_the_rows(spark):
+    vectors = np.random.default_rng(5).standard_normal((4000, 64))
+    assert _recall(spark, vectors / np.linalg.norm(vectors, axis=1, keepdims=True), window=8) >= 0.9
+
+
 def test_licenses(spark, texts):
     phrases = ["MIT License", "Apache,  license!", "the general public License", "mit licenses", "general license public", "Redistribution and use in source and binary forms, with or "
                "without modification, are permitted", "mit mit license license", "Mozilla Public License"]

@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each of several curves rotates the vectors at random, keeps a few of the dimensions, shifts and cuts them into cells and orders the
-vectors by the Hilbert key of their cell.  Near vectors are often neighbours on at least one curve.  Per curve the vectors
-are range-partitioned and numbered along the key; a query is compared exactly with those at most ``window`` places away;
-the finds of all curves are merged and ranked by exact distance in double precision.
+vectors by the Hilbert key of their cell.  Near vectors are often neighbours on at least one curve.  Per curve the vectors are range-partitioned and numbered
+along the key; a query is compared exactly with those at most a window of places away; the finds of all curves are merged and
+ranked by exact distance in double precision.
+
+Law of the window: rows / (2 * curves) places to each side, at least ``window``.  The windows of all curves thus have as many places
+as the table has rows, whatever its size; a window of fixed size would find ever less as rows grow.  Vectors without any
+structure need this; the work grows with queries times rows.
 
 Equal vectors are first reduced to one row with the smallest ids they stand for (as many as can ever be returned), so a vector
 shared by very many rows takes one place on a curve and ties resolve to the smallest ids.
@@ -24,8 +28,9 @@ from watchhouse.llm.common import partitions, stored
 from watchhouse.llm.hilbert import hilbert_keys
 
 CURVES = 24
-WINDOW = 1024  # places to each side
+WINDOW = 1024  # places to each side, at least
 DIMENSIONS, BITS = 6, 8
+BLOCK = 32768  # rows compared in one task, at most
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -85,33 +90,47 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, curves: int = CURVES,
     part = F.shiftright("_at", 33).alias("_part")
     pieces = placed.groupBy(part, "line").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("line").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select("_part", "line", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    numbered = placed.withColumn("_part", part).join(pieces, ["_part", "line"]).select("line", "rep", (F.col("_at") - F.col("_first") + F.col("_before")).alias("place"))
+    reach = F.greatest(F.lit(window), F.ceil(F.sum("n").over(Window.partitionBy("line")) / (2 * curves))).alias("reach")
+    pieces = pieces.select("_part", "line", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"), reach)
+    numbered = placed.withColumn("_part", part).join(pieces, ["_part", "line"]).select(
+        "line", "rep", "reach", (F.col("_at") - F.col("_first") + F.col("_before")).alias("place"))
 
     queries = usable.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
     asked = stored(queries.join(reps, "embedding").select("query_id", "rep").distinct(), "queries")
     asked_reps = asked.select("rep").distinct().withColumn("asked", F.lit(True))
     with_vectors = numbered.join(asked_reps, "rep", "left").join(reps.select("rep", "embedding"), "rep")
-    block = F.floor(F.col("place") / window)
-    data = with_vectors.select("line", block.alias("block"), "place", "rep", "embedding", F.lit(False).alias("query"))
-    # a query looks into its own block and the two beside it
-    looking = with_vectors.where("asked").select("line", F.explode(F.array(block - 1, block, block + 1)).alias("block"), "place", "rep", "embedding", F.lit(True).alias("query"))
+    rows_of_block = F.least("reach", F.lit(BLOCK))
+    block, beside = F.floor(F.col("place") / rows_of_block), F.ceil(F.col("reach") / rows_of_block)
+    data = with_vectors.select("line", block.alias("block"), "place", "reach", "rep", "embedding", F.lit(False).alias("query"))
+    # a query looks into its own block and those beside it
+    looking = with_vectors.where("asked").select(
+        "line", F.explode(F.sequence(block - beside, block + beside)).alias("block"), "place", "reach", "rep", "embedding", F.lit(True).alias("query"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        """At most window data rows; queries in bounded numbers at a time."""
+        """At most BLOCK or window data rows; queries in bounded numbers at a time."""
         looking, data = rows[rows["query"]], rows[~rows["query"]]
         out = {"query_rep": [], "rep": [], "score": []}
         if len(looking) and len(data):
-            base, places, reps_ = np.stack(data["embedding"].to_numpy()).astype(np.float64), data["place"].to_numpy(), data["rep"].to_numpy()
-            for rep, place, vector in zip(looking["rep"], looking["place"], looking["embedding"]):
-                near = np.flatnonzero(np.abs(places - place) <= window)
-                gap = base[near] - np.asarray(vector, dtype=np.float64)
-                score = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                best = near[np.lexsort((reps_[near], score))[:k + 1]]
-                order = np.lexsort((reps_[near], score))[:k + 1]
-                out["query_rep"] += [rep] * len(best)
-                out["rep"] += reps_[best].tolist()
-                out["score"] += score[order].tolist()
+            reach, places, reps_ = data["reach"].iloc[0], data["place"].to_numpy(), data["rep"].to_numpy()
+            base = np.stack(data["embedding"].to_numpy()).astype(np.float64)
+            squares, most = np.einsum("ij,ij->i", base, base), min(k + 1, len(data))
+            for start in range(0, len(looking), 64):
+                some = looking.iloc[start:start + 64]
+                asked = np.stack(some["embedding"].to_numpy()).astype(np.float64)
+                own = np.einsum("ij,ij->i", asked, asked)
+                rough = squares - 2 * (asked @ base.T) + own[:, None]
+                inside = np.abs(places - some["place"].to_numpy()[:, None]) <= reach
+                rough[~inside] = np.inf
+                # products round, so what may be among the nearest is measured again by its gaps
+                limit = np.partition(rough, most - 1, axis=1)[:, most - 1] + 1e-15 * (base.shape[1] + 4) * (own + squares.max())
+                for i, (rep, vector) in enumerate(zip(some["rep"], asked)):
+                    near = np.flatnonzero(inside[i] & ~(rough[i] > limit[i]))
+                    gap = base[near] - vector
+                    score = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+                    order = np.lexsort((reps_[near], score))[:k + 1]
+                    out["query_rep"] += [rep] * len(order)
+                    out["rep"] += reps_[near[order]].tolist()
+                    out["score"] += score[order].tolist()
         return pd.DataFrame(out).astype({"query_rep": "int64", "rep": "int64", "score": "float64"})
 
     found = data.unionByName(looking).groupBy("line", "block").applyInPandas(compare, "query_rep long, rep long, score double")
