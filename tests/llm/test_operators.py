@@ -132,6 +132,12 @@ def test_window_grows_with_the_rows(spark):
     assert _recall(spark, vectors / np.linalg.norm(vectors, axis=1, keepdims=True), window=8) >= 0.9
 
 
+def test_vectors_of_unequal_length(spark):
+    rng = np.random.default_rng(6)
+    for vectors in (rng.permutation(3000)[:, None] * rng.standard_normal(8) + 1e-9, rng.standard_normal((3000, 1))):
+        assert _recall(spark, vectors, curves=4, window=16) >= 0.95
+
+
 def test_licenses(spark, texts):
     phrases = ["MIT License", "Apache,  license!", "the general public License", "mit licenses", "general license public", "Redistribution and use in source and binary forms, with or "
                "without modification, are permitted", "mit mit license license", "Mozilla Public License"]

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Each of several curves rotates the vectors at random, keeps a few of the dimensions, shifts and cuts them into cells and orders the
-vectors by the Hilbert key of their cell.  Near vectors are often neighbours on at least one curve.  Per curve the vectors are range-partitioned and numbered
+Each of several curves projects the vectors on a few random axes, shifts and cuts the projections into cells and orders the
+vectors by the Hilbert key of their cell.  Cells follow the distribution of all rows on an axis, so length counts as it does in
+the distance.  Near vectors are often neighbours on at least one curve.  Per curve the vectors are range-partitioned and numbered
 along the key; a query is compared exactly with those at most a window of places away; the finds of all curves are merged and
 ranked by exact distance in double precision.
 
@@ -30,6 +31,7 @@ from watchhouse.llm.hilbert import hilbert_keys
 CURVES = 24
 WINDOW = 1024  # places to each side, at least
 DIMENSIONS, BITS = 6, 8
+KNOTS = 257  # of the distribution on an axis
 BLOCK = 32768  # rows compared in one task, at most
 
 
@@ -52,25 +54,62 @@ def _distinct(vectors: DataFrame, keep: int) -> DataFrame:
     return parts.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _cells(block: np.ndarray, curve: int) -> np.ndarray:
-    """Cells of the vectors on a curve of their own rotation and shift."""
+def _projected(block: np.ndarray, curve: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors on the random axes of a curve, and the shift of its grid on each axis."""
     rng = np.random.default_rng(1000 + curve)
     width = block.shape[1]
     axes, _ = np.linalg.qr(rng.standard_normal((width, min(width, DIMENSIONS))))
-    # rank-preserving squeeze to (0, 1), so that no outlier stretches the grid; the shift moves the cell borders
-    scale = np.sqrt(width) * 0.7
-    points = block @ axes
-    length = np.linalg.norm(block, axis=1, keepdims=True)
-    squeezed = 0.5 + 0.5 * np.tanh(points / np.maximum(length, 1e-300) * scale)
-    # the length decides last, by a shift of the grid common to all dimensions
-    cells = np.clip((squeezed + rng.random(axes.shape[1]) / 3) / (4 / 3), 0, 1) * ((1 << BITS) - 1)
-    return cells.astype(np.int64)
+    return block @ axes, rng.random(axes.shape[1]) / 3
+
+
+def _spread(reps: DataFrame, curves: int) -> dict[tuple[int, int, int], np.ndarray]:
+    """Knots of equal numbers of rows on every axis, by vector length, curve and dimension, counted over all rows.
+
+    Every batch gives its own knots, which are merged by their weight.
+    """
+    shares = np.linspace(0, 1, KNOTS)
+
+    def parts(batches):
+        for batch in batches:
+            frame = batch.to_pandas()
+            for size, rows in frame.groupby(frame["embedding"].map(len)):
+                block = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+                knots = [np.quantile(_projected(block, curve)[0], shares, axis=0).T for curve in range(curves)]
+                axes = [(curve, d) for curve, found in enumerate(knots) for d in range(len(found))]
+                yield pa.RecordBatch.from_pydict({
+                    "size": np.full(len(axes), size), "curve": [c for c, _ in axes], "axis": [d for _, d in axes], "n": np.full(len(axes), len(block)),
+                    "knots": [knots[c][d].tolist() for c, d in axes]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        values, weights = np.concatenate(rows["knots"].to_numpy()), np.repeat(rows["n"].to_numpy(), KNOTS)
+        order = np.argsort(values, kind="stable")
+        total = np.cumsum(weights[order]) - weights[order] / 2
+        knots = np.interp(shares * weights.sum(), total, values[order])
+        return rows[["size", "curve", "axis"]].head(1).assign(knots=[knots])
+
+    merged = (reps.select("embedding").mapInArrow(parts, "size long, curve long, axis long, n long, knots array<double>")
+              .groupBy("size", "curve", "axis").applyInPandas(merge, "size long, curve long, axis long, knots array<double>"))
+    return {(r.size, r.curve, r.axis): np.array(r.knots) for r in merged.toLocalIterator()}
+
+
+def _cells(block: np.ndarray, curve: int, spread: dict[tuple[int, int, int], np.ndarray]) -> tuple[np.ndarray, int]:
+    """Cells of the vectors on a curve of their own axes and shift, and the bits of a cell."""
+    points, shift = _projected(block, curve)
+    bits = DIMENSIONS * BITS // points.shape[1]
+    cells = np.empty(points.shape, np.int64)
+    for d in range(points.shape[1]):
+        knots, first = np.unique(spread[block.shape[1], curve, d], return_index=True)
+        # share of the rows below, so that no outlier stretches the grid; the shift moves the cell borders
+        below = np.interp(points[:, d], knots, first / (KNOTS - 1))
+        cells[:, d] = (below + shift[d]) / (4 / 3) * ((1 << bits) - 1)
+    return cells, bits
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the ``k`` nearest rows found for every query row."""
     usable = _usable(vectors)
     reps = stored(_distinct(usable, k + 1), "vectors")
+    spread = _spread(reps, curves)
 
     def keys(batches):
         for batch in batches:
@@ -78,7 +117,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, curves: int = CURVES,
             for size, rows in frame.groupby(frame["embedding"].map(len)):
                 block = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
                 for curve in range(curves):
-                    key = hilbert_keys(_cells(block, curve), BITS)
+                    key = hilbert_keys(*_cells(block, curve, spread))
                     yield pa.RecordBatch.from_pydict({
                         "line": np.full(len(key), curve * 1_000_000 + size), "key": key, "rep": rows["rep"].to_numpy()})
 
