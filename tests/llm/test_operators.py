@@ -172,6 +172,23 @@ def test_page_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values()) and got[2].url is None and len(got) == 8
 
 
+def test_page_partners_do_not_depend_on_partitions(spark):
+    """Pages alone in their partitions, copies beside each other, and copies over whole partitions."""
+    site = lambda body: f"<body><div>Site name</div><div>{body}</div><div>All rights</div></body>"
+    rows = [(i, f"http://a/{i:03}", site(f"Text {i}")) for i in range(30)] + [(100 + i, f"http://b/{i:03}", site("Copied")) for i in range(20)]
+    rows += [(200, "http://b/999", site("Other")), (300, "http://c/1", site("Alone")), (301, "http://b/005", ""), (302, None, site("No address"))]
+    want = {**{i: f"Text {i}" for i in range(30)}, **{100 + i: "Copied" for i in range(20)}, 200: "Other", 301: "",
+            300: "Site name\nAlone\nAll rights", 302: "Site name\nNo address\nAll rights"}
+    df, before = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = page_difference.extract(df).collect()
+            assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(3)
     for _ in range(500):

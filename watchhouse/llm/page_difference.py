@@ -2,17 +2,19 @@
 
 A page is read into text lines, one per block; parts that HTML or their class names mark as no article (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments) are passed over.  Pages are then range-sorted by (host, URL path)
-and each is aligned, by longest common subsequence of lines, with the neighbour of its host whose path is nearest: shared
-lines are the site's and are deleted.  A line inside an explicit ``article`` or ``main`` element is the page's own by its author's
+and each is aligned, by longest common subsequence of lines, with the page of its host before or after it whose path is nearest
+and whose lines are not just the same: shared lines are the site's and are deleted.  Neighbours in other partitions are found
+through the first and last runs of equal pages of each partition, so the result does not depend on the partitions.  A line inside an explicit ``article`` or ``main`` element is the page's own by its author's
 word and stays even where a neighbour has it too (copies of an article, quoted passages).
 
 A null or empty page gives an empty text; a page of any size is read whole; pages with equal paths are ordered by id;
-repeated pages differ in nothing, so their lines outside an article are kept; a null URL is a host of its own; an empty table gives
+repeated pages are compared with the nearest other page; where a host has none, nothing is deleted; a null URL is a host of its own; an empty table gives
 no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchhouse.llm.common import partitions
+from watchhouse.llm.common import partitions, stored
 
 # fixed values: element names of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -172,40 +174,135 @@ def _own_text(lines: list[tuple[str, bool]], neighbours: list[list[tuple[str, bo
     return "\n".join(line for line, _ in lines)
 
 
+_ROW = "url string, host string, path string, lines array<string>, protected array<boolean>, part long"
+
+
+def _runs(batches, columns):
+    """Part, host, lines and members of neighbouring pages of a host with equal lines."""
+    run = None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            page = dict(zip(columns, row))
+            if run and (run["part"], run["host"], run["lines"]) == (page["part"], page["host"], page["lines"]):
+                page["lines"] = run["lines"]  # held once
+                run["members"].append(page)
+            else:
+                if run:
+                    yield run
+                run = {"part": page["part"], "host": page["host"], "lines": page["lines"], "members": [page]}
+    if run:
+        yield run
+
+
+def _edges(batches):
+    """Of each partition the first two runs of its first host and the last two of its last, and whether it has that host only."""
+    def emit(runs):
+        sides = (("first", [r for r in runs[0] if r["host"] == runs[0][0]["host"]]), ("last", [r for r in runs[1][::-1] if r["host"] == runs[1][-1]["host"]]))
+        rows = [(r["part"], side, nth, r["host"], r["members"][0 if side == "first" else -1]["path"], r["lines"], runs[2], hashlib.sha256("\n".join(r["lines"]).encode()).hexdigest())
+                for side, some in sides for nth, r in enumerate(some)]
+        names = ["part", "side", "nth", "host", "path", "lines", "single", "digest"]
+        return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=pa.schema([
+            ("part", pa.int64()), ("side", pa.string()), ("nth", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("single", pa.bool_()), ("digest", pa.string())]))
+
+    first, last, single = [], [], True
+    for run in _runs(batches, ["host", "path", "lines", "part"]):
+        if first and first[0]["part"] != run["part"]:
+            yield emit((first, last, single))
+            first, last, single = [], [], True
+        run["members"] = [run["members"][0], run["members"][-1]]
+        first = first + [run] if len(first) < 2 else first
+        single = single and run["host"] == first[0]["host"]
+        last = (last + [run])[-2:]
+    if first:
+        yield emit((first, last, single))
+
+
+def _borrowed(edges: list) -> list[tuple[int, str, int, int]]:
+    """(source part, side, nth, part): the nearest different run that a partition needs from those before and after it."""
+    by, out = {}, []
+    for e in edges:
+        by.setdefault((e.part, e.side), []).append(e)
+    parts = sorted({e.part for e in edges})
+    for own, other, order in (("first", "last", parts), ("last", "first", parts[::-1])):
+        # going along, the two nearest different runs of the host that reaches the edge
+        near: list = []
+        for part in order:
+            mine = sorted(by[part, own], key=lambda e: e.nth)
+            if near and near[0].host == mine[0].host:
+                out += [(e.part, e.side, e.nth, part) for e in near if e.digest != mine[0].digest][:1]
+            far = sorted(by[part, other], key=lambda e: e.nth)
+            for e in near if far[0].single and near and near[0].host == far[0].host else []:
+                if len(far) < 2 and e.digest not in [x.digest for x in far]:
+                    far.append(e)
+            near = far
+    return out
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     address = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     bare = F.regexp_replace(address, r"[?#][\s\S]*$", "")
     keyed = pages.select(
-        "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.lower(F.regexp_extract(bare, r"^[^/]*", 0)).alias("host"),
-        F.regexp_replace(bare, r"^[^/]*/?", "").alias("path"))
-    ordered = keyed.repartitionByRange(partitions(pages), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+        "page_id", "url", F.lower(F.regexp_extract(bare, r"^[^/]*", 0)).alias("host"), F.regexp_replace(bare, r"^[^/]*/?", "").alias("path"),
+        F.coalesce("html", F.lit("")).alias("html"))
+    kind = dict(pages.dtypes)["page_id"]
 
-    def run(batches):
-        """A page is emitted when the page after it is known; only three pages are held at a time."""
-        before = current = None
+    def read(batches):
         for batch in batches:
-            rows = []
-            for page_id, url, page, host, path in zip(*(batch.column(c) for c in ("page_id", "url", "html", "host", "path"))):
-                after = (page_id.as_py(), url.as_py(), page_lines(page.as_py()), host.as_py(), path.as_py())
-                if current:
-                    rows.append(finish(before, current, after))
-                before, current = current, after
-            yield emit(rows)
-        yield emit([finish(before, current, None)] if current else [])
-
-    def finish(before, page, after):
-        near = sorted((n for n in (before, after) if n and n[3] == page[3]), key=lambda n: -_common(n[4], page[4]))[:1]
-        text = _own_text(page[2], [n[2] for n in near])
-        return page[0], page[1], text, len(text)
+            for start in range(0, len(batch), 256):
+                some = batch.slice(start, 256)
+                found = [page_lines(page.as_py()) for page in some.column("html")]
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[:4], pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())), pa.array([[x for _, x in f] for f in found], pa.list_(pa.bool_()))],
+                    ["page_id", "url", "host", "path", "lines", "protected"])
+
+    parsed = keyed.mapInArrow(read, f"page_id {kind}, {_ROW.removesuffix(', part long')}")
+    order = ["host", "path", "page_id"]
+    placed = stored(parsed.repartitionByRange(partitions(pages), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+                    .withColumn("part", F.shiftright("_at", 33)), "page-lines")
+    # a page without lines is nobody's partner
+    in_order = lambda df: df.repartition(partitions(pages), "part").sortWithinPartitions("part", "side", "_at")
+    full = in_order(placed.where("size(lines) > 0").withColumn("side", F.lit(1)))
+    edges = stored(full.select("host", "path", "lines", "part").mapInArrow(
+        _edges, "part long, side string, nth int, host string, path string, lines array<string>, single boolean, digest string"), "page-edges")
+    picks = _borrowed(edges.drop("lines", "path").collect())
+    picked = pages.sparkSession.createDataFrame(picks, "part long, side string, nth int, _to long")
+    lent = edges.join(picked, ["part", "side", "nth"]).select(
+        F.lit(None).cast(kind).alias("page_id"), F.lit(None).cast("string").alias("url"), "host", "path", "lines", F.lit(None).cast("array<boolean>").alias("protected"),
+        F.lit(None).cast("long").alias("_at"), F.col("_to").alias("part"), F.when(F.col("side") == "last", 0).otherwise(2).alias("side"))
+    aligned = in_order(placed.withColumn("side", F.when(F.size("lines") > 0, 1).otherwise(3)).unionByName(lent))
+    columns = ["page_id", "url", "host", "path", "lines", "protected", "part", "side"]
+
+    def difference(batches):
+        """A run is emitted when the run after it is known."""
+        before = current = None
+        for run in _runs(batches, columns):
+            if current:
+                yield from finish(before, current, run)
+            before, current = current, run
+        if current:
+            yield from finish(before, current, None)
+
+    def finish(before, run, after):
+        # where lines are equal a lent run cannot stand beside this one, so every neighbour is a different page
+        beside = [(n["lines"], n["members"][at]["path"]) for n, at in ((before, -1), (after, 0)) if n and n["lines"] and (n["part"], n["host"]) == (run["part"], run["host"])]
+        own = [m for m in run["members"] if m["side"] in (1, 3)]
+        rows, texts = [], {}
+        for m in own:
+            near = max(range(len(beside)), key=lambda i: _common(beside[i][1], m["path"]), default=None)  # the first of equally near ones
+            key = near, tuple(m["protected"])
+            if key not in texts:
+                texts[key] = _own_text(list(zip(m["lines"], m["protected"])), [] if near is None else [[(x, False) for x in beside[near][0]]])
+            rows.append((m["page_id"], m["url"], texts[key], len(texts[key])))
+        for start in range(0, len(rows), 256):
+            yield emit(rows[start:start + 256])
 
-    kind = dict(pages.dtypes)["page_id"]
     number = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
     def emit(rows):
-        columns = list(zip(*rows)) or [()] * 4
+        columns = list(zip(*rows))
         return pa.RecordBatch.from_arrays(
             [pa.array(columns[0], number), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())],
             ["page_id", "url", "text", "n_chars"])
 
-    return ordered.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return aligned.select(*columns).mapInArrow(difference, f"page_id {kind}, url string, text string, n_chars long")
