@@ -25,6 +25,20 @@ def test_captures(spark, tmp_path):
     assert got == sorted(["first line", "second � line", "padded", "line\n2"])
 
 
+def test_unread_rest_of_a_capture_is_a_dead_letter(spark, tmp_path):
+    large = b"x" * 1_200_000
+    start = b"3 abc1200000 " + large + b"02 de"
+    (tmp_path / "bad").write_bytes(start + b"7x broken" + b"2 no")
+    (tmp_path / "long").write_bytes(b"3 abc" + b"9" * 5000 + b" x")
+    (tmp_path / "good").write_bytes(b"2 ok")
+    got = sorted(r["raw"] for r in lines.framed_captures(spark, str(tmp_path)).collect())
+    assert got == sorted(["abc", "abc", "de", "ok", large.decode()])
+    errors = {r["detail"].rsplit("/", 1)[1]: r for r in lines.framed_errors(spark, str(tmp_path)).collect()}
+    assert set(errors) == {"bad", "long"} and all(r["received_at"] for r in errors.values())
+    assert errors["bad"]["detail"].startswith(f"unread from byte {len(start)} of ") and errors["bad"]["raw"] == "7x broken2 no"
+    assert errors["long"]["detail"].startswith("unread from byte 5 of ") and errors["long"]["raw"] == "9" * 5000 + " x"
+
+
 def test_syslog_wrapping(spark):
     df = spark.createDataFrame([(0, "Jan 15 10:23:45 myhost sshd[123]: Login from 10.0.0.1"), (1, "short")], "i int, raw string").selectExpr(
         "*", "TIMESTAMP '2024-01-15 00:00:00' received_at")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchhouse.functions import columns as c
+from watchhouse.schema import ERRORS
 
 # .../source_ip=10.0.0.1/part.log
 _IP_FOLDER = r"source_ip=([^/]+)/"
@@ -37,16 +38,24 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 # --- framed captures -------------------------------------------------------------------------------
 
 
-def _octet_messages(content: bytes) -> Iterator[bytes]:
-    """Messages of ``<length> <message>`` frames; stops at the first malformed or cut-off frame."""
+def _octet_frames(content: bytes) -> Iterator[tuple[int, bytes, bool]]:
+    """Offset and message of each ``<length> <message>`` frame; from the first malformed or cut-off frame on, the unread rest, marked True."""
     position = 0
     while position < len(content):
         space = content.find(b" ", position)
-        count = content[position:space]
-        if space < 0 or not count.isdigit() or len(content) < space + 1 + int(count):
+        count = content[position:space].lstrip(b"0") if space >= 0 else b""
+        # no file has a length of 20 digits
+        if space < 0 or not content[position:space].isdigit() or len(count) > 19 or len(content) < space + 1 + int(count or b"0"):
+            yield position, content[position:], True
             return
-        position = space + 1 + int(count)
-        yield content[space + 1:position]
+        end = space + 1 + int(count or b"0")
+        yield position, content[space + 1:end], False
+        position = end
+
+
+def _octet_messages(content: bytes) -> Iterator[bytes]:
+    """Messages of ``<length> <message>`` frames; stops at the first malformed or cut-off frame."""
+    return (message for _, message, unread in _octet_frames(content) if not unread)
 
 
 def _octet_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,11 +65,33 @@ def _octet_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"path": path, "raw": messages})
 
 
+def _unread_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, content, written in zip(batch["path"], batch["content"], batch["modificationTime"]):
+            rest = [(offset, r.decode("utf-8", errors="replace")) for offset, r, unread in _octet_frames(bytes(content)) if unread]
+            for offset, raw in rest:
+                yield pd.DataFrame({"path": [path], "position": [offset], "raw": [raw], "received_at": [written]}).astype({"path": object, "raw": object})
+
+
+def framed_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Dead letters of captures in counted frames: what ``framed_captures`` leaves unread after a malformed or cut-off frame.
+
+    One row per such capture, with its path and the byte at which the rest begins in ``detail``; rows fit the error table.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", "modificationTime")
+    counted = files.filter(F.substring(F.col("content"), 1, 1).cast("string").rlike(r"^\d"))
+    rest = counted.mapInPandas(_unread_batches, "path string, position long, raw string, received_at timestamp")
+    return rest.select(
+        F.lit("framing_error").alias("error"), F.concat(F.lit("unread from byte "), F.col("position").cast("string"), F.lit(" of "), F.col("path")).alias("detail"),
+        F.lit(None).cast("string").alias("source_ip"), "raw", "received_at").select(*ERRORS.fieldNames())
+
+
 def framed_captures(spark: SparkSession, path: str) -> DataFrame:
     """Messages of captured connections, one file per connection.
 
     The first byte of a capture decides the framing: a digit means octet counting, anything else
-    newline-delimited (an unfinished last line is not a message).  Newline captures are split by
+    newline-delimited (an unfinished last line is not a message).  Counted frames end at the first malformed
+    or cut-off one; ``framed_errors`` has the rest.  Newline captures are split by
     Spark itself; only counted frames, which have no delimiter, are cut in Python, file by file.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
