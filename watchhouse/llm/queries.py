@@ -88,6 +88,51 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned over the bytes of every document."""
+    from watchhouse.llm.token_align import align_documents
+
+    found = align_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
+def op12_zone_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh label is moved on by one first."""
+    from watchhouse.llm.zone_negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op13_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-equal vectors of one label."""
+    from watchhouse.llm.grid_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_ZONE_NEGATIVES_SQL = f"""
+WITH u AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, CAST(list_inner_product(a.q, c.q) AS BIGINT) AS score
+    FROM u a JOIN u c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+    s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 3"""
+_GRID_DEDUP_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE label IS NOT NULL AND {_WHOLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over the documents."""
     return import_module("corpus_pipeline").run(spark, sf_dir)
@@ -96,6 +141,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_factor_quality, op2_histogram_shards, op3_curve_packing, op4_shifted_curves, op5_license_diagonals,
-        op6_page_difference, op7_prefix_bpe, op8_ngram_jaccard, op9_rule_cascade, op10_suffix_dedup, pipeline)
+        op6_page_difference, op7_prefix_bpe, op8_ngram_jaccard, op9_rule_cascade, op10_suffix_dedup,
+        op11_token_alignment, op12_zone_negatives, op13_grid_near_dedup, pipeline)
 }
-SQL = {"op9_rule_cascade": " ".join(line.strip() for line in rule_cascade.ORACLE_SQL.strip().splitlines())}
+SQL = {name: " ".join(line.strip() for line in sql.strip().splitlines()) for name, sql in (
+    ("op9_rule_cascade", rule_cascade.ORACLE_SQL), ("op12_zone_negatives", _ZONE_NEGATIVES_SQL), ("op13_grid_near_dedup", _GRID_DEDUP_SQL))}
