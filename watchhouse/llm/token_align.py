@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from dataclasses import dataclass
 
@@ -88,6 +89,7 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor already use its cores
         self.a = Tokenizer.from_file(byte_bpe)
         self.a.no_truncation()
         self.a.no_padding()
