@@ -119,7 +119,7 @@ def _brute_pairs(rows, steps):
 
 
 @pytest.mark.parametrize("steps", [["a", "b"], ["a", "a"], ["a", "b", "c"], ["b", "a", "b"], ["a", "b", "c", "d"]])
-@pytest.mark.parametrize("slices", [1, 7])
+@pytest.mark.parametrize("slices", [1, 7, 4096])  # rows of a slice
 def test_sequence_against_enumeration(events, steps, slices):
     rows = _random_rows(60, len(steps))
     pairs = _brute_pairs(rows, steps)
@@ -199,3 +199,38 @@ def test_ill_typed_steps_are_reported(spark):
     rows = spark.createDataFrame([(steps, body(steps)) for steps in cases], "steps string, body string")
     got = {r["steps"]: r["p"] for r in rows.select("steps", rule_problems(F.lit("sequence"), F.col("body")).alias("p")).collect()}
     assert {k: [p for p in v if p] for k, v in got.items()} == cases
+
+
+def test_many_sequence_rules_in_one_pass(events, monkeypatch):
+    """Rules of two to five steps, groups and windows of their own: as each by itself; the events are read once."""
+    rows = _random_rows(300, 9)
+    df = events(rows)
+    rng = random.Random(4)
+    rules = [make_rule(str(i), f"n{i}", "sequence", "low", {"steps": [{"event_id": rng.choice("abcd")} for _ in range(2 + i % 4)],
+                                                           "group_by": ["src_ip", "user_name"][i % 2], "window_seconds": 86400 * (i % 3 + 1)}) for i in range(12)]
+    shown = lambda out: sorted((r["rule_id"], r["title"], r["description"], r["event_count"], r["first_seen"], r["last_seen"], r["extra"]["chains"]) for r in out.collect())
+    together = shown(sequence.sequence_triggers(df, rules, NOW, 5))
+    assert together == sorted(x for rule in rules for x in shown(sequence.sequence_rule(df, rule, NOW))) and len(together) > 20
+    written = []
+    cut = sequence.cut_lineage
+    monkeypatch.setattr(sequence, "cut_lineage", lambda frame, purpose: written.append(purpose) or cut(frame, purpose))
+    sequence.sequence_triggers(df, rules, NOW)
+    assert written == ["sequence-steps", "sequence-slices"]
+
+
+def test_plan_does_not_grow_with_steps(events):
+    df = events(_random_rows(40, 2))
+
+    def plan(n):
+        rule = make_rule("s", "n", "sequence", "low", {"steps": [{"event_id": "abcd"[i % 4]} for i in range(n)], "group_by": "src_ip", "window_seconds": 86400})
+        return len(sequence.sequence_rule(df, rule, NOW)._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+    assert plan(2) == plan(20)
+
+
+def test_a_hot_minute_is_cut(events):
+    """One address, thousands of instants within seconds: slices by rows, equal to counting."""
+    rows = [{"received_at": T0 + timedelta(microseconds=i * 100), "src_ip": "hot", "event_id": "ab"[i % 2]} for i in range(3000)]
+    rule = make_rule("s", "n", "sequence", "low", {"steps": [{"event_id": "a"}, {"event_id": "b"}], "group_by": "src_ip", "window_seconds": 86400})
+    got = sequence.sequence_rule(events(rows), rule, NOW, 64).first()
+    assert got["event_count"] == 2 * sum(range(1, 1501)) and got["first_seen"] == rows[0]["received_at"] and got["last_seen"] == rows[-1]["received_at"]

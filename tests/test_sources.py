@@ -1,13 +1,26 @@
 """Framing, agent batches, rate limiting and files."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 
 from watchhouse.operators import integrity, rate_limit
-from watchhouse.sources import lines
-from watchhouse.sources.lines import _octet_messages
+from watchhouse.sources import frames, lines, positions
+
+
+def _plain_frames(content: bytes):
+    """Messages with their places, and where the unread rest begins (None: nothing left)."""
+    at, out = 0, []
+    while at < len(content):
+        head = re.match(rb"[0-9]{1,19} ", content[at:at + 20])
+        if not head or at + head.end() + int(head[0]) > len(content):
+            return out, at
+        end = at + head.end() + int(head[0])
+        out.append((at, content[at + head.end():end]))
+        at = end
+    return out, None
 
 
 @pytest.mark.parametrize("content, messages", [
@@ -15,7 +28,120 @@ from watchhouse.sources.lines import _octet_messages
     ("4 né!".encode(), ["né!".encode()]), (b"3 a\nb2 cd", [b"a\nb", b"cd"]),
 ])
 def test_counted_frames(content, messages):
-    assert list(_octet_messages(content)) == messages
+    assert [m for _, m in _plain_frames(content)[0]] == messages
+    for chunk in (1, 3, 100):
+        at, left = 0, []
+        while at < len(content):  # from chunk to chunk by the ways out
+            low = at // chunk * chunk
+            high = min(low + chunk, len(content))
+            entries, stops = frames.ways_out(content[low:high + frames.DIGITS + 1], low, high, len(content))
+            way = dict(zip(entries.tolist(), stops.tolist()))
+            stop = way.get(at, at)
+            left.append(stop)
+            if stop < high:
+                break
+            at = stop
+        assert (left[-1] if left and left[-1] < len(content) else None) == _plain_frames(content)[1]
+
+
+@pytest.mark.parametrize("chunk", [64, 1000, 1 << 20])
+def test_captures_cut_in_parallel(spark, tmp_path, chunk):
+    """Frames full of numbers that look like counts, frames of many chunks, broken and cut-off ones, at every chunk size."""
+    rng = random.Random(chunk)
+    contents = {}
+    for name in range(12):
+        parts = []
+        for _ in range(rng.randrange(1, 60)):
+            size = rng.choice([0, 1, 7, 30, 200, 3000])
+            body = "".join(rng.choice(["12 ", "3 abc", "7", " ", "é", "100 x", "0 ", "text "]) for _ in range(size)).encode()
+            parts.append(b"%d %s" % (len(body), body))
+        if name % 3 == 1:
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice([b"x", b"5x hello", b"99999 cut", b"1" * 25 + b" "]))
+        contents[f"c{name}"] = b"".join(parts)
+        (tmp_path / f"c{name}").write_bytes(contents[f"c{name}"])
+    captures = frames.Captures(spark, str(tmp_path), chunk)
+    of = lambda r: r["path"].rsplit("/", 1)[1]
+    counted = {n: c for n, c in contents.items() if c[:1].isdigit()}
+    got = sorted((of(r), r["position"], r["raw"]) for r in captures.messages().collect() if of(r) in counted)
+    assert got == sorted((n, at, m.decode("utf-8", "replace")) for n, c in counted.items() for at, m in _plain_frames(c)[0])
+    rests = {}
+    for r in sorted(captures.unread().collect(), key=lambda r: r["position"]):
+        rests.setdefault(of(r), []).append((r["position"], r["raw"]))
+    want = {n: _plain_frames(c)[1] for n, c in counted.items()}
+    assert {n: r[0][0] for n, r in rests.items()} == {n: at for n, at in want.items() if at is not None}
+    for n, pieces in rests.items():
+        if "�" not in "".join(raw for _, raw in pieces):
+            assert "".join(raw for _, raw in pieces).encode() == contents[n][want[n]:]
+
+
+@pytest.mark.parametrize("split", [13, 97, 1 << 20])
+def test_lines_between_offsets(spark, tmp_path, split):
+    rng = random.Random(split)
+    whole = {}
+    for name in ("a.log", "sub/b.log"):
+        text = b"".join(bytes(rng.choice(b"xy\xff \r") for _ in range(rng.choice([0, 1, 5, 40]))) + b"\n" for _ in range(60)) + b"unfinished"
+        whole[name] = text
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    (tmp_path / ".hidden").write_bytes(b"no\n")
+    read = lambda **bounds: positions.positioned_lines(spark, str(tmp_path), split_bytes=split, **bounds)
+    rows = lambda df: sorted((r["path"][len(str(tmp_path)) + 1:], r["position"], r["raw"]) for r in df.collect())
+    want = []
+    for name, text in whole.items():
+        at = 0
+        for line in text.split(b"\n")[:-1]:
+            want.append((name, at, line.decode("utf-8", "replace")))
+            at += len(line) + 1
+    assert rows(read()) == sorted(want)
+    bound = {str(tmp_path / name): rng.randrange(len(text)) for name, text in whole.items()}
+    reached = positions.line_ends(str(tmp_path), bound)
+    first, second = rows(read(ending=bound)), rows(read(starting=reached))
+    assert first and second and sorted(first + second) == sorted(want)
+    assert rows(read(starting={str(tmp_path / "a.log"): 10**9})) == sorted(want)  # a file started anew
+    assert positions.listed(str(tmp_path / "none")) == {} and positions.positioned_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stream_stopped_and_resumed(spark, tmp_path):
+    """A file that grows between two runs: each line once, an unfinished line when it is finished."""
+    logs = tmp_path / "in" / "source_ip=10.0.0.9"
+    logs.mkdir(parents=True)
+    file = logs / "syslog"
+
+    def run():
+        stream = lines.tail_lines(spark, str(tmp_path / "in"), streaming=True, split_bytes=16)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True)
+        writer.start(str(tmp_path / "out")).awaitTermination()
+        return sorted((r["position"], r["raw"], r["source_ip"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    file.write_text("one line\nsame\nsame\n\nunfin")
+    assert [r[1] for r in run()] == ["one line", "same", "same"]
+    assert len(run()) == 3  # nothing new
+    with file.open("a") as more:
+        more.write("ished\nsame\n")
+    (logs / "second").write_text("other file\n")
+    got = run()
+    assert [r[1] for r in got] == ["one line", "other file", "same", "same", "unfinished", "same"] or sorted(r[1] for r in got) == sorted(
+        ["one line", "other file", "same", "same", "unfinished", "same"])
+    records = [r["record_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(set(records)) == len(records) == 6 and {r[2] for r in got} == {"10.0.0.9"}
+
+
+def test_journal_resumed_at_cursor(spark, tmp_path):
+    for host, files in (("1", 2), ("2", 1), ("3", 1)):
+        folder = tmp_path / f"source_ip=10.0.0.{host}"
+        folder.mkdir()
+        for f in range(files):
+            (folder / f"j{f}").write_text("".join(f'{{"__CURSOR": "c{host}-{f}-{i}", "n": "{f}{i}"}}\n{{bad\n' for i in range(5)) + '{"no": "cursor"}\n')
+    journal = lines.tail_lines(spark, str(tmp_path), split_bytes=50)
+    cursors = spark.createDataFrame([("10.0.0.1", "c1-0-3"), ("10.0.0.2", "c2-0-9"), ("10.0.0.4", "kept")], "source_ip string, cursor string")
+    read = lines.journald_after(journal, cursors, first_run=2)
+    got = {}
+    for r in read.collect():
+        got.setdefault(r["source_ip"][-1], []).append(r["cursor"])
+    assert sorted(got["1"], key=str) == sorted(["c1-0-4", None, *[f"c1-1-{i}" for i in range(5)], None], key=str)
+    assert len(got["2"]) == 6 and sorted(got["3"], key=str) == sorted(["c3-0-4", None], key=str)
+    assert {r[0]: r[1] for r in lines.new_cursors(read, cursors).collect()} == {
+        "10.0.0.1": "c1-1-4", "10.0.0.2": "c2-0-4", "10.0.0.3": "c3-0-4", "10.0.0.4": "kept"}
 
 
 def test_captures(spark, tmp_path):

@@ -11,13 +11,13 @@ from watchhouse.operators.filters import AGGREGATE_RULES, REAL_TIME_RULES, rules
 from watchhouse.plans.anomaly import anomaly_triggers
 from watchhouse.plans.blacklist import blacklist_triggers
 from watchhouse.plans.rule_bodies import Rule, rule_batches
-from watchhouse.plans.sequence import sequence_rule
+from watchhouse.plans.sequence import sequence_triggers
 from watchhouse.plans.threshold import absence_triggers, threshold_triggers
 from watchhouse.schema import TRIGGERS
 
 
 def evaluate(events: DataFrame, blacklists: DataFrame, rules: Sequence[Rule], as_of, compat: bool = False) -> DataFrame:
-    """Triggers of the given rules: one pass over the events per rule type, and one per sequence rule."""
+    """Triggers of the given rules: one pass over the events per rule type."""
     of = {t: [r for r in rules if r.rule_type == t] for t in {r.rule_type for r in rules}}
     parts = []
     if "threshold" in of:
@@ -28,7 +28,8 @@ def evaluate(events: DataFrame, blacklists: DataFrame, rules: Sequence[Rule], as
         parts.append(blacklist_triggers(events, blacklists, of["blacklist"], as_of))
     if "anomaly" in of:
         parts.append(anomaly_triggers(events, of["anomaly"], as_of))
-    parts += [sequence_rule(events, r, as_of) for r in of.get("sequence", [])]
+    if "sequence" in of:
+        parts.append(sequence_triggers(events, of["sequence"], as_of))
     if not parts:
         return events.sparkSession.createDataFrame([], TRIGGERS)
     return reduce(DataFrame.unionByName, parts)

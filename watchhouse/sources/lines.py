@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchhouse.functions import columns as c
 from watchhouse.schema import ERRORS
+from watchhouse.sources.frames import CHUNK_BYTES, Captures
+from watchhouse.sources.positions import SPLIT_BYTES, positioned_lines
 
 # .../source_ip=10.0.0.1/part.log
 _IP_FOLDER = r"source_ip=([^/]+)/"
@@ -35,73 +36,44 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("raw", c.strip(F.make_valid_utf8(F.col("raw")))).filter("length(raw) > 0")
 
 
-# --- framed captures -------------------------------------------------------------------------------
-
-
-def _octet_frames(content: bytes) -> Iterator[tuple[int, bytes, bool]]:
-    """Offset and message of each ``<length> <message>`` frame; from the first malformed or cut-off frame on, the unread rest, marked True."""
-    position = 0
-    while position < len(content):
-        space = content.find(b" ", position)
-        count = content[position:space].lstrip(b"0") if space >= 0 else b""
-        # no file has a length of 20 digits
-        if space < 0 or not content[position:space].isdigit() or len(count) > 19 or len(content) < space + 1 + int(count or b"0"):
-            yield position, content[position:], True
-            return
-        end = space + 1 + int(count or b"0")
-        yield position, content[space + 1:end], False
-        position = end
-
+def tail_lines(spark: SparkSession, path: str, starting: dict[str, int] | None = None, ending: dict[str, int] | None = None,
+               streaming: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The same lines read from known byte offsets on, with ``path``, ``position`` and a ``record_id`` made of both.
 
-def _octet_messages(content: bytes) -> Iterator[bytes]:
-    """Messages of ``<length> <message>`` frames; stops at the first malformed or cut-off frame."""
-    return (message for _, message, unread in _octet_frames(content) if not unread)
-
-
-def _octet_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            messages = [m.decode("utf-8", errors="replace") for m in _octet_messages(bytes(content))]
-            yield pd.DataFrame({"path": path, "raw": messages})
+    Equal lines thus have ids of their own.  As a stream the query's checkpoint holds the offsets; in batches
+    ``positions.line_ends`` gives the offsets to start from next.
+    """
+    lines = positioned_lines(spark, path, starting, ending, streaming, split_bytes)
+    return clean_lines(lines.select(
+        "raw", c.group_of(F.url_decode(F.col("path")), _IP_FOLDER, 1).alias("source_ip"), "received_at", "path", "position",
+        F.concat_ws(":", "path", F.col("position").cast("string")).alias("record_id"),
+    ))
 
 
-def _unread_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content, written in zip(batch["path"], batch["content"], batch["modificationTime"]):
-            rest = [(offset, r.decode("utf-8", errors="replace")) for offset, r, unread in _octet_frames(bytes(content)) if unread]
-            for offset, raw in rest:
-                yield pd.DataFrame({"path": [path], "position": [offset], "raw": [raw], "received_at": [written]}).astype({"path": object, "raw": object})
+# --- framed captures -------------------------------------------------------------------------------
 
 
-def framed_errors(spark: SparkSession, path: str) -> DataFrame:
+def framed_errors(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Dead letters of captures in counted frames: what ``framed_captures`` leaves unread after a malformed or cut-off frame.
 
-    One row per such capture, with its path and the byte at which the rest begins in ``detail``; rows fit the error table.
+    One row per such capture and piece of ``chunk_bytes``, with its path and the byte at which it begins in ``detail``; rows fit
+    the error table.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", "modificationTime")
-    counted = files.filter(F.substring(F.col("content"), 1, 1).cast("string").rlike(r"^\d"))
-    rest = counted.mapInPandas(_unread_batches, "path string, position long, raw string, received_at timestamp")
+    rest = Captures(spark, path, chunk_bytes).unread()
     return rest.select(
         F.lit("framing_error").alias("error"), F.concat(F.lit("unread from byte "), F.col("position").cast("string"), F.lit(" of "), F.col("path")).alias("detail"),
         F.lit(None).cast("string").alias("source_ip"), "raw", "received_at").select(*ERRORS.fieldNames())
 
 
-def framed_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of captured connections, one file per connection.
+def framed_captures(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``path, position, raw, received_at`` of the messages of captured connections, one file per connection.
 
     The first byte of a capture decides the framing: a digit means octet counting, anything else
     newline-delimited (an unfinished last line is not a message).  Counted frames end at the first malformed
-    or cut-off one; ``framed_errors`` has the rest.  Newline captures are split by
-    Spark itself; only counted frames, which have no delimiter, are cut in Python, file by file.
+    or cut-off one; ``framed_errors`` has the rest.  Captures of either framing are cut in chunks of ``chunk_bytes`` that are read
+    in parallel, see ``frames``.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    first = F.substring(F.col("content"), 1, 1).cast("string")
-    counted = files.filter(first.rlike(r"^\d")).mapInPandas(_octet_batches, "path string, raw string")
-    lines = F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")
-    newline = files.filter(~first.rlike(r"^\d")).select(
-        "path", F.explode(F.slice(lines, F.lit(1), F.size(lines) - 1)).alias("raw")
-    )
-    return clean_lines(counted.unionByName(newline))
+    return clean_lines(Captures(spark, path, chunk_bytes).messages())
 
 
 # --- agents ------------------------------------------------------------------------------------------
@@ -158,7 +130,7 @@ def ingest_summary(elements: DataFrame, parsed_problem: Column) -> DataFrame:
 def journald_lines(spark: SparkSession, path: str, units: Sequence[str] = (), streaming: bool = False) -> DataFrame:
     """journald JSON lines: blank and invalid lines skipped, optionally only some units.
 
-    As a stream the query's checkpoint takes the place of the stored cursor.
+    As a stream the query's checkpoint takes the place of the stored cursor; ``journald_after`` resumes batches at cursors.
     """
     lines = syslog_lines(spark, path, streaming)
     return journald_entries(lines, units)
@@ -172,6 +144,33 @@ def journald_entries(lines: DataFrame, units: Sequence[str] = ()) -> DataFrame:
     return kept
 
 
+def _at() -> Column:
+    """The order of a host's journal: its files by name, each from top to bottom."""
+    return F.struct("path", "position")
+
+
+def journald_after(lines: DataFrame, cursors: DataFrame, first_run: int = 1000) -> DataFrame:
+    """Journal entries after the stored cursor of their host: ``tail_lines`` and (source_ip, cursor).
+
+    A host without a stored cursor sends its last ``first_run`` entries; one whose cursor is no longer in the files sends all they hold.
+    """
+    entries = journald_entries(lines).withColumn("cursor", F.get_json_object("raw", "$.__CURSOR"))
+    stored = cursors.select("source_ip", F.col("cursor").alias("_cursor")).where("_cursor IS NOT NULL")
+    same = [entries["source_ip"] == stored["source_ip"], entries["cursor"] == stored["_cursor"]]
+    reached = entries.join(stored, same, "left_semi").groupBy("source_ip").agg(F.max(_at()).alias("_reached"))
+    known = entries.join(stored.join(reached, "source_ip", "left"), "source_ip")
+    later = known.where(F.col("_reached").isNull() | (_at() > F.col("_reached"))).select(*entries.columns)
+    last = F.row_number().over(Window.partitionBy("source_ip").orderBy(_at().desc()))
+    fresh = entries.join(stored, "source_ip", "left_anti").withColumn("_n", last).where(F.col("_n") <= first_run).drop("_n")
+    return later.unionByName(fresh)
+
+
+def new_cursors(entries: DataFrame, cursors: DataFrame) -> DataFrame:
+    """The last cursor of every host after reading ``entries`` (of ``journald_after``)."""
+    seen = entries.where("cursor IS NOT NULL").groupBy("source_ip").agg(F.max_by("cursor", _at()).alias("_seen"))
+    return cursors.join(seen, "source_ip", "full").select("source_ip", F.coalesce("_seen", "cursor").alias("cursor"))
+
+
 def wrap_syslog(lines: DataFrame, default_host: str = "localhost") -> DataFrame:
     """Plain syslog lines wrapped as ``{timestamp, hostname, program, message}`` JSON.
 

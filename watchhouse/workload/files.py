@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchhouse.operators import normalize
 from watchhouse.operators.integrity import retention_plan
 from watchhouse.session import cut_lineage, shared_dir
 from watchhouse.sources import lines as src
-from watchhouse.sources import sinks, tables
+from watchhouse.sources import positions, sinks, tables
 from watchhouse.workload.registry import query
 from watchhouse.workload.tables import AS_OF, Tables, duck_ip, ip, ts, with_tables
 
@@ -25,30 +25,97 @@ def _write_lines(df, path: str) -> None:
 # --- sources -----------------------------------------------------------------------------------------
 
 
+_PADDED_SQL = f"""{with_tables('cisco_lines')}, l AS (SELECT concat('10.9.0.', CAST(record_id AS BIGINT) % 20) AS source_ip, raw FROM cisco_lines
+    UNION ALL SELECT concat('10.9.0.', CAST(record_id AS BIGINT) % 20), concat('ligne é ', CAST(record_id AS BIGINT) % 50) FROM cisco_lines)
+    SELECT source_ip, raw, count(*) AS n, count(*) AS ids FROM l GROUP BY source_ip, raw"""
+
+
+def _padded(t: Tables) -> str:
+    """Folder of files with padding, blank lines, repeated lines and non-ASCII text, one folder per sender."""
+    n = F.col("record_id").cast("bigint")
+    padded = F.concat(F.lit(" \t"), F.col("raw"), F.lit(" \n   \nligne é "), (n % 50).cast("string"), F.lit("\t"))
+    path = shared_dir(t.spark, "syslog")
+    _write_lines(t.cisco_lines.select(padded.alias("value"), F.concat(F.lit("10.9.0."), n % 20).alias("source_ip")), path)
+    return path
+
+
+def _halves(path: str) -> dict[str, int]:
+    """Half the bytes of every file, which is mostly within a line."""
+    return {name: size // 2 for name, (size, _) in positions.listed(path).items()}
+
+
+def _named_once(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("source_ip", "raw").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("ids"))
+
+
 @query(f"""{with_tables('cisco_lines')} SELECT concat('10.9.0.', CAST(record_id AS BIGINT) % 20) AS source_ip, raw FROM cisco_lines
-    UNION ALL SELECT concat('10.9.0.', CAST(record_id AS BIGINT) % 20), concat('ligne é ', record_id) FROM cisco_lines""")
+    UNION ALL SELECT concat('10.9.0.', CAST(record_id AS BIGINT) % 20), concat('ligne é ', CAST(record_id AS BIGINT) % 50) FROM cisco_lines""")
 def src_syslog_text(t: Tables):
     """Lines with padding, blank lines and non-ASCII text, one folder per sender."""
-    folder = F.concat(F.lit("10.9.0."), F.col("record_id").cast("bigint") % 20).alias("source_ip")
-    padded = F.concat(F.lit(" \t"), F.col("raw"), F.lit(" \n   \nligne é "), F.col("record_id"), F.lit("\t"))
-    path = shared_dir(t.spark, "syslog")
-    _write_lines(t.cisco_lines.select(padded.alias("value"), folder), path)
-    return src.syslog_lines(t.spark, path).select("source_ip", "raw")
+    return src.syslog_lines(t.spark, _padded(t)).select("source_ip", "raw")
+
+
+@query(_PADDED_SQL)
+def src_syslog_positions(t: Tables):
+    """The same lines from byte ranges of 4 KB: equal lines have ids of their own."""
+    return _named_once(src.tail_lines(t.spark, _padded(t), split_bytes=4096))
+
+
+@query(_PADDED_SQL)
+def st_checkpoint(t: Tables):
+    """A stream over the first half of every file's bytes, stopped, and started again from its checkpoint for the rest."""
+    path, out = _padded(t), shared_dir(t.spark, "resumed")
+
+    def run(ending):
+        lines = src.tail_lines(t.spark, path, ending=ending, streaming=True, split_bytes=4096)
+        writer = lines.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+        writer.start(f"{out}/lines").awaitTermination()
+
+    run(_halves(path))
+    run(None)
+    return _named_once(t.spark.read.parquet(f"{out}/lines"))
+
 
+# Documents dealt to seven captures in the order of their ids; some are a megabyte long, and in six captures one count is broken
+_CAPTURES = """d AS (SELECT doc_id, doc_id % 7 AS capture, CASE WHEN doc_id % 211 = 7 THEN repeat(concat(text, ' 12 '), CAST(ceil(1000000.0 / (octet_length(encode(text)) + 4)) AS INTEGER)) ELSE text END AS body
+      FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT *, octet_length(encode(body)) + 1 AS size, doc_id % 7 <> 3 AND doc_id % 97 = 50 AS broken FROM d),
+    g AS (SELECT *, length(CAST(size AS VARCHAR)) + 1 + size AS whole FROM f),
+    p AS (SELECT *, sum(CASE WHEN broken THEN 1 ELSE 0 END) OVER w AS failed, sum(whole) OVER w - whole AS position FROM g WINDOW w AS (PARTITION BY capture ORDER BY doc_id))"""
 
-@query(f"""WITH m AS (SELECT trim(text, {_BLANKS}) AS raw FROM documents) SELECT 'counted' AS framing, sha256(raw) AS digest, count(*) AS n FROM m WHERE raw <> '' GROUP BY 2
-    UNION ALL SELECT 'newline', sha256(concat('message ', {_E}, ' of user ', {_U})), count(*) FROM events GROUP BY 2""")
+
+@query(f"""WITH {_CAPTURES}, m AS (SELECT capture, position, trim(body, {_BLANKS}) AS raw FROM p WHERE failed = 0)
+    SELECT 'counted' AS framing, CAST(capture AS VARCHAR) AS capture, CAST(position AS BIGINT) AS position, sha256(raw) AS digest, CAST(1 AS BIGINT) AS n FROM m WHERE raw <> ''
+    UNION ALL SELECT 'unread', CAST(capture AS VARCHAR), CAST(min(position) AS BIGINT), NULL, CAST(max(total) - min(position) AS BIGINT)
+      FROM (SELECT *, sum(whole) OVER (PARTITION BY capture) AS total FROM p) q WHERE failed > 0 GROUP BY capture
+    UNION ALL SELECT 'newline', NULL, NULL, sha256(concat('message ', {_E}, ' of user ', {_U})), count(*) FROM events GROUP BY 4""")
 def src_framed_capture(t: Tables):
-    """Whole documents in counted frames (they contain line breaks), short messages in lines."""
+    """Whole documents in counted frames (they contain line breaks), short messages in lines, both cut in chunks of 64 KB.
+
+    Frames of a megabyte span many chunks; a broken count ends six of the seven captures, whose rest is reported with its offset.
+    """
     path = shared_dir(t.spark, "captures")
-    framed = F.concat((F.octet_length("text") + 1).cast("string"), F.lit(" "), F.col("text"))
-    # a frame longer than six digits would not be valid
-    t.documents.select(framed.alias("value")).write.text(f"{path}/counted")
+    docs = t.documents.where("text IS NOT NULL").withColumn("capture", F.col("doc_id") % 7)
+    longer = F.repeat(F.concat("text", F.lit(" 12 ")), F.ceil(F.lit(1_000_000.0) / (F.octet_length("text") + 4)).cast("int"))
+    body = F.when(F.col("doc_id") % 211 == 7, longer).otherwise(F.col("text"))
+    size = (F.octet_length("body") + 1).cast("string")
+    broken = (F.col("capture") != 3) & (F.col("doc_id") % 97 == 50)
+    # as many bytes, but no number
+    count = F.when(broken, F.concat(F.substr(size, F.lit(1), F.length(size) - 1), F.lit("x"))).otherwise(size)
+    framed = docs.withColumn("body", body).select("doc_id", "capture", F.concat(count, F.lit(" "), "body").alias("value"))
+    framed.repartition("capture").sortWithinPartitions("capture", "doc_id").select("capture", "value").write.partitionBy("capture").text(f"{path}/counted")
     short = F.concat(F.lit("message "), F.col("event_id").cast("string"), F.lit(" of user "), F.col("user_id").cast("string"))
     t.events.select(short.alias("value")).write.text(f"{path}/newline")
-    framing = F.when(F.col("path").contains("/counted/"), "counted").otherwise("newline")
-    read = src.framed_captures(t.spark, path)
-    return read.groupBy(framing.alias("framing"), F.sha2("raw", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    of = F.regexp_extract("path", "/capture=([0-9]+)/", 1).alias("capture")
+    none = lambda kind: F.lit(None).cast(kind)
+    read = src.framed_captures(t.spark, path, 65536)
+    counted = read.where(F.col("path").contains("/counted/")).groupBy(of, "position", F.sha2("raw", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    lines = read.where(~F.col("path").contains("/counted/")).groupBy(F.sha2("raw", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    unread = src.Captures(t.spark, path, 65536).unread().groupBy(of).agg(F.min("position").alias("position"), F.sum(F.octet_length("raw")).alias("n"))
+    columns = ["framing", "capture", "position", "digest", "n"]
+    return (counted.withColumn("framing", F.lit("counted")).select(*columns)
+            .unionByName(unread.select(F.lit("unread").alias("framing"), "capture", "position", none("string").alias("digest"), "n"))
+            .unionByName(lines.select(F.lit("newline").alias("framing"), none("string").alias("capture"), none("bigint").alias("position"), "digest", "n")))
 
 
 def _batches(t: Tables):
@@ -85,23 +152,59 @@ def ingest_summary(t: Tables):
     return summary.unionByName(refused.withColumn("accepted", F.lit(0).cast("bigint")))
 
 
-@query(f"""SELECT {_E} AS pid, CASE WHEN event_type = 'view' THEN 'ssh.service' ELSE 'cron.service' END AS unit FROM events WHERE event_type IN ('view', 'click')""")
-def src_journald_json(t: Tables):
-    """JSON lines of several units; broken and blank lines in between; two units kept."""
-    kind = F.when(F.col("event_type") == "view", "ssh.service").when(F.col("event_type") == "click", "cron.service").otherwise("other.service")
-    entry = F.to_json(F.struct(kind.alias("_SYSTEMD_UNIT"), F.col("event_id").cast("string").alias("_PID")))
+_UNITS = "CASE event_type WHEN 'view' THEN 'ssh.service' WHEN 'click' THEN 'cron.service' ELSE 'other.service' END"
+
+
+def _journal(t: Tables):
+    """JSON lines of several units with broken and blank lines in between, one file per host in the order of event_id."""
+    entry = F.to_json(F.struct(F.expr(_UNITS).alias("_SYSTEMD_UNIT"), F.col("event_id").cast("string").alias("_PID"), F.concat(F.lit("s="), "event_id").alias("__CURSOR")))
     noisy = F.concat(entry, F.lit("\n{broken\n\n[1]\n"))
     path = shared_dir(t.spark, "journald")
-    _write_lines(t.events.select(noisy.alias("value"), F.lit("10.9.0.1").alias("source_ip")), path)
-    kept = src.journald_lines(t.spark, path, ["ssh.service", "cron.service"])
+    rows = t.events.select(noisy.alias("value"), F.concat(F.lit("10.9.0."), F.col("event_id") % 4).alias("source_ip"), "event_id")
+    _write_lines(rows.repartition("source_ip").sortWithinPartitions("source_ip", "event_id").select("value", "source_ip"), path)
+    return path
+
+
+@query(f"""SELECT {_E} AS pid, {_UNITS} AS unit FROM events WHERE event_type IN ('view', 'click')""")
+def src_journald_json(t: Tables):
+    """Two units kept of several."""
+    kept = src.journald_lines(t.spark, _journal(t), ["ssh.service", "cron.service"])
     return kept.select(F.get_json_object("raw", "$._PID").alias("pid"), F.get_json_object("raw", "$._SYSTEMD_UNIT").alias("unit"))
 
 
-@query(f"""SELECT {_E} AS id, CASE WHEN event_id % 4 = 3 THEN 'fallback' ELSE concat('host-', event_id % 20) END AS hostname,
+# host 0 has read half its journal, host 1 all of it, host 2 up to an entry that is gone, host 3 nothing
+_CURSORS_SQL = """h AS (SELECT event_id % 4 AS host, count(*) AS n FROM events GROUP BY 1),
+    e AS (SELECT event_id, event_id % 4 AS host, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS nth FROM events),
+    r AS (SELECT e.* FROM e JOIN h USING (host) WHERE (host = 0 AND nth > n // 2) OR host = 2 OR (host = 3 AND nth > n - 100))"""
+
+
+def _read_on(t: Tables):
+    lines = src.tail_lines(t.spark, _journal(t), split_bytes=8192)
+    half = t.events.where("event_id % 4 = 0").select(F.row_number().over(Window.orderBy("event_id")).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"), "event_id")
+    half = half.where("at = n div 2").select(F.lit("10.9.0.0").alias("source_ip"), F.concat(F.lit("s="), "event_id").alias("cursor"))
+    full = t.events.where("event_id % 4 = 1").agg(F.concat(F.lit("s="), F.max("event_id")).alias("cursor")).select(F.lit("10.9.0.1").alias("source_ip"), "cursor")
+    gone = t.spark.createDataFrame([("10.9.0.2", "s=gone")], "source_ip string, cursor string")
+    cursors = half.unionByName(full).unionByName(gone)
+    return src.journald_after(lines, cursors, first_run=100), cursors
+
+
+@query(f"WITH {_CURSORS_SQL} SELECT concat('10.9.0.', host) AS source_ip, CAST(event_id AS VARCHAR) AS pid FROM r")
+def src_journald_cursor(t: Tables):
+    """Journals read on from stored cursors."""
+    return _read_on(t)[0].select("source_ip", F.get_json_object("raw", "$._PID").alias("pid"))
+
+
+@query(f"WITH {_CURSORS_SQL} SELECT concat('10.9.0.', event_id % 4) AS source_ip, concat('s=', max(event_id)) AS cursor FROM events GROUP BY 1")
+def src_journald_cursors(t: Tables):
+    """The cursors to store after that."""
+    return src.new_cursors(*_read_on(t))
+
+
+@query(f"""SELECT concat('10.9.1.', event_id % 3) AS source_ip, CASE WHEN event_id % 4 = 3 THEN 'fallback' ELSE concat('host-', event_id % 20) END AS hostname,
     CASE event_id % 4 WHEN 0 THEN concat('sshd[', event_id, ']') WHEN 1 THEN concat('sshd[', event_id, ']') ELSE 'syslog' END AS program,
     CASE event_id % 4 WHEN 0 THEN concat('Login: from  ', {_IP}) WHEN 1 THEN '' WHEN 2 THEN concat('no colon ', {_U}) ELSE concat('short ', {_U}) END AS message FROM events""")
 def src_syslog_tail(t: Tables):
-    """Program and message, a program only, no program, and a line of too few words."""
+    """Program and message, a program only, no program, and a line of too few words; each file read in two goes, up to half its bytes and on."""
     head = F.concat(F.lit("Jan 15 10:23:45 host-"), (F.col("event_id") % 20).cast("string"), F.lit(" "))
     program = F.concat(F.lit("sshd["), F.col("event_id").cast("string"), F.lit("]:"))
     n, user = F.col("event_id") % 4, F.col("user_id").cast("string")
@@ -109,9 +212,13 @@ def src_syslog_tail(t: Tables):
     line = (F.when(n == 0, F.concat(head, program, F.lit(" Login: from  "), address)).when(n == 1, F.concat(head, program))
             .when(n == 2, F.concat(head, F.lit("no colon "), user)).otherwise(F.concat(F.lit("short "), user)))
     events = t.events.withColumn("src_ip", F.expr(duck_ip("user_id").replace("//", "div")))
-    lines = events.select(F.col("event_id").cast("string").alias("id"), line.alias("raw"), F.col("ts").cast("timestamp").alias("received_at"))
-    wrapped = src.wrap_syslog(lines, "fallback")
-    return wrapped.select("id", *[F.get_json_object("raw", f"$.{k}").alias(k) for k in ("hostname", "program", "message")])
+    path = shared_dir(t.spark, "syslog-tail")
+    _write_lines(events.select(line.alias("value"), F.concat(F.lit("10.9.1."), F.col("event_id") % 3).alias("source_ip")), path)
+    half = _halves(path)
+    first = src.tail_lines(t.spark, path, ending=half, split_bytes=4096)
+    second = src.tail_lines(t.spark, path, starting=positions.line_ends(path, half), split_bytes=4096)
+    wrapped = src.wrap_syslog(first.unionByName(second), "fallback")
+    return wrapped.select("source_ip", *[F.get_json_object("raw", f"$.{k}").alias(k) for k in ("hostname", "program", "message")])
 
 
 _MARKS = [("A", 20_000), ("N", 100_000)]
@@ -144,8 +251,8 @@ def src_winlog_records(t: Tables):
 
 
 @query(f"""SELECT channel, greatest(max(record_number), CASE channel WHEN 'A' THEN 20000 WHEN 'N' THEN 100000 ELSE 0 END) AS record_id FROM ({_RECORDS}) r GROUP BY channel""")
-def st_checkpoint(t: Tables):
-    """High-water marks after a read: the batch counterpart of a streaming checkpoint."""
+def src_winlog_marks(t: Tables):
+    """High-water marks after a read."""
     return src.new_marks(_records(t), _marks(t))
 
 
