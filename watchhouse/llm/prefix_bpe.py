@@ -23,12 +23,33 @@ from pyspark.sql import DataFrame
 from watchhouse.llm.common import worker_cache
 
 SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
-KEPT_WORDS = 300_000  # words a worker remembers before it starts afresh
+KEPT_WORDS = 500_000  # words of a generation a worker remembers
 RARE = re.compile("[^\x00-\u024f\u0370-\u03ff\u0400-\u04ff\u2010-\u2027]").search
-CONTROL = re.compile("[\x1c-\x1f]").search
+_PLAIN = re.compile("[\t-\r -~]*").fullmatch  # every character of a word stands for itself
 END_BASE = 0xF0000  # stand-in characters for the last character of a word
 
 
+class Remembered(dict):
+    """Results by key, worked out when missing; two generations, so that what is in use outlives a turn."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+    def turn(self) -> None:
+        """Start a new generation when this one is full; the one before it is forgotten."""
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
 class PrefixEncoder:
     """Encoder and decoder for a word-level BPE file with an end-of-word suffix."""
 
@@ -72,8 +93,8 @@ class PrefixEncoder:
             if i in reachable:
                 self.automaton.add_word(u, (i, len(u)))
         self.automaton.make_automaton()
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.known = Remembered(self._word)
+        self.others = Remembered(self._other)
         self.library = Tokenizer.from_file(path)
 
     def _units(self, token: str) -> str:
@@ -128,50 +149,49 @@ class PrefixEncoder:
         out.reverse()
         return out
 
-    def _word(self, chars: str) -> tuple[int, str, str]:
-        """(number of ids, ids as text, tokens as text) of a word given as byte stand-ins."""
-        got = self.known.get(chars)
-        if got is None:
-            ids = self.word_ids(chars[:-1] + chr(END_BASE + ord(chars[-1])))
-            got = self.known[chars] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.token_of.__getitem__, ids)))
-        return got
-
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """The same for a stretch without white space, which may hold several words."""
-        if RARE(chunk):  # characters whose normal form or class may differ between Unicode versions
-            normal = self.library.normalizer.normalize_str(chunk)
-            words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-        else:
-            # lower case is taken character by character, so a final sigma has no form of its own
-            plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            words = self.words(plain)
-            if not (plain.isascii() and plain.isprintable()):  # else every character stands for itself
-                words = ["".join(map(self.byte_chars.__getitem__, w.encode())) for w in words]
-        found = [self._word(w) for w in words]
-        return sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+    def _word(self, chars: str) -> tuple[str, str]:
+        """Ids as text and tokens as text of a word given as byte stand-ins."""
+        ids = self.word_ids(chars[:-1] + chr(END_BASE + ord(chars[-1])))
+        return " ".join(map(str, ids)), " ".join(map(self.token_of.__getitem__, ids))
+
+    def _other(self, word: str) -> tuple[str, str]:
+        """The same for a word of any characters, in lower case."""
+        return self.known["".join(map(self.byte_chars.__getitem__, word.encode()))]
+
+    def _rare(self, chunk: str) -> list[tuple[str, str]]:
+        """A stretch whose normal form or classes may differ between Unicode versions, read by the library's own rules."""
+        normal = self.library.normalizer.normalize_str(chunk)
+        return [self.known[w] for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def _words_of(self, piece: str) -> list[tuple[str, str]]:
+        """Results of the words of a piece of text, in order."""
+        if piece.isascii():
+            # white space parts words, and no other character of a piece without controls is left out
+            return list(map(self.known.__getitem__ if _PLAIN(piece) else self.others.__getitem__, self.words(piece.lower())))
+        if RARE(piece):  # only the stretches that hold such characters take the long way
+            out = []
+            for chunk in self.spaces(" ", piece).split(" "):
+                out += self._rare(chunk) if RARE(chunk) else self._words_of(chunk) if chunk else []
+            return out
+        # lower case is taken character by character, so a final sigma has no form of its own
+        plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        known, others = self.known, self.others
+        return [known[w] if w.isascii() else others[w] for w in self.words(plain)]
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """(number of ids, decimal ids joined by spaces, decoded text)."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        if len(self.chunks) > KEPT_WORDS:
-            self.chunks.clear()
+        self.known.turn()
+        self.others.turn()
         if len(self.pairs) > 4 * KEPT_WORDS:
             self.pairs.clear()
-        found: list[tuple[int, str, str]] = []
-        chunks = self.chunks
+        found: list[tuple[str, str]] = []
         for piece in self.stops(text) if "<|" in text else [text]:
-            if piece in self.special:
-                found.append((1, str(self.special[piece]), piece))
-                continue
-            # str.split() also cuts at four control characters that are no white space here
-            for chunk in self.spaces(" ", piece).split(" ") if CONTROL(piece) else piece.split():
-                got = chunks.get(chunk)
-                if got is None:
-                    got = chunks[chunk] = self._chunk(chunk)
-                if got[0]:
-                    found.append(got)
-        return sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+            found += [(str(self.special[piece]), piece)] if piece in self.special else self._words_of(piece)
+        if not found:
+            return 0, "", ""
+        ids, tokens = zip(*found)
+        joined = " ".join(ids)
+        return joined.count(" ") + 1, joined, " ".join(tokens)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, with_text: bool = False) -> DataFrame:
