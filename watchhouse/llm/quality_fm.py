@@ -6,7 +6,8 @@ are summed in linear time as half of (square of sums - sum of squares) per facto
 of labelled rows (``max_rows`` with the smallest id hash) and shipped to the tasks, which score every whole text.
 
 A null or empty text has statistics of zero and gets a score like any other; a null n_chars has a bin of its own; repeated rows are
-scored each; without both kinds of label every score is the share of label 1 (0.5 without labels); an empty table gives no rows;
+scored each (of a labelled id that stands in several rows one text is learned from, the one of the least hash, so equal scores cannot depend on
+the order of rows); without both kinds of label every score is the share of label 1 (0.5 without labels); an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -17,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,20 @@ EPOCHS = 12
 BATCH, LEAST_STEPS = 128, 750  # a small sample is gone through more often
 THRESHOLD = 0.3
 KEPT_WORDS = 300_000
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20  # texts in memory as features at a time; a longer text stands alone
+
+
+def slices(batch: pa.RecordBatch):
+    """A batch in pieces of bounded text."""
+    lengths = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    low = 0
+    while low < len(batch):
+        high, taken = low + 1, lengths[low]
+        while high < len(batch) and high - low < SLICE_ROWS and taken + lengths[high] <= SLICE_BYTES:
+            taken += lengths[high]
+            high += 1
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -146,11 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     """Fit on at most ``max_rows`` labelled documents outside the held-out fold; a constant where there is nothing to learn."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # at most max_rows rows of two numbers
+    # at most max_rows rows of two numbers; of the rows of one id the one with the least text hash is learned from
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text", "n_chars").alias("_h"), "text", "n_chars", "quality")).alias("r")).select(
+        "doc_id", "r.text", "r.n_chars", "r.quality")
 
     def compact(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             starts, buckets, values, dense = features(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())
             spans = list(zip(starts[:-1], starts[1:]))
             yield pa.RecordBatch.from_pydict({
@@ -183,11 +201,12 @@ def score(docs: DataFrame, model: FactorMachine | float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if isinstance(model, float):
-                found = np.full(batch.num_rows, model)
-            else:
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                found = model.score(features(texts, batch.column("n_chars").to_pylist()))
+            found = np.full(batch.num_rows, model if isinstance(model, float) else 0.0)
+            at = 0
+            for piece in slices(batch) if not isinstance(model, float) else ():
+                texts = [t or "" for t in piece.column("text").to_pylist()]
+                found[at:at + len(texts)] = model.score(features(texts, piece.column("n_chars").to_pylist()))
+                at += len(texts)
             arrays = [*batch.columns, pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "score", "predicted"])
 
