@@ -1,6 +1,8 @@
 """Alert merging and table changes on small fixtures."""
 
+import random
 from datetime import datetime
+from ipaddress import ip_address, ip_network
 
 import pytest
 
@@ -103,3 +105,51 @@ def test_geoip_wide_and_narrow_ranges(spark):
 
     got = {r["id"]: r["geo_country"] for r in enrich.add_geoip(events, table).collect()}
     assert got == {str(i): expected(ip) for i, ip in enumerate(ips)}
+
+
+def test_location_by_the_longest_network(spark):
+    """Random nested networks and addresses of both families against the standard library."""
+    rng = random.Random(5)
+    nets = [("0.0.0.0/0", "all four"), ("::/0", "all six"), ("2001:db8::/29", "odd"), ("10.0.0.0/13", "odd four"), ("::ffff:10.1.0.0/112", "mapped"), ("1.2.3.4", "host"), ("broken/8", "x"), ("1.1.1.1/40", "x")]
+    for n in range(300):
+        six = n % 2
+        bits = rng.choice([8, 9, 14, 16, 22, 24, 31, 32] if not six else [12, 32, 33, 47, 48, 61, 64, 127, 128])
+        base = (rng.choice([10, 11]) << 24 | rng.getrandbits(10) << 14 | rng.getrandbits(4)) if not six else (0x20010DB8 << 96 | rng.getrandbits(6) << 80 | rng.getrandbits(3))
+        nets.append((str(ip_network((base, bits), strict=False)), f"n{n:03d}"))
+    table = spark.createDataFrame([(n, c, f"city {c}") for n, c in nets], "network string, country string, city string")
+    parsed = []
+    for n, c in nets:
+        try:
+            net = ip_network(n)
+        except ValueError:
+            continue
+        if n.startswith("::ffff:"):
+            net = ip_network("10.1.0.0/16")
+        parsed.append((net, c))
+    ips = [None, "", "nothing", "1.2.3.4", "1.2.3", "256.1.1.1", "::", "::1", ":::", "1::2::3", "2001:db8:1", "2001:DB8::A", "fe80::1%eth0", "::ffff:10.1.2.3", "::10.1.2.3", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::",
+           "12345::", "g::1", "::ffff:300.1.1.1", "2001:db8:0:0:0:0:10.0.0.1"]
+    ips += [str(ip_address(rng.choice([10, 11]) << 24 | rng.getrandbits(24))) for _ in range(150)] + [str(ip_address(0x20010DB8 << 96 | rng.getrandbits(7) << 80 | rng.getrandbits(4))) for _ in range(150)]
+
+    def expected(ip):
+        try:
+            a = ip_address((ip or "").split("%")[0])
+        except ValueError:
+            return None
+        a = getattr(a, "ipv4_mapped", None) or a
+        inside = [(net.prefixlen, c) for net, c in parsed if net.version == a.version and a in net]
+        return max(inside, default=(0, None))[1]
+
+    names = EVENTS.fieldNames()
+    events = spark.createDataFrame([tuple({"id": str(i), "src_ip": ip, "geo_country": "known" if i == 3 else None}.get(n) for n in names) for i, ip in enumerate(ips)], EVENTS)
+    located = enrich.add_location(events, table)
+    assert located.columns == events.columns
+    got = {r["id"]: r["geo_country"] for r in located.collect()}
+    assert got == {str(i): "known" if i == 3 else expected(ip) for i, ip in enumerate(ips)}
+    assert enrich.add_location(events, table.limit(0)).where("geo_country IS NOT NULL").count() == 1
+
+
+def test_ranges_become_networks(spark):
+    rows = [("1.0.0.1", "1.0.0.6", "a"), (str(2 << 24), str((2 << 24) + 255), "b"), ("2001:db8::", "2001:db8:0:1::", "c"), ("5.0.0.2", "5.0.0.1", "x"), (None, "1.1.1.1", "x")]
+    df = spark.createDataFrame([(*r, "") for r in rows], "start_ip string, end_ip string, country string, city string")
+    got = sorted((r["country"], r["network"]) for r in enrich.networks_of_ranges(df).collect())
+    assert got == [("a", "1.0.0.1/32"), ("a", "1.0.0.2/31"), ("a", "1.0.0.4/31"), ("a", "1.0.0.6/32"), ("b", "2.0.0.0/24"), ("c", "2001:db8:0:1::/128"), ("c", "2001:db8::/64")]

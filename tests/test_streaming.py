@@ -1,5 +1,6 @@
 """Streams that stop and continue."""
 
+import pytest
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -68,6 +69,26 @@ def test_sequence_ignores_the_order_of_arrival(spark, tmp_path):
     assert _sequence(spark, tmp_path, _ab(), batches) == [("x", _second(45), _second(55))]
 
 
+def test_rules_come_and_go_between_runs(spark, tmp_path):
+    """Three rules of different windows in one stream; one is added and one taken away before the second run."""
+    schema = "src_ip string, event_id string, received_at timestamp"
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    make = lambda name, steps, window: make_rule(name, name, "sequence", "low", {"steps": [{"event_id": s} for s in steps], "group_by": "src_ip", "window_seconds": window})
+    short, long, three, new = make("short", "ab", 10), make("long", "ab", 1000), make("three", "abc", 1000), make("new", "cd", 1000)
+
+    def run(rows, wanted):
+        _append(spark, path, rows, schema)
+        events = spark.readStream.schema(schema).parquet(path).selectExpr("*", "'h' AS source_host")
+        _run(rules.sequence_streams(events, wanted), out, f"{out}-checkpoint")
+
+    run([("x", "a", T0), ("x", "b", _second(50)), ("y", "a", _second(51)), ("y", "b", _second(55))], [short, long, three])
+    run([("x", "c", _second(60)), ("y", "b", _second(200))], [long, three, new])
+    run([("x", "d", _second(300)), ("end", "a", _second(100_000))], [long, three, new])
+    got = sorted((r["rule_id"], r["src_ip"], int((r["first_seen"] - T0).total_seconds()), int((r["last_seen"] - T0).total_seconds())) for r in spark.read.parquet(out).collect())
+    # 'short' of y ends after the first run's watermark, when the rule is gone
+    assert got == [("long", "x", 0, 50), ("long", "y", 51, 55), ("long", "y", 51, 200), ("new", "x", 60, 300), ("three", "x", 0, 60)]
+
+
 def test_absence_reports_every_silent_tick(spark):
     from watchhouse.plans.threshold import absence_ticks
 
@@ -90,12 +111,56 @@ def test_bucket_state_spans_batches(spark, tmp_path):
     assert got == [(3, 2), (1, 0), (1, 1)]
 
 
-def test_alert_versions_are_idempotent(spark, tmp_path):
-    from watchhouse.schema import TRIGGERS
+def test_alert_changes_written_twice(spark, tmp_path):
+    """The table after a merge does not change when its changes are appended again, and the history stays as it was written."""
     from watchhouse.operators.alerts import merge_triggers
+    from watchhouse.schema import ALERTS, TRIGGERS
+    from watchhouse.sources import sinks
 
-    store = rules.AlertStore(spark, str(tmp_path / "alerts"))
+    path, now = str(tmp_path / "alerts"), "2024-01-02 00:00:00"
     fired = spark.createDataFrame([("r", "low", "t", "d", None, None, T0, T0, 2, "r:a", {})], TRIGGERS)
-    for batch in (0, 1, 1):
-        store.write(merge_triggers(store.read(before=batch), fired, "2024-01-02 00:00:00"), batch)
-    assert [r["event_count"] for r in store.read().collect()] == [4]
+    sinks.write_alert_changes(merge_triggers(spark.createDataFrame([], ALERTS), fired, "2024-01-01 12:00:00"), path, None)
+    merged = merge_triggers(sinks.read_alerts(spark, path), fired, now)
+    for _ in range(2):
+        sinks.write_alert_changes(merged, path, now)
+    assert [r["event_count"] for r in sinks.read_alerts(spark, path).collect()] == [4]
+    assert sorted(r["event_count"] for r in spark.read.parquet(path).collect()) == [2, 4, 4]
+
+
+@pytest.mark.parametrize("mode", ["accumulate", "replace"])
+def test_alerts_as_state(spark, tmp_path, mode):
+    """Triggers and patches over several micro-batches: as merge_triggers and patch_alerts would have it."""
+    from watchhouse.operators.alerts import latest_alerts
+    from watchhouse.schema import TRIGGERS
+    from watchhouse.streaming import alert_state
+
+    fires, patches, out = (str(tmp_path / n) for n in ("fires", "patches", "out"))
+    patch_schema = "alert_id string, rule_id string, group_key string, at timestamp, status string, assigned_to string"
+    spark.createDataFrame([], TRIGGERS).write.parquet(fires)
+    spark.createDataFrame([], patch_schema).write.parquet(patches)
+
+    def fire(second, count, key="r:a", text="d", extra=None):
+        return ("r", "low", "t", text, "a", None, _second(second - 5), _second(second), count, key, extra or {})
+
+    def run(triggers, patched=()):
+        spark.createDataFrame(triggers, TRIGGERS).write.mode("append").parquet(fires)
+        spark.createDataFrame(list(patched), patch_schema).write.mode("append").parquet(patches)
+        rows = alert_state.trigger_rows(spark.readStream.schema(TRIGGERS).parquet(fires)).unionByName(
+            alert_state.patch_rows(spark.readStream.schema(patch_schema).parquet(patches)))
+        _run(alert_state.alert_changes(rows, mode), out, f"{out}-checkpoint")
+        return {r["group_key"]: r for r in latest_alerts(spark.read.parquet(out)).where("status = 'open'").collect()}
+
+    first = run([fire(10, 2), fire(20, 3, text="later", extra={"k": "1"}), fire(7, 1, "r:b"), fire(9, 4, None)])
+    a = first["r:a"]
+    assert (a["event_count"], a["first_seen"], a["last_seen"], a["description"], a["extra"], a["src_ip"]) == (5, _second(5), _second(20), "later", {"k": "1"}, "a")
+    assert set(first) == {"r:a", "r:b", None} and first[None]["event_count"] == 4
+    second = run([fire(40, 6)], [(a["id"], "r", "r:a", _second(41), None, "analyst"), (a["id"], "r", "r:a", _second(41), "bogus", None)])["r:a"]
+    assert (second["event_count"], second["first_seen"], second["assigned_to"], second["extra"]) == (11 if mode == "accumulate" else 6, _second(5), "analyst", {"k": "1"})
+    assert second["id"] == a["id"] and second["created_at"] == a["created_at"]
+    run([], [(a["id"], "r", "r:a", _second(50), "closed", None)])
+    third = run([fire(60, 1)])["r:a"]
+    assert third["id"] != a["id"] and third["event_count"] == 1
+    table = latest_alerts(spark.read.parquet(out)).collect()
+    assert sorted((r["group_key"] or "", r["status"]) for r in table) == [("", "open"), ("r:a", "closed"), ("r:a", "open"), ("r:b", "open")]
+    changes = spark.read.parquet(out).where(f"id = '{a['id']}'").orderBy("version").collect()
+    assert [r["version"] for r in changes] == list(range(1, len(changes) + 1))

@@ -154,3 +154,46 @@ def ipv4_number(ip: Column) -> Column:
     octets = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
     number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
     return F.when(ip.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?!\z)|\z)){4}\z"), number)
+
+
+# groups of an IPv6 address in lower case, at most one gap
+_V6 = r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$"
+_MAPPED = "0" * 20 + "ffff"  # an IPv4 address written as an IPv6 one
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used; keeps long expressions small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def address_hex(ip: Column) -> Column:
+    """An address of either family as text: ``4`` and 8, or ``6`` and 32 hexadecimal digits; NULL for anything else.
+
+    A prefix of 4k bits is thus a prefix of k + 1 characters.  IPv4 addresses mapped into IPv6 are IPv4; zones are dropped.
+    """
+    four = lambda number: F.lpad(F.lower(F.hex(number)), 8, "0")
+    parts = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+
+    def dotted(text: Column) -> Column:
+        """A dotted end written as the last two groups."""
+        tail = four(ipv4_number(F.regexp_extract(text, r"^.*:([0-9.]+)$", 1)))
+        return let(tail, lambda t: F.concat(F.regexp_extract(text, r"^(.*:)[0-9.]+$", 1), F.substr(t, F.lit(1), F.lit(4)), F.lit(":"), F.substr(t, F.lit(5), F.lit(4))))
+
+    def six(groups: Column) -> Column:
+        gap = groups.contains("::")
+        left = parts(F.when(gap, F.substring_index(groups, "::", 1)).otherwise(groups))
+        right = F.when(gap, parts(F.substring_index(groups, "::", -1))).otherwise(F.array().cast("array<string>"))
+
+        def filled(sides: Column) -> Column:
+            count = F.size(sides["left"]) + F.size(sides["right"])
+            fits = groups.rlike(_V6) & F.when(gap, count <= 7).otherwise(count == 8)
+            zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - count, F.lit(0)))
+            return F.when(fits, F.array_join(F.transform(F.concat(sides["left"], zeros, sides["right"]), lambda g: F.lpad(g, 4, "0")), ""))
+
+        digits = let(F.struct(left.alias("left"), right.alias("right")), filled)
+        return let(digits, lambda d: F.when(d.startswith(_MAPPED), F.concat(F.lit("4"), F.substr(d, F.lit(25)))).otherwise(F.concat(F.lit("6"), d)))
+
+    text = F.lower(F.regexp_replace(ip, "%.*$", ""))
+    long = let(text, lambda t: let(F.when(t.contains("."), dotted(t)).otherwise(t), six))
+    # addresses without a colon never reach the longer form
+    return F.when(ip.contains(":"), long).otherwise(F.concat(F.lit("4"), four(ipv4_number(ip))))

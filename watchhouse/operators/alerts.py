@@ -84,6 +84,12 @@ def merge_triggers(alerts: DataFrame, triggers: DataFrame, as_of, mode: str = "a
     return _shape(joined, values).unionByName(_shape(history, {}))
 
 
+def latest_alerts(changes: DataFrame) -> DataFrame:
+    """The alert table that appended changes (ALERTS columns and ``version``) amount to: the newest version of every alert."""
+    names = [f.name for f in ALERTS.fields if f.name != "id"]
+    return changes.groupBy("id").agg(F.max_by(F.struct(*names), "version").alias("_a")).select("id", *[f"_a.{n}" for n in names])
+
+
 def _shape(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return df.select(*[values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in ALERTS.fields])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +98,79 @@ def add_geoip(events: DataFrame, ranges: DataFrame) -> DataFrame:
     }).select(*events.columns)
 
 
+# --- networks of both address families ---------------------------------------------------------------
+
+
+def networks_of_ranges(ranges: DataFrame) -> DataFrame:
+    """(network, country, city) of address ranges ``(start_ip, end_ip, country, city)`` of either family, bounds as text or IPv4 numbers.
+
+    A range is the least set of networks that fill it; ranges that are no ranges give none.
+    """
+    def cut(batches):
+        from ipaddress import ip_address, summarize_address_range
+
+        for batch in batches:
+            out = {"network": [], "country": [], "city": []}
+            for low, high, country, city in zip(*(batch.column(c).to_pylist() for c in ("start_ip", "end_ip", "country", "city"))):
+                try:
+                    ends = [ip_address(int(x) if str(x).isdigit() else x) for x in (low, high)]
+                    networks = list(summarize_address_range(*ends))
+                except (TypeError, ValueError):
+                    continue
+                for network in networks:
+                    for name, value in (("network", str(network)), ("country", country), ("city", city)):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict({name: pa.array(values, pa.string()) for name, values in out.items()})
+
+    bounds = ranges.select(F.col("start_ip").cast("string"), F.col("end_ip").cast("string"), "country", "city")
+    return bounds.mapInArrow(cut, "network string, country string, city string")
+
+
+def _network_keys(networks: DataFrame) -> DataFrame:
+    """(key, length, country, city): networks under the hexadecimal prefixes they cover.
+
+    A network whose length is no multiple of four covers two, four or eight prefixes of the next one.
+    """
+    parts = F.split("network", "/")
+    addr = c.address_hex(F.get(parts, F.lit(0)))
+    mapped = F.get(parts, F.lit(0)).contains(":") & addr.startswith("4")
+    most = F.when(addr.startswith("4"), 32).otherwise(128)
+    given = F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), most)
+    read = networks.select(addr.alias("addr"), F.when(mapped, given - 96).otherwise(given).alias("length"), most.alias("most"), "country", "city")
+    read = read.where("addr IS NOT NULL AND length BETWEEN 0 AND most")
+    digits = F.ceil(F.col("length") / 4).cast("int")
+    free = digits * 4 - F.col("length")
+    last = F.conv(F.substr("addr", digits + 1, F.lit(1)), 16, 10).cast("int")
+    low = F.call_function("shiftleft", F.call_function("shiftright", last, free), free)
+    stem = F.substr("addr", F.lit(1), digits)
+    ends = F.transform(F.sequence(low, low + F.call_function("shiftleft", F.lit(1), free) - 1), lambda d: F.concat(stem, F.lower(F.hex(d))))
+    keys = F.when(F.col("length") == 0, F.array(F.substr("addr", F.lit(1), F.lit(1)))).otherwise(ends)
+    return read.select(F.explode(keys).alias("key"), "length", "country", "city")
+
+
+def add_location(events: DataFrame, networks: DataFrame) -> DataFrame:
+    """Fill ``geo_country`` / ``geo_city`` from ``networks(network, country, city)``, the longest one that holds ``src_ip``.
+
+    Networks of both families may be nested.  Every distinct address is looked up once, under the prefix lengths that occur in the
+    table (nine for IPv4 and 33 for IPv6 at most): equality joins, whatever the size of the networks.  Of one network given twice the
+    greatest country and city count.  Rows already located keep their values, misses stay NULL.
+    """
+    keys = _network_keys(networks)
+    present = keys.select(F.substr("key", F.lit(1), F.lit(1)).alias("family"), F.length("key").alias("n")).distinct().collect()
+    sizes = {family: sorted(r.n for r in present if r.family == family) for family in "46"}
+    prefixes = lambda family: F.array(*[F.substr("_addr", F.lit(1), F.lit(n)) for n in sizes[family]]).cast("array<string>")
+    located = events.withColumn("_addr", F.when(F.col("geo_country").isNull(), c.address_hex(F.col("src_ip"))))
+    asked = located.where("_addr IS NOT NULL").select("_addr").distinct()
+    asked = asked.select("_addr", F.explode(F.when(F.col("_addr").startswith("4"), prefixes("4")).otherwise(prefixes("6"))).alias("key"))
+    best = asked.join(keys, "key").groupBy("_addr").agg(F.max(F.struct("length", "country", "city")).alias("_net"))
+    # rows without an address are dealt out instead of gathering in one task
+    nowhere = F.concat(F.lit("-"), F.xxhash64("id").cast("string"))
+    joined = located.withColumn("_addr", F.coalesce("_addr", nowhere)).join(best, "_addr", "left")
+    return joined.withColumns({
+        "geo_country": F.coalesce("geo_country", "_net.country"), "geo_city": F.coalesce("geo_city", "_net.city"),
+    }).select(*events.columns)
+
+
 # --- projections ---------------------------------------------------------------------------------
 
 

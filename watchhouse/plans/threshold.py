@@ -72,7 +72,8 @@ def _matches(rules: Sequence[Rule], compat: bool, within: Callable[[Rule], Colum
     return F.array_compact(F.array(*hits))
 
 
-def _matched_rows(events: DataFrame, rules: Sequence[Rule], as_of, compat: bool, *carry: str) -> DataFrame:
+def threshold_matches(events: DataFrame, rules: Sequence[Rule], as_of, compat: bool, *carry: str) -> DataFrame:
+    """(carried columns, rule_no, grp, number): a row for every rule that an event satisfies."""
     widest = max(rule.window_seconds for rule in rules)
     scanned = events.filter(filters.in_window(as_of, widest))
     return scanned.select(*carry, F.inline(_matches(rules, compat, lambda rule: filters.in_window(as_of, rule.window_seconds))))
@@ -89,13 +90,13 @@ def threshold_triggers(events: DataFrame, rules: Sequence[Rule], as_of, compat:
     distinct = [r for r in rules if _mode(r, compat) == "distinct"]
     parts = []
     if plain:
-        counted = _matched_rows(events, plain, as_of, compat, "received_at").groupBy("rule_no", "grp").agg(
+        counted = threshold_matches(events, plain, as_of, compat, "received_at").groupBy("rule_no", "grp").agg(
             F.count(F.lit(1)).alias("event_count"), F.min("received_at").alias("first_seen"),
             F.max("received_at").alias("last_seen"), F.max("number").alias("number"),
         )
         parts.append(_decide(counted, plain, compat))
     if distinct:
-        rows = _matched_rows(events, distinct, as_of, compat, "received_at", "user_name")
+        rows = threshold_matches(events, distinct, as_of, compat, "received_at", "user_name")
         counted = rows.groupBy("rule_no", "grp").agg(
             F.count_distinct("user_name").alias("event_count"), F.min("received_at").alias("first_seen"),
             F.max("received_at").alias("last_seen"),
@@ -210,7 +211,7 @@ def threshold_tick(panes: DataFrame, events: DataFrame, rules: Sequence[Rule], a
 def absence_triggers(events: DataFrame, rules: Sequence[Rule], as_of) -> DataFrame:
     """One trigger, dated ``as_of``, for every rule no event satisfies."""
     params = events.sparkSession.createDataFrame(_params(rules, True), _PARAMS)
-    seen = _matched_rows(events, rules, as_of, True).groupBy("rule_no").agg(F.count(F.lit(1)).alias("n"))
+    seen = threshold_matches(events, rules, as_of, True).groupBy("rule_no").agg(F.count(F.lit(1)).alias("n"))
     return _absent(params.join(seen, "rule_no", "left_anti").withColumn("as_of", c.as_timestamp(as_of)))
 
 

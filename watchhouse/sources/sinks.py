@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from watchhouse.functions import columns as c
+from watchhouse.operators.alerts import latest_alerts
 from watchhouse.operators.integrity import retention_plan
-from watchhouse.schema import EVENTS
+from watchhouse.schema import ALERTS, EVENTS
 from watchhouse.sources.tables import month_of
 
 # about 50 MB of text per archive file
@@ -59,3 +61,19 @@ def archive_plan(spark: SparkSession, path: str, as_of) -> DataFrame:
 
 def write_errors(errors: DataFrame, path: str, mode: str = "append") -> None:
     errors.write.mode(mode).parquet(path)
+
+
+def write_alert_changes(alerts: DataFrame, path: str, as_of) -> None:
+    """Append the alerts that a merge or patch at ``as_of`` has touched (all of them when it is None: the first table).
+
+    History is not rewritten; writing the same changes again leaves the table as it is.
+    """
+    version = F.lit(0).cast("bigint") if as_of is None else F.unix_micros(c.as_timestamp(as_of))
+    touched = alerts if as_of is None else alerts.filter(F.col("updated_at") == c.as_timestamp(as_of))
+    touched.withColumn("version", version).write.mode("append").parquet(path)
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alert table from its changes."""
+    schema = StructType([*ALERTS.fields, StructField("version", LongType())])
+    return latest_alerts(spark.read.schema(schema).parquet(path))

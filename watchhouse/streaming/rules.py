@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import add, or_
 
@@ -18,8 +18,6 @@ from watchhouse.plans.anomaly import anomaly_from_hourly, hourly_counts
 from watchhouse.plans.rule_bodies import Rule
 from watchhouse.plans.threshold import absence_ticks
 from watchhouse.plans.triggers import as_triggers, shown
-from watchhouse.schema import ALERTS
-from watchhouse.operators.alerts import merge_triggers
 from watchhouse.streaming.ingest import trigger
 
 REAL_TIME_SECONDS = 30
@@ -44,31 +42,36 @@ def blacklist_stream(events: DataFrame, blacklists: DataFrame, rule: Rule) -> Da
 
 
 class _SequenceState(StatefulProcessor):
-    """Per group: instants that wait for the watermark, and per step the latest start of a chain that has reached it.
+    """Per rule and group: instants that wait for the watermark, and per step the latest start of a chain that has reached it.
 
     Rows wait in buckets of event time, keyed by their end, and a bucket is walked in time order once the watermark has passed
     its end, so the order of arrival does not matter.  Steps are strictly ordered in time: an instant extends only
-    chains of earlier instants.  State is cleared a window after the last row of a group.
+    chains of earlier instants.  State is cleared a window after the last row of a group.  The number of steps, the window
+    and the bucket come with the rows, so one operator serves rules of all kinds; a rule that has got other steps starts anew.
     """
 
-    def __init__(self, steps: int, window_micros: int, bucket_ms: int):
-        self.steps, self.window, self.bucket_ms = steps, window_micros, bucket_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.rule = handle.getValueState("rule", "steps int, window bigint, bucket bigint")
         self.state = handle.getValueState("reached", "at bigint, reached array<bigint>")
         self.waiting = handle.getMapState("waiting", "ends bigint", "at array<bigint>, steps array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         fresh: dict[int, dict[int, int]] = {}
+        rule = None
         for part in rows:
+            rule = tuple(int(part[name].iloc[-1]) for name in ("n_steps", "window", "bucket"))
             part = part[["at", "steps"]].drop_duplicates()
             for at, steps in zip(part["at"].tolist(), part["steps"].tolist()):
-                ends = (at // 1000 // self.bucket_ms + 1) * self.bucket_ms
+                ends = (at // 1000 // rule[2] + 1) * rule[2]
                 if ends > watermark:
                     marks = fresh.setdefault(ends, {})
                     marks[at] = marks.get(at, 0) | steps
+        if rule is not None and self.rule.get() != rule:
+            if self.rule.exists() and self.rule.get()[0] != rule[0]:
+                self.state.clear()
+            self.rule.update(rule)
         for ends, marks in fresh.items():
             if self.waiting.containsKey((ends,)):
                 for at, steps in zip(*self.waiting.getValue((ends,))):
@@ -79,54 +82,71 @@ class _SequenceState(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ends = expiredTimerInfo.getExpiryTimeInMs()
-        saved = self.state.get()
+        saved, rule = self.state.get(), self.rule.get()
+        if rule is None:
+            return
+        count, window, bucket = rule
         if not self.waiting.containsKey((ends,)):
-            if saved and saved[0] + self.window < ends * 1000:
+            if saved and saved[0] + window < ends * 1000:
                 self.state.clear()
+                if not self.waiting.exists():
+                    self.rule.clear()
             return
         marks = sorted(zip(*self.waiting.getValue((ends,))))
         self.waiting.removeKey((ends,))
-        reached = list(saved[1]) if saved else [None] * self.steps
+        reached = list(saved[1]) if saved else [None] * count
         found = []
         for at, steps in marks:
             starts = [at, *reached[:-1]]
             for k, start in enumerate(starts):
-                if steps >> k & 1 and start is not None and (k == 0 or start < at) and at - start <= self.window:
+                if steps >> k & 1 and start is not None and (k == 0 or start < at) and at - start <= window:
                     reached[k] = start if reached[k] is None else max(reached[k], start)
-                    if k == self.steps - 1:
-                        found.append((key[0], start, at))
+                    if k == count - 1:
+                        found.append((*key, start, at))
         self.state.update((marks[-1][0], reached))
-        self.handle.registerTimer(ends + self.window // 1000 + self.bucket_ms)
-        yield pd.DataFrame(found, columns=["grp", "first", "last"])
+        self.handle.registerTimer(ends + window // 1000 + bucket)
+        yield pd.DataFrame(found, columns=["rule_id", "grp", "first", "last"])
 
     def close(self) -> None:
         pass
 
 
-def sequence_stream(events: DataFrame, rule: Rule, delay: str = "1 minute") -> DataFrame:
-    """One trigger per completed chain end, with the latest start that leads to it.
+def sequence_streams(events: DataFrame, rules: Sequence[Rule], delay: str = "1 minute") -> DataFrame:
+    """One trigger per completed chain end of every rule, with the latest start that leads to it: one stream for all rules.
 
-    Only rows that match a step reach the state.  A completion is reported when the watermark has passed its bucket (the
+    An event is expanded to the rules it matches a step of; state is keyed by (rule, group).  Rules are read when the query starts: one
+    started again from its checkpoint with other rules keeps the state of those it knows, begins new ones and reports no more of
+    those that are gone.  A completion is reported when the watermark has passed its bucket (the
     rule cadence); rows more than ``delay`` late are dropped.  Needs the RocksDB state store.
     """
-    steps = [filters.step_filter(s) for s in rule.body["steps"]]
-    rows = events.filter(reduce(or_, steps) & F.col(rule.group_by).isNotNull()).withWatermark("received_at", delay).select(
-        F.col(rule.group_by).cast("string").alias("grp"), "received_at", F.unix_micros("received_at").alias("at"),
-        reduce(add, [F.when(s, 1 << k).otherwise(0) for k, s in enumerate(steps)]).cast("bigint").alias("steps"),
-    )
-    bucket = max(1, min(REAL_TIME_SECONDS, rule.window_seconds))
-    found = rows.groupBy("grp").transformWithStateInPandas(
-        _SequenceState(len(steps), rule.window_seconds * 1_000_000, bucket * 1000), "grp string, first bigint, last bigint",
-        "append", "eventTime",
-    )
-    seen = found.select(
-        "grp", F.timestamp_micros("first").alias("first_seen"), F.timestamp_micros("last").alias("last_seen"),
-        F.lit(len(steps)).alias("event_count"))
+    hits = []
+    for rule in rules:
+        steps = [filters.step_filter(s) for s in rule.body["steps"]]
+        bucket = max(1, min(REAL_TIME_SECONDS, rule.window_seconds))
+        hit = F.struct(
+            F.lit(rule.id).alias("rule_id"), F.col(rule.group_by).cast("string").alias("grp"),
+            reduce(add, [F.when(s, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, s in enumerate(steps)]).alias("steps"),
+            F.lit(len(steps)).alias("n_steps"), F.lit(rule.window_seconds * 1_000_000).cast("bigint").alias("window"),
+            F.lit(bucket * 1000).cast("bigint").alias("bucket"))
+        hits.append(F.when(reduce(or_, steps) & F.col(rule.group_by).isNotNull(), hit))
+    # only rows that match a step reach the state, and move the watermark on
+    rows = events.filter(F.coalesce(*hits).isNotNull()).withWatermark("received_at", delay).select(
+        "received_at", F.unix_micros("received_at").alias("at"), F.inline(F.array_compact(F.array(*hits))))
+    found = rows.groupBy("rule_id", "grp").transformWithStateInPandas(
+        _SequenceState(), "rule_id string, grp string, first bigint, last bigint", "append", "eventTime")
+    params = events.sparkSession.createDataFrame(
+        [(r.id, r.name, r.severity, r.group_by, r.window_seconds, len(r.body["steps"])) for r in rules],
+        "rule_id string, name string, severity string, group_column string, window_seconds bigint, event_count int")
+    seen = found.join(params, "rule_id").withColumns({"first_seen": F.timestamp_micros("first"), "last_seen": F.timestamp_micros("last")})
+    text = lambda name: F.col(name).cast("string")
     return as_triggers(
-        seen, rule_id=rule.id, severity=rule.severity, name=rule.name, group_column=rule.group_by,
-        group=shown(F.col("grp")),
-        description=F.lit(f"{len(steps)}-step sequence completed within {rule.window_seconds}s"),
-    )
+        seen, rule_id=F.col("rule_id"), severity=F.col("severity"), name=F.col("name"), group_column=F.col("group_column"), group=shown(F.col("grp")),
+        description=F.concat(text("event_count"), F.lit("-step sequence completed within "), text("window_seconds"), F.lit("s")))
+
+
+def sequence_stream(events: DataFrame, rule: Rule, delay: str = "1 minute") -> DataFrame:
+    """``sequence_streams`` of one rule."""
+    return sequence_streams(events, [rule], delay)
 
 
 # --- ticks on stored events -------------------------------------------------------------------------
@@ -183,42 +203,3 @@ def start_absence(ticks: DataFrame, read_events, rules: list[Rule], path: str, c
             "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     return trigger(ticks.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint), interval).start()
-
-
-# --- alerts -------------------------------------------------------------------------------------------
-
-
-class AlertStore:
-    """Alert table as one folder per version; the folder name is the batch that wrote it.
-
-    A batch reads the newest complete version before its own and writes its own, so running a batch
-    twice gives the same table.
-    """
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
-
-    def _complete_versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = fs.globStatus(hadoop.Path(f"{self.path}/version=*/_SUCCESS")) or []
-        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in done)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        versions = [v for v in self._complete_versions() if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], ALERTS)
-        return self.spark.read.schema(ALERTS).parquet(f"{self.path}/version={versions[-1]}")
-
-    def write(self, alerts: DataFrame, version: int) -> None:
-        alerts.write.mode("overwrite").parquet(f"{self.path}/version={version}")
-
-
-def start_alert_merge(triggers: DataFrame, store: AlertStore, checkpoint: str, as_of,
-                      mode: str = "accumulate", interval: str | None = None) -> StreamingQuery:
-    """Merge a trigger stream into the alert table, one version per batch."""
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        store.write(merge_triggers(store.read(before=batch_id), batch, as_of, mode), batch_id)
-
-    return trigger(triggers.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint), interval).start()

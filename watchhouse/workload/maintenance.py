@@ -8,6 +8,8 @@ from watchhouse.operators import alerts as alert_ops
 from watchhouse.operators import catalog
 from watchhouse.plans import threshold
 from watchhouse.plans.rule_bodies import make_rule
+from watchhouse.session import shared_dir
+from watchhouse.sources import sinks
 from watchhouse.workload.registry import query
 from watchhouse.workload.tables import AS_OF, MONTH, Tables, duck_ip, ts, with_tables
 
@@ -50,17 +52,16 @@ def alert_merge(t: Tables):
 @query(f"""{_MERGE} SELECT CASE WHEN created_at = {NOW} THEN 'inserted' WHEN updated_at = {NOW} THEN 'updated' ELSE 'unchanged' END AS change,
     status, count(*) AS n, CAST(sum(event_count) AS BIGINT) AS events FROM merged GROUP BY 1, 2""")
 def sink_alerts(t: Tables):
-    """The merged alert table written as a new version and read back."""
-    from watchhouse.session import shared_dir
-    from watchhouse.streaming.rules import AlertStore
-
-    store = AlertStore(t.spark, shared_dir(t.spark, "alerts"))
-    store.write(t.alerts, 0)
+    """The changes of a merge appended to the stored alerts, twice over as after a failure, and the table read back."""
+    path = shared_dir(t.spark, "alerts")
+    sinks.write_alert_changes(t.alerts, path, None)
     fired = threshold.threshold_triggers(t.siem, _rules(), AS_OF)
-    store.write(alert_ops.merge_triggers(store.read(before=1), fired, AS_OF), 1)
+    merged = alert_ops.merge_triggers(t.alerts, fired, AS_OF)
+    for _ in range(2):
+        sinks.write_alert_changes(merged, path, AS_OF)
     now = F.lit(AS_OF).cast("timestamp")
     change = F.when(F.col("created_at") == now, "inserted").when(F.col("updated_at") == now, "updated").otherwise("unchanged")
-    return store.read().groupBy(change.alias("change"), "status").agg(
+    return sinks.read_alerts(t.spark, path).groupBy(change.alias("change"), "status").agg(
         F.count(F.lit(1)).alias("n"), F.sum("event_count").alias("events"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -295,6 +297,7 @@ _GEO = f"""{with_tables('siem', 'geo_ranges')}, n AS (SELECT id, src_ip, {_NUMBE
 
 @query(_GEO)
 def enrich_geoip(t: Tables):
+    """Integer ranges of IPv4."""
     return enrich.add_geoip(t.siem, t.geo_ranges).select("id", "geo_country", "geo_city")
 
 
@@ -304,6 +307,61 @@ def join_geoip(t: Tables):
     return enrich.add_geoip(t.siem, t.geo_ranges).groupBy("geo_country").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The same addresses in both families: 10.a.b.c is also 2001:db8:<10 a>:<b c>::<id>.  Networks of customers (/31 and /64) lie in those
+# of nations (/16 and /48), and these in one of the whole block (/8 and /31).
+_BOTH = f"""{with_tables('siem', 'geo_ranges')}, n AS (SELECT id, CAST(id AS BIGINT) % 13 AS k, {_NUMBER} AS ip FROM siem),
+    c AS (SELECT start_ip // 2 AS pair, start_ip, country, city FROM geo_ranges),
+    f AS (SELECT id, k, ip, CASE WHEN k IN (3, 4, 5) THEN '6' ELSE '4' END AS family FROM n),
+    l AS (SELECT f.id, CASE WHEN k IN (1, 2) THEN NULL WHEN k = 0 THEN 'kept' WHEN c.country IS NOT NULL THEN concat(family, ' ', c.country)
+        WHEN na.n_name IS NOT NULL THEN concat(family, ' ', na.n_name) ELSE concat(family, ' block') END AS geo_country,
+        CASE WHEN k IN (0, 1, 2) THEN NULL ELSE c.city END AS geo_city
+      FROM f LEFT JOIN c ON (family = '4' AND f.ip // 2 = c.pair) OR (family = '6' AND f.ip = c.start_ip)
+        LEFT JOIN nation na ON (f.ip >> 16) = 2560 + na.n_nationkey)"""
+
+
+def _both_families(t: Tables):
+    number = F.expr("aggregate(split(src_ip, '[.]'), 0L, (a, x) -> a * 256 + CAST(x AS BIGINT))")
+    group = lambda name, at, n: F.conv(F.call_function("mod", F.call_function("shiftright", F.col(name), F.lit(at)), F.lit(1 << n)), 10, 16)
+    six = lambda name: F.concat(F.lit("2001:DB8:"), group(name, 16, 16), F.lit(":"), group(name, 0, 16), F.lit("::"))
+    k = F.col("id").cast("bigint") % 13
+    spelled = (F.when(k == 1, F.lit(None)).when(k == 2, "no address").when(k == 3, F.concat(six("_n"), k.cast("string")))
+               .when(k == 4, F.lower(F.concat(six("_n"), F.lit("%eth0")))).when(k == 5, F.concat(six("_n"), F.lit("10.0.0.1")))
+               .when(k == 6, F.concat(F.lit("::ffff:"), F.col("src_ip"))).otherwise(F.col("src_ip")))
+    events = t.siem.withColumn("_n", number).withColumn("src_ip", spelled).withColumn("geo_country", F.when(k == 0, "kept")).drop("_n")
+    dotted = lambda name: F.concat_ws(".", *[F.call_function("mod", F.call_function("shiftright", F.col(name), F.lit(at)), F.lit(256)) for at in (24, 16, 8, 0)])
+    of = lambda df, network, country, city: df.select(network.alias("network"), country.alias("country"), city.alias("city"))
+    named = lambda family, name: F.concat(F.lit(f"{family} "), name)
+    customers = t.geo_ranges.withColumn("_p", F.call_function("div", F.col("start_ip"), F.lit(2).cast("long")) * 2)
+    nations = t.nation.withColumn("_b", (F.col("n_nationkey") + 2560) * 65536)
+    none = F.lit(None).cast("string")
+    blocks = t.spark.createDataFrame([("10.0.0.0/8", "4 block"), ("2001:db8::/31", "6 block")], "network string, country string")
+    networks = [
+        of(customers, F.concat(dotted("_p"), F.lit("/31")), named(4, F.col("country")), F.col("city")),
+        of(customers, F.concat(six("start_ip"), F.lit("/64")), named(6, F.col("country")), F.col("city")),
+        of(nations, F.concat(dotted("_b"), F.lit("/16")), named(4, F.col("n_name")), none),
+        of(nations, F.concat(F.lit("2001:db8:"), group("_b", 16, 16), F.lit("::/48")), named(6, F.col("n_name")), none),
+        of(blocks, F.col("network"), F.col("country"), none)]
+    return events, reduce(DataFrame.unionByName, networks)
+
+
+@query(f"{_BOTH} SELECT id, geo_country, geo_city FROM l")
+def enrich_location(t: Tables):
+    """Addresses of both families in several spellings, missing and broken ones, in nested networks."""
+    return enrich.add_location(*_both_families(t)).select("id", "geo_country", "geo_city")
+
+
+@query(f"{_BOTH} SELECT geo_country, count(*) AS n FROM l GROUP BY geo_country")
+def join_location(t: Tables):
+    """Events per country, by the longest network."""
+    return enrich.add_location(*_both_families(t)).groupBy("geo_country").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_GEO)
+def enrich_location_ranges(t: Tables):
+    """Ranges of numbers cut into networks."""
+    return enrich.add_location(t.siem, enrich.networks_of_ranges(t.geo_ranges)).select("id", "geo_country", "geo_city")
+
+
 # --- the whole path --------------------------------------------------------------------------------------------------
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from watchhouse.operators import alerts as alert_ops
 from watchhouse.operators import filters
-from watchhouse.plans import anomaly, blacklist, dashboard, run_rules, sequence, threshold
+from watchhouse.plans import anomaly, blacklist, dashboard, links, run_rules, sequence, threshold
 from watchhouse.plans.rule_bodies import SEEDED_RULES, make_rule, validate_rules
+from watchhouse.session import shared_dir
+from watchhouse.sources import tables
 from watchhouse.workload.registry import query
 from watchhouse.workload.tables import AS_OF, DAY, MONTH, Tables, duck_ip, ts, with_tables
 
@@ -442,3 +444,76 @@ def set_distinct(t: Tables):
     """Distinct days on which a source starts a completed chain."""
     found = sequence.chains(t.siem, _sequence(_STEPS2), AS_OF, "start")
     return found.select("grp", F.col("ts").cast("date").cast("string").alias("day")).distinct()
+
+
+# --- links the library makes itself --------------------------------------------------------------------------------
+
+
+def _linking_rules():
+    return [make_rule("t1", "Failures", "threshold", "high", {"filters": {"event_id": ["4625"]}, "group_by": "src_ip", "count": 5, "window_seconds": MONTH}),
+            make_rule("t2", "Denied", "threshold", "low", {"filters": {"action": "deny"}, "count": 1, "window_seconds": MONTH}),
+            make_rule("s1", "Lateral", "sequence", "high", {"steps": _STEPS2, "group_by": "src_ip", "window_seconds": MONTH}),
+            make_rule("b1", "Known", "blacklist", "critical", {"field": "src_ip", "list_name": "threat_intel_blocklist"})]
+
+
+_LINKS_SQL = f"""{_PAIRS2}, {_BAD_IPS}, w AS (SELECT * FROM siem WHERE received_at >= {NOW} - INTERVAL {MONTH} SECOND),
+    k AS (SELECT id, received_at, concat('t1:', src_ip) AS group_key FROM w WHERE event_id = '4625' AND src_ip IN (SELECT src_ip FROM w WHERE event_id = '4625' GROUP BY 1 HAVING count(*) >= 5)
+      UNION ALL SELECT id, received_at, 't2:global' FROM w WHERE action = 'deny'
+      UNION ALL SELECT id, received_at, concat('s1:', src_ip) FROM w JOIN (SELECT grp, min(ts0) AS lo, max(ts1) AS hi FROM pairs GROUP BY grp) p
+        ON p.grp = src_ip AND received_at BETWEEN lo AND hi WHERE event_id IN ('4625', '4624')
+      UNION ALL SELECT id, received_at, concat('b1:src_ip:', src_ip) FROM siem JOIN b ON b.value = src_ip WHERE received_at >= {NOW} - INTERVAL 1800 SECOND),
+    l AS (SELECT id, received_at, group_key, sha256(concat(split_part(group_key, ':', 1), '|', group_key, '|{AS_OF}')) AS alert_id FROM k)"""
+
+
+def _own_links(t: Tables):
+    wanted = _linking_rules()
+    fired = run_rules.evaluate(t.siem, t.blacklists, wanted, AS_OF)
+    raised = alert_ops.merge_triggers(t.alerts.limit(0), fired, AS_OF)
+    return raised, links.link_events(links.matched_events(t.siem, wanted, AS_OF, t.blacklists), raised)
+
+
+@query(f"{_LINKS_SQL} SELECT id AS event_id, alert_id FROM l")
+def link_alert_events(t: Tables):
+    """Events linked to the alerts that rules of three types have just raised from them."""
+    return _own_links(t)[1].select("event_id", "alert_id")
+
+
+@query(f"""{_LINKS_SQL}, o AS (SELECT id, any_value(received_at) AS received_at, min(alert_id) AS alert_id FROM l GROUP BY id)
+    SELECT alert_id, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY alert_id ORDER BY received_at DESC, id DESC) AS INTEGER) AS rank FROM o) x WHERE rank <= 5""")
+def limit_own_links(t: Tables):
+    """The five newest events of every alert, by links the library made."""
+    raised, found = _own_links(t)
+    unlinked = t.siem.withColumn("alert_id", F.lit(None).cast("string"))
+    return alert_ops.linked_events(raised, links.with_alert_ids(unlinked, found), 5).select("alert_id", "id", "rank")
+
+
+# --- the stored rule table -------------------------------------------------------------------------------------------
+
+_EVENT_IDS = ("4625", "4624", "4672")
+_RULE_ROWS = """SELECT concat('n', n_nationkey) AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'threshold' ELSE 'sequence' END AS rule_type, n_nationkey % 7 <> 6 AS enabled,
+    CASE n_nationkey % 3 WHEN 0 THEN '4625' WHEN 1 THEN '4624' ELSE '4672' END AS a, CASE n_regionkey % 3 WHEN 0 THEN '4624' WHEN 1 THEN '4672' ELSE '4625' END AS b,
+    n_regionkey + 2 AS least FROM nation"""
+
+
+@query(f"""{_STEP_ROWS}, r AS ({_RULE_ROWS}), d AS (SELECT DISTINCT a, b FROM r WHERE enabled AND rule_type = 'sequence'),
+    q AS (SELECT DISTINCT d.a, d.b, x.grp, x.ts AS ts0, y.ts AS ts1 FROM d JOIN a x ON x.e = d.a JOIN a y ON y.grp = x.grp AND y.ts > x.ts AND y.e = d.b)
+    SELECT id AS rule_id, concat(id, ':', grp) AS group_key, count(*) AS event_count, {ts('min(ts)', 'first_seen')}, {ts('max(ts)', 'last_seen')}
+      FROM r JOIN a ON a.e = r.a WHERE enabled AND rule_type = 'threshold' GROUP BY id, grp, least HAVING count(*) >= least
+    UNION ALL SELECT id, concat(id, ':', grp), CAST(2 * count(*) AS BIGINT), {ts('min(ts0)', 'first_seen')}, {ts('max(ts1)', 'last_seen')}
+      FROM r JOIN q ON q.a = r.a AND q.b = r.b WHERE enabled AND rule_type = 'sequence' GROUP BY id, grp""")
+def rules_run_table(t: Tables):
+    """A rule table written to storage, read back and evaluated: two scans of the events for all its rules."""
+    rows = t.nation.selectExpr("*", "CAST(n_nationkey AS BIGINT) AS k", "CAST(n_regionkey AS BIGINT) AS z")
+    pick = lambda n, *ids: F.when(n == 0, ids[0]).when(n == 1, ids[1]).otherwise(ids[2])
+    a, b = pick(F.col("k") % 3, *_EVENT_IDS), pick(F.col("z") % 3, "4624", "4672", "4625")
+    body = F.when(F.col("k") % 2 == 0, F.concat(F.lit('{"filters": {"event_id": ["'), a, F.lit('"]}, "count": '), (F.col("z") + 2).cast("string"))).otherwise(
+        F.concat(F.lit('{"steps": [{"event_id": "'), a, F.lit('"}, {"event_id": "'), b, F.lit('"}]')))
+    stored = rows.select(
+        F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("").alias("description"),
+        F.when(F.col("k") % 2 == 0, "threshold").otherwise("sequence").alias("rule_type"), F.lit("high").alias("severity"), (F.col("k") % 7 != 6).alias("enabled"),
+        F.concat(body, F.lit(f', "group_by": "src_ip", "window_seconds": {MONTH}}}')).alias("body"),
+        F.lit(AS_OF).cast("timestamp").alias("created_at"), F.lit(AS_OF).cast("timestamp").alias("updated_at"))
+    path = shared_dir(t.spark, "rules")
+    stored.write.parquet(path)
+    table = tables.read_table(t.spark, path, "alert_rules")
+    return run_rules.run_all(t.siem, t.blacklists, table, AS_OF).select("rule_id", "group_key", "event_count", "first_seen", "last_seen")

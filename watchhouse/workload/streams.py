@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchhouse.operators import rate_limit as buckets
+from watchhouse.operators.alerts import latest_alerts
 from watchhouse.plans.rule_bodies import make_rule
 from watchhouse.plans.threshold import threshold_panes, threshold_tick
 from watchhouse.session import shared_dir
 from watchhouse.sources import sinks, tables
-from watchhouse.streaming import ingest, rules
+from watchhouse.streaming import alert_state, ingest, rules
 from watchhouse.streaming.rate_limit import rate_limit_stream
 from watchhouse.workload.files import FANNED_OUT, counted_lines
 from watchhouse.workload.registry import query
@@ -99,6 +100,21 @@ def st_sequence(t: Tables):
     return _collect(rules.sequence_stream(t.siem, rule), "sequence").select("group_key", "first_seen", "last_seen")
 
 
+def _two_steps(rule: str, first: str, second: str, days: int) -> str:
+    pairs = f"SELECT x.g, y.ts AS t1, max(x.ts) AS t0 FROM a x JOIN a y ON y.g = x.g AND y.ts > x.ts WHERE x.e = '{first}' AND y.e = '{second}' GROUP BY x.g, y.ts"
+    return (f"SELECT concat('{rule}:', g) AS group_key, {ts('t0', 'first_seen')}, {ts('t1', 'last_seen')} FROM ({pairs}) p "
+            f"WHERE epoch_us(t1) - epoch_us(t0) <= {days * DAY * 1_000_000} AND (floor(epoch(t1) / 30) + 1) * 30 <= (SELECT epoch(max(ts)) - 60 FROM a)")
+
+
+@query(f"""{SIEM}, a AS (SELECT src_ip AS g, received_at AS ts, event_id AS e FROM siem WHERE event_id IN ('4625', '4624', '4672')) {_two_steps('a', '4625', '4624', 2)}
+    UNION ALL {_two_steps('b', '4624', '4625', 9)} UNION ALL {_two_steps('c', '4672', '4672', 1)}""", streaming=True)
+def st_sequences(t: Tables):
+    """Three rules of different steps and windows in one stateful stream."""
+    wanted = [make_rule(i, i, "sequence", "high", {"steps": [{"event_id": x}, {"event_id": y}], "group_by": "src_ip", "window_seconds": days * DAY})
+              for i, x, y, days in (("a", "4625", "4624", 2), ("b", "4624", "4625", 9), ("c", "4672", "4672", 1))]
+    return _collect(rules.sequence_streams(t.siem, wanted), "sequences").select("group_key", "first_seen", "last_seen")
+
+
 def _blacklist_rule():
     return make_rule("b", "Known Bad IP", "blacklist", "critical", {"field": "src_ip", "list_name": "threat_intel_blocklist"})
 
@@ -150,12 +166,10 @@ def st_anomaly(t: Tables):
 @query(f"""{SIEM}, {_BAD_IPS} SELECT concat('b:src_ip:', src_ip) AS group_key, 'open' AS status, count(*) AS event_count, {ts('min(received_at)', 'first_seen')},
     {ts('max(received_at)', 'last_seen')} FROM siem JOIN b ON b.value = src_ip GROUP BY src_ip""", streaming=True)
 def st_alert_merge(t: Tables):
-    """A trigger stream merged into a versioned alert table."""
-    path = shared_dir(t.spark, "alert-merge")
-    store = rules.AlertStore(t.spark, f"{path}/alerts")
+    """A trigger stream into alerts kept as state; the table is what the appended changes amount to."""
     found = rules.blacklist_stream(t.siem, t.blacklists, _blacklist_rule())
-    rules.start_alert_merge(found, store, f"{path}/checkpoint", AS_OF).awaitTermination()
-    return store.read().select("group_key", "status", "event_count", "first_seen", "last_seen")
+    changes = _collect(alert_state.alert_changes(alert_state.trigger_rows(found)), "alert-changes")
+    return latest_alerts(changes).select("group_key", "status", "event_count", "first_seen", "last_seen")
 
 
 # one token in 20 000 seconds, two at most: sparse data still meets an empty bucket
