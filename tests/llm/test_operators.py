@@ -327,6 +327,19 @@ def test_repeated_strings(spark, group):
     assert len(whole) == len(rows) and all(r.n_chars == len(r.text) and r.shard == "y" for r in whole)
 
 
+def test_many_equal_rows(spark):
+    """2 000 equal rows with an id, 500 without, and one text that shares a passage with them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    text, other, own = (" ".join(word() for _ in range(500)) for _ in range(3))
+    rows = [(1, text, "a")] * 2000 + [(None, other, "b")] * 250 + [(None, other, "c")] * 250 + [(2, own + text[100:400], "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = suffix_dedup.remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+    assert {(r[0], r[1], r[2]): r[3] for r in got} == {(1, len(text), len(text)): 2000, (None, len(other), len(other)): 500, (2, len(own) + 300, 300): 1}
+    kept = suffix_dedup.dedup_documents(docs.withColumn("n_chars", F.length("text"))).groupBy("source", "n_chars").count().collect()
+    assert {r[0]: (r[1], r[2]) for r in kept} == {"a": (0, 2000), "b": (0, 250), "c": (0, 250), "d": (len(own), 1)}
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
