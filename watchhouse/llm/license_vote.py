@@ -2,9 +2,11 @@
 
 A text's lower-cased words give one word pair (k = 2) at every position.  The hash of every pair is joined with the pairs of
 the license templates; each hit votes for (template, place in text - place in template), the diagonal on which the template
-would lie.  Votes are added up per diagonal, neighbouring diagonals (words put in or left out) are merged to one span, and a
-span counts when enough different template pairs voted for it.  The hit also compares the pair itself, so a hash collision
-cannot vote.  A phrase stands in full exactly where all its pairs vote for one diagonal.
+would lie.  Votes are gathered per diagonal as a set of template places, and a span is a diagonal with its neighbours up to MAX_DRIFT
+further (words put in or left out), at its closest.  A span is verified by the different template pairs that voted for it, so a pair that is
+repeated in the text counts once; as all its hits lie on MAX_DRIFT + 1 diagonals, they stand in the template's order and within its
+length.  The hit also compares the pair itself, so a hash collision cannot vote.  A phrase stands in full exactly where all its pairs
+vote for one diagonal.
 
 A null or empty text has no words, labels or places and score 0; a text of any length is split into words at once; ties do
 not arise; repeated rows (also of one doc_id) are reported each; an empty table gives no rows; other columns are ignored.
@@ -38,7 +40,7 @@ TEMPLATES = [
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
 MIN_COVER = 0.8
-MAX_DRIFT = 2  # neighbouring diagonals differ by no more than this
+MAX_DRIFT = 2  # the diagonals of a span differ by no more than this
 
 
 def _templates(spark, base, templates) -> DataFrame:
@@ -66,17 +68,14 @@ def vote(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
         rolling.withColumn("_hash", F.xxhash64("_pair"))
         .join(known, (F.col("_hash") == F.col("t_hash")) & (F.col("_pair") == F.col("t_pair")), "left").where("_at = 0 OR template IS NOT NULL")
     )
-    diagonals = hits.groupBy("_row", "doc_id", "n_words", "template", "label", "base", "pairs", (F.col("_at") - 1 - F.col("t_at")).alias("diagonal")).agg(
-        F.count("t_at").alias("votes"), F.max(F.when(F.col("_at") > 0, F.col("_at") - 1)).alias("last_at"))
-    along = Window.partitionBy("_row", "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > MAX_DRIFT).cast("int"), F.lit(1))
+    # template places as bits; templates have at most 62 pairs
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t_at"))
+    spans = hits.groupBy("_row", "doc_id", "n_words", "template", "label", "base", "pairs", (F.col("_at") - 1 - F.col("t_at")).alias("start")).agg(
+        F.bit_or(place).alias("own"))
+    beside = Window.partitionBy("_row", "template").orderBy("start").rangeBetween(0, MAX_DRIFT)
     # a base phrase must stand word for word: its diagonals are not merged
-    spans = (
-        diagonals.withColumn("_new", F.when(F.col("base"), F.lit(1)).otherwise(apart)).withColumn("span", F.sum("_new").over(along))
-        .groupBy("_row", "doc_id", "n_words", "template", "label", "base", "pairs", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"))
-    )
-    cover = F.least(F.col("votes") / F.col("pairs"), F.lit(1.0))
+    spans = spans.withColumn("votes", F.bit_count(F.when(F.col("base"), F.col("own")).otherwise(F.bit_or("own").over(beside))))
+    cover = F.col("votes") / F.col("pairs")
     whole = F.col("base") & (F.col("votes") == F.col("pairs"))
     good = whole | (~F.col("base") & (F.col("votes") >= F.greatest(F.ceil(F.col("pairs") * MIN_COVER), F.lit(1))))
     named = lambda which: F.coalesce(F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ","), F.lit(""))
