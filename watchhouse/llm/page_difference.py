@@ -55,7 +55,7 @@ def _is_marked(name: str, attributes: str) -> bool:
 def page_lines(page: str) -> list[tuple[str, bool]]:
     """Block texts in page order, each with whether it lies in an article or main element.
 
-    Where a page has such an element, only the blocks within it are returned.
+    Where such elements hold half of the text or more, only the blocks within them are returned, otherwise all blocks alike.
     """
     lines: list[tuple[str, bool]] = []
     text: list[str] = []
@@ -116,7 +116,9 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
     if not dropped:
         close_block()
     inside = [line for line in lines if line[1]]
-    return inside or lines
+    if inside and 2 * sum(len(x) for x, _ in inside) >= sum(len(x) for x, _ in lines):
+        return inside
+    return [(x, False) for x, _ in lines]  # a teaser of little text does not make the rest no article
 
 
 def shared_lines(mine: list[str], other: list[str]) -> set[int]:
@@ -177,19 +179,19 @@ def _own_text(lines: list[tuple[str, bool]], neighbours: list[list[tuple[str, bo
 _ROW = "url string, host string, path string, lines array<string>, protected array<boolean>, part long"
 
 
-def _runs(batches, columns):
-    """Part, host, lines and members of neighbouring pages of a host with equal lines."""
+def _runs(batches, columns, same="lines"):
+    """Part, host, lines (or what stands for them) and members of neighbouring pages of a host that are equal in them."""
     run = None
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in columns)):
             page = dict(zip(columns, row))
-            if run and (run["part"], run["host"], run["lines"]) == (page["part"], page["host"], page["lines"]):
-                page["lines"] = run["lines"]  # held once
+            if run and (run["part"], run["host"], run[same]) == (page["part"], page["host"], page[same]):
+                page[same] = run[same]  # held once
                 run["members"].append(page)
             else:
                 if run:
                     yield run
-                run = {"part": page["part"], "host": page["host"], "lines": page["lines"], "members": [page]}
+                run = {"part": page["part"], "host": page["host"], same: page[same], "members": [page]}
     if run:
         yield run
 
@@ -198,14 +200,14 @@ def _edges(batches):
     """Of each partition the first two runs of its first host and the last two of its last, and whether it has that host only."""
     def emit(runs):
         sides = (("first", [r for r in runs[0] if r["host"] == runs[0][0]["host"]]), ("last", [r for r in runs[1][::-1] if r["host"] == runs[1][-1]["host"]]))
-        rows = [(r["part"], side, nth, r["host"], r["members"][0 if side == "first" else -1]["path"], r["lines"], runs[2], hashlib.sha256("\n".join(r["lines"]).encode()).hexdigest())
+        rows = [(r["part"], side, nth, r["host"], r["members"][0 if side == "first" else -1]["_at"], runs[2], r["digest"])
                 for side, some in sides for nth, r in enumerate(some)]
-        names = ["part", "side", "nth", "host", "path", "lines", "single", "digest"]
+        names = ["part", "side", "nth", "host", "at", "single", "digest"]
         return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=pa.schema([
-            ("part", pa.int64()), ("side", pa.string()), ("nth", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("single", pa.bool_()), ("digest", pa.string())]))
+            ("part", pa.int64()), ("side", pa.string()), ("nth", pa.int32()), ("host", pa.string()), ("at", pa.int64()), ("single", pa.bool_()), ("digest", pa.string())]))
 
     first, last, single = [], [], True
-    for run in _runs(batches, ["host", "path", "lines", "part"]):
+    for run in _runs(batches, ["host", "digest", "part", "_at"], "digest"):
         if first and first[0]["part"] != run["part"]:
             yield emit((first, last, single))
             first, last, single = [], [], True
@@ -253,24 +255,26 @@ def extract(pages: DataFrame) -> DataFrame:
                 some = batch.slice(start, 256)
                 found = [page_lines(page.as_py()) for page in some.column("html")]
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns[:4], pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())), pa.array([[x for _, x in f] for f in found], pa.list_(pa.bool_()))],
-                    ["page_id", "url", "host", "path", "lines", "protected"])
+                    [*some.columns[:4], pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())), pa.array([[x for _, x in f] for f in found], pa.list_(pa.bool_())),
+                     pa.array([hashlib.sha256("\n".join(x for x, _ in f).encode()).hexdigest() if f else None for f in found], pa.string())],
+                    ["page_id", "url", "host", "path", "lines", "protected", "digest"])
 
-    parsed = keyed.mapInArrow(read, f"page_id {kind}, {_ROW.removesuffix(', part long')}")
+    parsed = keyed.mapInArrow(read, f"page_id {kind}, {_ROW.removesuffix(', part long')}, digest string")
     order = ["host", "path", "page_id"]
     placed = stored(parsed.repartitionByRange(partitions(pages), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
                     .withColumn("part", F.shiftright("_at", 33)), "page-lines")
-    # a page without lines is nobody's partner
-    in_order = lambda df: df.repartition(partitions(pages), "part").sortWithinPartitions("part", "side", "_at")
-    full = in_order(placed.where("size(lines) > 0").withColumn("side", F.lit(1)))
-    edges = stored(full.select("host", "path", "lines", "part").mapInArrow(
-        _edges, "part long, side string, nth int, host string, path string, lines array<string>, single boolean, digest string"), "page-edges")
-    picks = _borrowed(edges.drop("lines", "path").collect())
+    # ranges of part numbers, so that a task gets one part
+    in_order = lambda df: df.repartitionByRange(partitions(pages), "part").sortWithinPartitions("part", "side", "_at")
+    # a page without lines is nobody's partner; the edges are found by digests, and only the lines of the few lent pages are read again
+    full = in_order(placed.where("digest IS NOT NULL").select("host", "digest", "part", "_at", F.lit(1).alias("side")))
+    edges = stored(full.mapInArrow(_edges, "part long, side string, nth int, host string, at long, single boolean, digest string"), "page-edges")
+    picks = _borrowed(edges.collect())
     picked = pages.sparkSession.createDataFrame(picks, "part long, side string, nth int, _to long")
-    lent = edges.join(picked, ["part", "side", "nth"]).select(
+    lent = edges.join(picked, ["part", "side", "nth"]).select(F.col("at").alias("_at"), "_to", F.when(F.col("side") == "last", 0).otherwise(2).alias("side"))
+    lent = placed.select("host", "path", "lines", "_at").join(F.broadcast(lent), "_at").select(  # at most four pages a part
         F.lit(None).cast(kind).alias("page_id"), F.lit(None).cast("string").alias("url"), "host", "path", "lines", F.lit(None).cast("array<boolean>").alias("protected"),
-        F.lit(None).cast("long").alias("_at"), F.col("_to").alias("part"), F.when(F.col("side") == "last", 0).otherwise(2).alias("side"))
-    aligned = in_order(placed.withColumn("side", F.when(F.size("lines") > 0, 1).otherwise(3)).unionByName(lent))
+        F.lit(None).cast("long").alias("_at"), F.col("_to").alias("part"), "side")
+    aligned = in_order(placed.drop("digest").withColumn("side", F.when(F.size("lines") > 0, 1).otherwise(3)).unionByName(lent))
     columns = ["page_id", "url", "host", "path", "lines", "protected", "part", "side"]
 
     def difference(batches):
