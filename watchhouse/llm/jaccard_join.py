@@ -281,7 +281,7 @@ def _classes(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set id, component_id per row; docs: doc_id and text."""
+    """doc_id, text hash, n_shingles, set id, component (of sets) and component_id per row; docs: doc_id and text."""
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     hashed = read.withColumn("th", F.xxhash64("text"))
@@ -297,9 +297,9 @@ def classified(docs: DataFrame) -> DataFrame:
     component = _classes(blocks, fragments)
     named = sets.join(component, "sid", "left").select("sid", "first", F.coalesce("component", "sid").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_set = named.join(least, "component").select("sid", "component_id")
+    of_set = named.join(least, "component").select("sid", "component", "component_id")
     return keys.join(of_set, "sid", "left").select(
-        "doc_id", "n_shingles", "sid", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "th", "n_shingles", "sid", "component", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -308,7 +308,16 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; rows without a doc_id stay."""
-    kept = classified(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each component, with all its columns: the one with the smallest id (a null id comes last), then the smallest text hash.
+
+    Rows are told apart by id and text, so texts that are not linked both stay even when they carry one id.  Of rows equal in both one
+    stays; documents without words are linked with nothing and all stay.
+    """
+    found = classified(docs).where("sid IS NOT NULL")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("_k"))
+    kept = first.select(F.col("_k.doc_id").alias("_id"), F.col("_k.th").alias("_kept"))
+    text = F.coalesce("text", F.lit(""))
+    named = docs.withColumn("_th", F.xxhash64(text))
+    chosen = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kept"))).dropDuplicates(["doc_id", "_th"])
+    wordless = named.where(~text.rlike("[^\\x20\\x09-\\x0D]"))
+    return chosen.select(*docs.columns).unionByName(wordless.select(*docs.columns))
