@@ -159,6 +159,38 @@ def test_licenses(spark, texts):
     assert {r.labels for r in got if r.doc_id == 305} == {"bsd"} and {r.labels for r in got if r.doc_id == 307} == {"mpl"}
 
 
+def _span_labels(words):
+    """Labels and score of the method's own templates by the definition: different pairs on MAX_DRIFT + 1 neighbouring diagonals."""
+    labels, score = set(), 0.0
+    for phrase, label in license_vote.TEMPLATES:
+        pairs = list(zip(phrase.split(), phrase.split()[1:]))
+        hits = [(at - t, t) for at, pair in enumerate(zip(words, words[1:])) for t, p in enumerate(pairs) if p == pair]
+        best = max((len({t for e, t in hits if d <= e <= d + license_vote.MAX_DRIFT}) for d, _ in hits), default=0)
+        score = max(score, best / len(pairs))
+        labels |= {label} if best >= max(1, math.ceil(len(pairs) * license_vote.MIN_COVER)) else set()
+    return labels, score
+
+
+def test_license_spans_are_verified(spark):
+    """Repeated pairs do not add up; words put in or left out do no harm; labels and score as by definition."""
+    rnd = random.Random(6)
+    templates = [p.split() for p, _ in license_vote.TEMPLATES]
+    texts = ["public license public license", "public license " * 50, "source public license form public license"]
+    for n in range(120):
+        words = list(rnd.choice(templates)) + [rnd.choice(["x", "public", "license", "software"]) for _ in range(rnd.randrange(8))]
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(len(words))
+            words[at:at + rnd.randrange(2)] = rnd.choice([[], ["y"], [words[at]], ["public", "license"]])
+        texts.append(" ".join(words))
+    got = {r.doc_id: r for r in license_vote.vote(frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        labels, score = _span_labels(t.split())
+        based = set(got[i].base_labels.split(",")) - {""}
+        assert got[i].labels == ",".join(sorted(labels | based)), t
+        assert got[i].score == (1 if got[i].n_base else round(score, 6)), t
+    assert got[0].labels == "" and got[1].labels == "" and got[0].score == 0.5
+
+
 def test_page_text(spark):
     page = ("<html><head><title>T</title><script>if (a < b) {'<p>'}</script></head><body><nav><a>Menu</a></nav><div class='cookie-notice'>We use cookies</div>"
             "<article><h1>Head &amp; more</h1><p>One<br>two\n  three<p>Four <b>five</b></p><form>Mail</form><div class=\"comments\"><p>Nice!</p></div></article>"
@@ -255,6 +287,18 @@ def test_jaccard_classes(spark, texts):
     assert sorted(k for k in kept if k is not None) == sorted({c for _, _, c in _classes(rows) if c is not None}) and kept.count(None) == 2
 
 
+def test_one_of_each_class_by_id_and_text(spark):
+    """Different texts of one id both stay; rows without an id are represented, or give way to one with an id."""
+    words = lambda a: " ".join(f"w{a}x{i}" for i in range(40))
+    rows = [(1, words("a")), (1, words("b")), (1, words("b")), (2, words("a") + " more"), (None, words("a")), (None, words("c")), (None, words("c")), (None, words("c") + " end"),
+            (3, ""), (3, ""), (None, None), (None, " "), (4, words("d")), (None, words("d"))]
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(frame(spark, rows)).collect()), key=str)
+    of_c = {t for d, t in got if d is None and t and t.startswith("wc")}
+    assert len(of_c) == 1 and of_c <= {words("c"), words("c") + " end"}
+    rest = [x for x in got if x[1] not in of_c]
+    assert rest == sorted([(1, words("a")), (1, words("b")), (3, ""), (3, ""), (None, None), (None, " "), (4, words("d"))], key=str)
+
+
 def test_rule_measures(spark, texts):
     rows = texts + [(600, "a b c d e x a b c d e y a b c d e"), (601, "ALL LOUD!! " * 20)]
     got = {r.doc_id: r for r in rule_cascade.judge(frame(spark, rows)).collect()}
