@@ -6,7 +6,7 @@ from ipaddress import ip_address, ip_network
 
 import pytest
 
-from watchhouse.operators import alerts, catalog, enrich
+from watchhouse.operators import alerts, catalog, enrich, paging
 from watchhouse.schema import ALERTS, EVENTS, RULES, SOURCES, TRIGGERS
 
 NOW = "2024-02-01 00:00:00"
@@ -153,3 +153,29 @@ def test_ranges_become_networks(spark):
     df = spark.createDataFrame([(*r, "") for r in rows], "start_ip string, end_ip string, country string, city string")
     got = sorted((r["country"], r["network"]) for r in enrich.networks_of_ranges(df).collect())
     assert got == [("a", "1.0.0.1/32"), ("a", "1.0.0.2/31"), ("a", "1.0.0.4/31"), ("a", "1.0.0.6/32"), ("b", "2.0.0.0/24"), ("c", "2001:db8:0:1::/128"), ("c", "2001:db8::/64")]
+
+
+@pytest.mark.parametrize("newest_first, id_ascending", [(True, False), (True, True), (False, False)])
+def test_pages_by_counts(spark, newest_first, id_ascending):
+    """Every page of a table with ties, rows without a time and a crowded second, however few rows may be sorted."""
+    rng = random.Random(3)
+    times = [D[0].replace(hour=rng.randrange(3), minute=rng.choice([0, 5]), second=rng.choice([0, 0, 1]), microsecond=rng.choice([0, 0, 7])) for _ in range(140)] + [None] * 9
+    rows = [(f"{i:03d}", t) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "id string, received_at timestamp").cache()
+    sign = -1 if newest_first else 1
+    epoch = lambda t: (t - D[0]).total_seconds()
+    order = sorted(rows, key=lambda r: r[0], reverse=newest_first and not id_ascending)
+    order.sort(key=lambda r: (r[1] is None, sign * epoch(r[1]) if r[1] else 0))
+    for number, most in ((1, 1), (2, 5), (5, 1), (8, 10_000), (15, 1), (99, 1)):
+        got = paging.page_by_counts(df, number, 10, newest_first=newest_first, id_ascending=id_ascending, sorted_rows=most)
+        assert [r["id"] for r in got.items.collect()] == [r[0] for r in order[(number - 1) * 10:number * 10]]
+        assert tuple(got.totals.first()) == (149, number, 10, 15)
+    assert paging.page_by_counts(df.limit(0), 1, 10).items.count() == 0
+
+
+def test_a_deep_page_sorts_one_hour(spark):
+    df = spark.range(200_000).selectExpr("CAST(id AS STRING) id", "timestamp_micros(1704067200000000 + id * 1000000) received_at")
+    page = paging.page_by_counts(df, 3000, 50)
+    assert [r["id"] for r in page.items.collect()][0] == str(199_999 - 2999 * 50)
+    filtered = page.items._jdf.queryExecution().optimizedPlan().toString()
+    assert filtered.count(">=") == 1 and page.items.count() == 50

@@ -234,3 +234,17 @@ def test_a_hot_minute_is_cut(events):
     rule = make_rule("s", "n", "sequence", "low", {"steps": [{"event_id": "a"}, {"event_id": "b"}], "group_by": "src_ip", "window_seconds": 86400})
     got = sequence.sequence_rule(events(rows), rule, NOW, 64).first()
     assert got["event_count"] == 2 * sum(range(1, 1501)) and got["first_seen"] == rows[0]["received_at"] and got["last_seen"] == rows[-1]["received_at"]
+
+
+def test_sketched_users(spark, events):
+    """Panes with sketches: one row a group and pane, numbers within five standard errors and one user."""
+    rows = [{"received_at": at(i % 600), "src_ip": ip, "event_id": "a", "user_name": f"u{i * 7 % users}"} for ip, users in (("few", 90), ("many", 20_000)) for i in range(max(200, users))]
+    df = events(rows)
+    rule = make_rule("d", "n", "threshold", "low", {"group_by": "src_ip", "distinct_users": 10, "window_seconds": 86400})
+    exact = threshold.threshold_panes(df, [rule])
+    sketched = threshold.threshold_panes(df, [rule], sketches=True)
+    assert exact.count() > 20_000 and sketched.count() == 20 + 7
+    got = {r["src_ip"]: r["event_count"] for r in threshold.threshold_tick(sketched, df, [rule], "2024-01-30 00:09:45", sketches=True).collect()}
+    want = {r["src_ip"]: r["event_count"] for r in threshold.threshold_tick(exact, df, [rule], "2024-01-30 00:09:45").collect()}
+    assert set(got) == set(want) == {"few", "many"} and want["few"] == 90 and abs(got["few"] - 90) <= 1
+    assert abs(got["many"] / want["many"] - 1) < 5 * 1.04 / 2 ** (threshold.SKETCH_BITS / 2)

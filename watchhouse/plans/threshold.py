@@ -137,6 +137,7 @@ def threshold_rule(events: DataFrame, rule: Rule, as_of, compat: bool = False) -
 # --- panes: partial results that a stream keeps ------------------------------------------------------
 
 PANE_SECONDS = 30
+SKETCH_BITS = 12  # 4 096 registers: a standard error of 1.6 %, one user in some dozens
 
 
 def _of_rule(values: list) -> Column:
@@ -154,24 +155,31 @@ def _partial() -> list[Column]:
             F.max("number").alias("number")]
 
 
-def threshold_panes(events: DataFrame, rules: Sequence[Rule], delay: str = "1 minute", pane: int = PANE_SECONDS) -> DataFrame:
+def _sketch(wanted: bool) -> list[Column]:
+    return [F.hll_sketch_agg("member", SKETCH_BITS).alias("users")] if wanted else []
+
+
+def threshold_panes(events: DataFrame, rules: Sequence[Rule], delay: str = "1 minute", pane: int = PANE_SECONDS,
+                    sketches: bool = False) -> DataFrame:
     """Partial results of all given threshold rules per pane of ``pane`` seconds: one stream for any number of rules.
 
     One row per (rule, group, pane), and per user for rules that count users.  A row of the input is counted once, whatever the
     window; ``threshold_tick`` combines panes.  On a stream a pane is final once the watermark has passed it; rows that
-    come later than ``delay`` after it are dropped.
+    come later than ``delay`` after it are dropped.  With ``sketches`` a pane holds a sketch of its users instead of a row for
+    each: panes no longer grow with users, and their number is an estimate (see SKETCH_BITS).
     """
     rows = events.withWatermark("received_at", delay) if events.isStreaming else events
     matched = _with_member(rows.select("received_at", "user_name", F.inline(_matches(rules, False, lambda rule: F.lit(True)))), rules)
     counted = matched.withColumn("rule_id", _of_rule([r.id for r in rules])).groupBy(
-        F.window("received_at", f"{pane} seconds").alias("w"), "rule_id", "grp", "member").agg(*_partial())
-    return counted.select(F.col("w.start").alias("pane"), "rule_id", "grp", "member", "n", "first_seen", "last_seen", "number")
+        F.window("received_at", f"{pane} seconds").alias("w"), "rule_id", "grp", *([] if sketches else ["member"])).agg(*_partial(), *_sketch(sketches))
+    return counted.select(F.col("w.start").alias("pane"), "rule_id", "grp", "users" if sketches else "member", "n", "first_seen", "last_seen", "number")
 
 
-def threshold_tick(panes: DataFrame, events: DataFrame, rules: Sequence[Rule], as_of, pane: int = PANE_SECONDS) -> DataFrame:
+def threshold_tick(panes: DataFrame, events: DataFrame, rules: Sequence[Rule], as_of, pane: int = PANE_SECONDS,
+                   sketches: bool = False) -> DataFrame:
     """Triggers of the look-backs ``[as_of - window, as_of)``, from whole panes and the events of panes that an end cuts.
 
-    ``as_of`` must not lie after the watermark of the stream that keeps the panes.
+    ``as_of`` must not lie after the watermark of the stream that keeps the panes; ``sketches`` as in ``threshold_panes``.
     """
     end = F.unix_micros(c.as_timestamp(as_of))
     width = F.lit(pane * 1_000_000)
@@ -192,14 +200,17 @@ def threshold_tick(panes: DataFrame, events: DataFrame, rules: Sequence[Rule], a
     recent = panes.filter(F.col("pane").between(F.timestamp_micros(start(widest)), c.as_timestamp(as_of)))
     whole = recent.join(params, "rule_id").filter(
         (F.col("pane") >= first_whole(F.col("seconds"))) & (F.unix_micros("pane") + width <= F.unix_micros(last_whole)))
-    names = ["rule_no", "grp", "member", "n", "first_seen", "last_seen", "number"]
+    of_users = "users" if sketches else "member"
+    names = ["rule_no", "grp", of_users, "n", "first_seen", "last_seen", "number"]
     ends = events.filter(reduce(or_, [cut(r) for r in rules])).select("received_at", "user_name", F.inline(_matches(rules, False, cut)))
-    partial = _with_member(ends, rules).groupBy("rule_no", "grp", "member").agg(*_partial())
-    # members first, so that counting them needs no set per group
-    members = whole.select(*names).unionByName(partial.select(*names)).groupBy("rule_no", "grp", "member").agg(
-        F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("number").alias("number"))
+    partial = _with_member(ends, rules).groupBy("rule_no", "grp", *([] if sketches else ["member"])).agg(*_partial(), *_sketch(sketches))
+    members = whole.select(*names).unionByName(partial.select(*names))
+    if not sketches:  # members first, so that counting them needs no set per group
+        members = members.groupBy("rule_no", "grp", "member").agg(
+            F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("number").alias("number"))
+    found = F.hll_sketch_estimate(F.hll_union_agg("users")) if sketches else F.count("member")
     counted = members.groupBy("rule_no", "grp").agg(
-        F.sum("n").alias("_rows"), F.count("member").alias("_members"), F.min("first_seen").alias("first_seen"),
+        F.sum("n").alias("_rows"), found.alias("_members"), F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"), F.max("number").alias("number"))
     users = _of_rule([_mode(r, False) == "distinct" for r in rules])
     return _decide(counted.withColumn("event_count", F.when(users, F.col("_members")).otherwise(F.col("_rows"))), rules, False)

@@ -261,6 +261,19 @@ def page_alerts(t: Tables):
     return _with_totals(paging.page_alerts(t.alerts.filter("status = 'open'"), 2, 200), "id", "rule_id", "status", "last_seen")
 
 
+@query(_page_sql("siem", "siem", f"id, {ts('received_at')}, source_host", "received_at DESC, id DESC", 17, 50))
+def page_events_deep(t: Tables):
+    """A page found by counts: only the hours it lies in are sorted."""
+    return _with_totals(paging.page_by_counts(t.siem, 17, 50), "id", "received_at", "source_host")
+
+
+@query(_page_sql("alerts", "alerts", f"id, rule_id, {ts('last_seen')}", "last_seen DESC, id", 6, 200))
+def page_alerts_deep(t: Tables):
+    """Alerts of whole days share one time, so a page is cut within ties."""
+    page = paging.page_by_counts(t.alerts, 6, 200, "last_seen", id_ascending=True, sorted_rows=50)
+    return _with_totals(page, "id", "rule_id", "last_seen")
+
+
 @query(_page_sql("rules", "rules", "id, name", "name, id", 2, 50, "enabled"))
 def page_rules(t: Tables):
     return _with_totals(paging.page_rules(t.rules.filter("enabled"), 2, 50), "id", "name")

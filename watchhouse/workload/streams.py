@@ -70,24 +70,42 @@ def _threshold_sql(rule: str, group: str, days: int, wanted: str, count: str, ha
 _SENT = "TRY_CAST(extra['sentbyte'] AS DECIMAL(38,6))"
 
 
-@query(f"""{SIEM}, k AS (SELECT tick, CAST(tick AS TIMESTAMP) AS moment FROM (SELECT unnest({list(_TICKS)}) AS tick)),
+_THRESHOLDS_SQL = f"""{SIEM}, k AS (SELECT tick, CAST(tick AS TIMESTAMP) AS moment FROM (SELECT unnest({list(_TICKS)}) AS tick)),
     t AS ({_threshold_sql('c', 'src_ip', 10, "event_id = '4625'", 'count(*)', 'count(*) >= 5')}
       UNION ALL {_threshold_sql('u', 'source_host', 7, "category = 'auth'", 'count(DISTINCT user_name)', 'count(DISTINCT user_name) >= 20')}
       UNION ALL {_threshold_sql('s', 'src_ip', 3, "source_type = 'fortigate' AND extra['sentbyte'] IS NOT NULL", 'count(*)', f'CAST(max({_SENT}) AS DOUBLE) > 400000000')})
-    SELECT * FROM t""", streaming=True)
-def st_threshold(t: Tables):
-    """Counting, distinct-user and aggregate rules kept as panes by one stream; each tick equals the batch form."""
-    wanted = [
+    SELECT * FROM t"""
+
+
+def _threshold_rules():
+    return [
         make_rule("c", "Count", "threshold", "high", {"filters": {"event_id": ["4625"]}, "group_by": "src_ip", "count": 5, "window_seconds": 10 * DAY}),
         make_rule("u", "Users", "threshold", "high", {"filters": {"category": "auth"}, "group_by": "source_host", "distinct_users": 20, "window_seconds": 7 * DAY}),
         make_rule("s", "Sent", "threshold", "high", {"filters": {"source_type": "fortigate"}, "group_by": "src_ip", "window_seconds": 3 * DAY,
                                                      "aggregate": {"field": "sentbyte", "op": "gt", "value": 400000000}})]
-    panes = _collect(threshold_panes(t.siem, wanted), "threshold")
+
+
+def _threshold_ticks(t: Tables, sketches: bool):
+    wanted = _threshold_rules()
+    panes = _collect(threshold_panes(t.siem, wanted, sketches=sketches), "threshold")
     stored = Tables(t.spark, t.folder).siem
-    fired = [threshold_tick(panes, stored, wanted, tick).withColumn("tick", F.lit(tick)) for tick in _TICKS]
+    fired = [threshold_tick(panes, stored, wanted, tick, sketches=sketches).withColumn("tick", F.lit(tick)) for tick in _TICKS]
     return fired[0].unionByName(fired[1]).unionByName(fired[2]).select("tick", "group_key", "event_count", "first_seen", "last_seen")
 
 
+@query(_THRESHOLDS_SQL, streaming=True)
+def st_threshold(t: Tables):
+    """Counting, distinct-user and aggregate rules kept as panes by one stream; each tick equals the batch form."""
+    return _threshold_ticks(t, False)
+
+
+@query(_THRESHOLDS_SQL.replace("SELECT * FROM t", "SELECT * REPLACE (CASE WHEN group_key NOT LIKE 'u:%' THEN event_count END AS event_count) FROM t"), streaming=True)
+def st_threshold_sketch(t: Tables):
+    """The same with a sketch of the users per pane: the same groups fire; the number of their users is an estimate and left out here."""
+    counted = ~F.col("group_key").startswith("u:")
+    return _threshold_ticks(t, True).withColumn("event_count", F.when(counted, F.col("event_count")))
+
+
 @query(f"""{SIEM}, a AS (SELECT src_ip AS g, received_at AS ts, event_id AS e FROM siem WHERE event_id IN ('4625', '4624', '4672')),
     m AS (SELECT x.g, y.ts AS t1, max(x.ts) AS t0 FROM a x JOIN a y ON y.g = x.g AND y.ts > x.ts WHERE x.e = '4625' AND y.e = '4624' GROUP BY x.g, y.ts),
     z AS (SELECT m.g, z.ts AS t2, max(t0) AS t0 FROM m JOIN a z ON z.g = m.g AND z.ts > m.t1 WHERE z.e = '4672' GROUP BY m.g, z.ts)
