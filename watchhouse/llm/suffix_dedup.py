@@ -17,7 +17,7 @@ A gram in very many places (more than ``GROUP``) is dealt over several sorts by
 is then matched with the windows of the other parts by two 64-bit hashes, in a plain aggregate.
 
 A null text is empty; texts of any length are read in overlapping stretches; repeated rows count as different places, so their
-strings are repeated (rows equal in id and text are worked on once); windows of equal bytes are ties and both go; an empty table gives no rows; other columns are carried
+strings are repeated (rows equal in id and text share their runs and ranges, so the work grows with their number only); windows of equal bytes are ties and both go; an empty table gives no rows; other columns are carried
 on only by ``dedup_documents``.
 """
 
@@ -87,8 +87,7 @@ def _find_anchors(batches):
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(batch.num_rows), sizes)
         yield pa.RecordBatch.from_pydict({
-            "key": join(keys), "k": batch.column("k").take(pa.array(owner)), "h": batch.column("h").take(pa.array(owner)), "at": join(packed),
-            "copies": batch.column("copies").take(pa.array(owner))})
+            "key": join(keys), "k": batch.column("k").take(pa.array(owner)), "h": batch.column("h").take(pa.array(owner)), "at": join(packed)})
 
 
 def _context_id(key: int, left: int, context: bytes) -> bytes:
@@ -100,18 +99,18 @@ def _contexts(with_bytes: bool):
     def run(batches):
         for batch in batches:
             rows = []
-            for k, h, text, copies, runs in zip(*(batch.column(c) for c in ("k", "h", "text", "copies", "runs"))):
-                data, k, h, copies = text.as_py(), k.as_py(), h.as_py(), copies.as_py()
+            for k, h, text, runs in zip(*(batch.column(c) for c in ("k", "h", "text", "runs"))):
+                data, k, h = text.as_py(), k.as_py(), h.as_py()
                 for at in runs.as_py():
                     place, left, span = at["at"] >> 16, at["at"] >> 8 & 255, at["at"] & 255
                     context = data[place - left:place - left + span + WIDTH]
                     if with_bytes:
-                        rows.append((at["key"], at["n"], left, context, copies))
+                        rows.append((at["key"], at["n"], left, context))
                     else:
                         rows.append((_context_id(at["key"], left, context), k, h, place - left))
-            columns = list(zip(*rows)) or [()] * (5 if with_bytes else 4)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()] if with_bytes else [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["key", "n", "left", "context", "copies"] if with_bytes else ["cid", "k", "h", "first"]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()] if with_bytes else [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            names = ["key", "n", "left", "context"] if with_bytes else ["cid", "k", "h", "first"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
     return run
 
@@ -266,14 +265,15 @@ _RESOLVED = ("cid binary, spans array<struct<from: bigint, to: bigint>>, key big
 
 
 def _repeated_ranges(docs: DataFrame, group: int) -> DataFrame:
-    """(k, h, ranges) of the documents (k, h, text as binary, copies) that have repeated strings; (k, h) names a document."""
+    """(k, h, ranges) of the documents (k, h, text as binary) that have repeated strings."""
     n = partitions(docs)
-    found = docs.mapInArrow(_find_anchors, "key bigint, k bigint, h bigint, at bigint, copies bigint")
-    shared = found.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1")
-    open_runs = found.drop("copies").join(shared, "key").groupBy("k", "h").agg(F.collect_list(F.struct("key", "n", "at")).alias("runs"))
+    found = docs.mapInArrow(_find_anchors, "key bigint, k bigint, h bigint, at bigint")
+    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # sets, as rows equal in id and text share a name: each run is held once however many they are
+    open_runs = found.join(shared, "key").groupBy("k", "h").agg(F.collect_set(F.struct("key", "n", "at")).alias("runs"))
     with_text = docs.join(open_runs, ["k", "h"])
-    contexts = with_text.mapInArrow(_contexts(True), "key bigint, n bigint, left bigint, context binary, copies bigint")
-    distinct = contexts.groupBy("key", "n", "left", "context").agg(F.sum("copies").alias("copies"))
+    contexts = with_text.mapInArrow(_contexts(True), "key bigint, n bigint, left bigint, context binary")
+    distinct = contexts.groupBy("key", "n", "left", "context").agg(F.count("*").alias("copies"))
     parts = F.ceil(F.col("n") / group).cast("long")
     dealt = distinct.select("key", F.pmod(F.xxhash64("context"), parts).alias("part"), parts.alias("parts"), F.col("copies").alias("n"), "left", "context")
     resolved = stored(
@@ -285,7 +285,7 @@ def _repeated_ranges(docs: DataFrame, group: int) -> DataFrame:
     ranges = resolved.where("key IS NULL").select("cid", "spans").unionByName(late)
     owners = with_text.mapInArrow(_contexts(False), "cid binary, k bigint, h bigint, first bigint")
     moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("first")).alias("from"), (s["to"] + F.col("first")).alias("to")))
-    return owners.join(ranges, "cid").select("k", "h", moved.alias("spans")).groupBy("k", "h").agg(F.flatten(F.collect_list("spans")).alias("ranges"))
+    return owners.join(ranges, "cid").select("k", "h", moved.alias("spans")).groupBy("k", "h").agg(F.flatten(F.collect_set("spans")).alias("ranges"))
 
 
 def _merge(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -301,14 +301,11 @@ def _merge(ranges: list[dict]) -> list[tuple[int, int]]:
 
 def _marked(docs: DataFrame, names: list[str], group: int) -> DataFrame:
     """Documents with their text as binary, the columns ``names``, and the repeated ranges (null: none)."""
-    # (k, h) names a document by its id and text; both are never null.  Rows that agree in them become one with a count, so that
-    # many equal rows cost no more than two; every join reads one and the same exchange of these texts
+    # (k, h) names a row by its id and text; both are never null, so every join reads one and the same exchange of the texts
     keyed = docs.select(
         *names, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"),
         F.xxhash64("doc_id", "text").alias("h"))
-    single = keyed.groupBy("k", "h").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
-    marked = single.join(_repeated_ranges(single, group), ["k", "h"], "left").drop("copies")
-    return keyed.drop("text").join(marked, ["k", "h"])
+    return keyed.join(_repeated_ranges(keyed.select("k", "h", "text"), group), ["k", "h"], "left")
 
 
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
