@@ -1,8 +1,9 @@
 """Streams that stop and continue."""
 
-import pytest
-from datetime import datetime, timedelta
+import os
+from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from watchhouse.plans.rule_bodies import make_rule
@@ -35,6 +36,13 @@ def test_ingest_continues_where_it_stopped(spark, tmp_path):
         ("cisco_asa", None), ("fortigate", "a"), ("fortigate", "b")}
     assert events.count() == 3 and {r["source_ip"] for r in spark.read.parquet(f"{out}/errors").collect()} == {"10.0.0.7"}
     assert spark.read.text(f"{out}/archive").filter("day = 2 AND value LIKE 'type=%'").count() == 2
+    # without a given time a line lies under the day of its own receipt, whenever the batch runs
+    long_ago = datetime(2023, 5, 6, 12, tzinfo=timezone.utc).timestamp()
+    os.utime(folder / "0.log", (long_ago, long_ago))
+    dated = str(tmp_path / "dated")
+    stream = syslog_lines(spark, str(tmp_path / "in"), streaming=True)
+    ingest.start_ingest(stream, sources, dated, f"{dated}-checkpoint", interval=None).awaitTermination()
+    assert spark.read.text(f"{dated}/archive").filter("year = 2023 AND month = 5 AND day = 6").count() == 1
 
 
 def _second(seconds):

@@ -35,8 +35,11 @@ def start_storage(events: DataFrame, path: str, checkpoint: str, interval: str |
 
 def start_archive(lines: DataFrame, path: str, checkpoint: str, as_of=None,
                   interval: str | None = ARCHIVE_TRIGGER) -> StreamingQuery:
-    """Append raw lines to the gzip archive once a minute; the folder date is the batch's date."""
-    moment = F.current_timestamp() if as_of is None else c.as_timestamp(as_of)
+    """Append raw lines to the gzip archive once a minute.
+
+    The folder date is ``as_of``, or else the row's own ``received_at``, so that a batch run again after midnight goes to the same folder.
+    """
+    moment = F.col("received_at") if as_of is None else c.as_timestamp(as_of)
     writer = archive_rows(lines, moment).writeStream.format("text").partitionBy(
         "source_type", "year", "month", "day").option("compression", "gzip").option("checkpointLocation", checkpoint)
     return trigger(writer, interval).start(path)
@@ -63,10 +66,10 @@ def start_ingest(lines: DataFrame, sources: DataFrame, out: str, checkpoint: str
     def fan_out(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            moment = F.current_timestamp() if as_of is None else c.as_timestamp(as_of)
+            moment = F.col("received_at") if as_of is None else c.as_timestamp(as_of)
             good = batch.filter("problem IS NULL")
             _overwrite(event_table(good_events(good)), batch_id, f"{out}/events", "parquet", "event_month")
-            raw = archive_rows(good.select(F.col("raw_message").alias("raw"), "source_type"), moment)
+            raw = archive_rows(good.select(F.col("raw_message").alias("raw"), "source_type", "received_at"), moment)
             _overwrite(raw, batch_id, f"{out}/archive", "text", "source_type", "year", "month", "day")
             _overwrite(bad_lines(batch), batch_id, f"{out}/errors", "parquet")
         finally:
