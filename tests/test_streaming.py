@@ -97,6 +97,63 @@ def test_rules_come_and_go_between_runs(spark, tmp_path):
     assert got == [("long", "x", 0, 50), ("long", "y", 51, 55), ("long", "y", 51, 200), ("new", "x", 60, 300), ("three", "x", 0, 60)]
 
 
+def test_sequence_calls_grow_with_groups():
+    """1 200 instants of one group, each in a bucket of its own: a timer for the first bucket and one for the cleanup."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Listed:
+        def __init__(self):
+            self.values = []
+
+        def get(self):
+            return iter(self.values)
+
+        def appendValue(self, value):
+            calls.append("append")
+            self.values.append(value)
+
+        def put(self, values):
+            calls.append("put")
+            self.values = list(values)
+
+        def clear(self):
+            self.values = []
+
+    timers = set()
+    state = rules._SequenceState()
+    state.init(SimpleNamespace(getValueState=lambda *a: Value(), getListState=lambda *a: Listed(), registerTimer=timers.add))
+    part = pd.DataFrame({"at": [(60 * i + 1) * 1_000_000 for i in range(1200)], "steps": [1 + i % 2 for i in range(1200)]}).assign(n_steps=2, window=3600 * 1_000_000, bucket=30_000)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert not list(state.handleInputRows(("r", "g"), iter([part.iloc[:0], part.iloc[::-1]]), at(0))) and timers == {30_000}
+    found = []
+    for watermark in (3_630_000, 10**9):  # part of them, then all that is left
+        fired = sorted(t for t in timers if t <= watermark)
+        timers.difference_update(fired)
+        for t in fired:
+            found += [tuple(r) for f in state.handleExpiredTimer(("r", "g"), at(watermark), SimpleNamespace(getExpiryTimeInMs=lambda t=t: t)) for r in f[["first", "last"]].values.tolist()]
+        if watermark < 10**9:
+            assert len(found) == 30 and len(timers) == 1
+    assert found == [((60 * i - 59) * 1_000_000, (60 * i + 1) * 1_000_000) for i in range(1, 1200, 2)]
+    assert not timers and state.state.get() is None and not state.waiting.values and len(calls) < 12
+
+
 def test_absence_reports_every_silent_tick(spark):
     from watchhouse.plans.threshold import absence_ticks
 

@@ -44,73 +44,95 @@ def blacklist_stream(events: DataFrame, blacklists: DataFrame, rule: Rule) -> Da
 class _SequenceState(StatefulProcessor):
     """Per rule and group: instants that wait for the watermark, and per step the latest start of a chain that has reached it.
 
-    Rows wait in buckets of event time, keyed by their end, and a bucket is walked in time order once the watermark has passed
-    its end, so the order of arrival does not matter.  Steps are strictly ordered in time: an instant extends only
-    chains of earlier instants.  State is cleared a window after the last row of a group.  The number of steps, the window
-    and the bucket come with the rows, so one operator serves rules of all kinds; a rule that has got other steps starts anew.
+    Rows wait until the watermark has passed the end of their bucket of event time and are then walked in time order, so the order
+    of arrival does not matter.  Steps are strictly ordered in time: an instant extends only chains of earlier instants.  A group
+    has a timer for the first bucket that waits, not one for each: whatever is due by then is walked in one go, so calls to
+    the state grow with groups and micro-batches, not with instants.  State is cleared a window after the last row of a group.  The
+    number of steps, the window and the bucket come with the rows, so one operator serves rules of all kinds; a rule that has
+    got other steps starts anew.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rule = handle.getValueState("rule", "steps int, window bigint, bucket bigint")
-        self.state = handle.getValueState("reached", "at bigint, reached array<bigint>")
-        self.waiting = handle.getMapState("waiting", "ends bigint", "at array<bigint>, steps array<bigint>")
+        self.state = handle.getValueState("chain", "steps int, window bigint, bucket bigint, at bigint, reached array<bigint>")
+        self.waiting = handle.getListState("waiting", "at array<bigint>, steps array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        fresh: dict[int, dict[int, int]] = {}
+        fresh: dict[int, int] = {}
         rule = None
         for part in rows:
-            rule = tuple(int(part[name].iloc[-1]) for name in ("n_steps", "window", "bucket"))
-            part = part[["at", "steps"]].drop_duplicates()
-            for at, steps in zip(part["at"].tolist(), part["steps"].tolist()):
-                ends = (at // 1000 // rule[2] + 1) * rule[2]
-                if ends > watermark:
-                    marks = fresh.setdefault(ends, {})
-                    marks[at] = marks.get(at, 0) | steps
-        if rule is not None and self.rule.get() != rule:
-            if self.rule.exists() and self.rule.get()[0] != rule[0]:
-                self.state.clear()
-            self.rule.update(rule)
-        for ends, marks in fresh.items():
-            if self.waiting.containsKey((ends,)):
-                for at, steps in zip(*self.waiting.getValue((ends,))):
-                    marks[at] = marks.get(at, 0) | steps
-            self.waiting.updateValue((ends,), (list(marks), list(marks.values())))
-            self.handle.registerTimer(ends)
+            if len(part):
+                rule = tuple(int(part[name].iloc[-1]) for name in ("n_steps", "window", "bucket"))
+                for at, steps in zip(part["at"].tolist(), part["steps"].tolist()):
+                    if _bucket_end(at, rule[2]) > watermark:
+                        fresh[at] = fresh.get(at, 0) | steps
+        if rule is None:
+            return iter([])
+        saved = self.state.get()
+        if saved is None or tuple(saved[:3]) != rule:
+            kept = tuple(saved[3:]) if saved and saved[0] == rule[0] else (None, None)
+            self.state.update((*rule, *kept))
+        if fresh:
+            for part in _parts(sorted(fresh.items())):
+                self.waiting.appendValue(part)
+            self.handle.registerTimer(_bucket_end(min(fresh), rule[2]))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ends = expiredTimerInfo.getExpiryTimeInMs()
-        saved, rule = self.state.get(), self.rule.get()
-        if rule is None:
+        saved = self.state.get()
+        if saved is None:
             return
-        count, window, bucket = rule
-        if not self.waiting.containsKey((ends,)):
-            if saved and saved[0] + window < ends * 1000:
-                self.state.clear()
-                if not self.waiting.exists():
-                    self.rule.clear()
-            return
-        marks = sorted(zip(*self.waiting.getValue((ends,))))
-        self.waiting.removeKey((ends,))
-        reached = list(saved[1]) if saved else [None] * count
+        watermark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        count, window, bucket, last, reached = saved
+        reached = list(reached) if reached else [None] * count
+        due: dict[int, int] = {}
+        later: dict[int, int] = {}
+        for instants, masks in self.waiting.get():
+            for at, steps in zip(instants, masks):
+                marks = due if _bucket_end(at, bucket) <= watermark else later
+                marks[at] = marks.get(at, 0) | steps
         found = []
-        for at, steps in marks:
+        for at, steps in sorted(due.items()):
             starts = [at, *reached[:-1]]
             for k, start in enumerate(starts):
                 if steps >> k & 1 and start is not None and (k == 0 or start < at) and at - start <= window:
                     reached[k] = start if reached[k] is None else max(reached[k], start)
                     if k == count - 1:
                         found.append((*key, start, at))
-        self.state.update((marks[-1][0], reached))
-        self.handle.registerTimer(ends + window // 1000 + bucket)
-        yield pd.DataFrame(found, columns=["rule_id", "grp", "first", "last"])
+        if due:
+            last = max(due)
+            if later:
+                self.waiting.put(_parts(sorted(later.items())))
+            else:
+                self.waiting.clear()
+        if later:
+            self.handle.registerTimer(_bucket_end(min(later), bucket))
+        # rows to come lie a bucket before the watermark at most: no chain of a window before that goes on
+        elif last is None or last + window < (watermark - bucket) * 1000:
+            self.state.clear()
+        else:
+            self.handle.registerTimer((last + window) // 1000 + bucket + 1)
+        if due and (later or last + window >= (watermark - bucket) * 1000):
+            self.state.update((count, window, bucket, last, reached))
+        if found:
+            yield pd.DataFrame(found, columns=["rule_id", "grp", "first", "last"])
 
     def close(self) -> None:
         pass
 
 
+def _bucket_end(at: int, bucket: int) -> int:
+    """End of the bucket of event time, in milliseconds, that an instant (microseconds) lies in."""
+    return (at // 1000 // bucket + 1) * bucket
+
+
+def _parts(marks: list[tuple[int, int]], most: int = 65_536) -> list[tuple[list[int], list[int]]]:
+    """Instants and their steps as values of a list state."""
+    cut = [marks[low:low + most] for low in range(0, len(marks), most)]
+    return [([at for at, _ in part], [steps for _, steps in part]) for part in cut]
+
+
 def sequence_streams(events: DataFrame, rules: Sequence[Rule], delay: str = "1 minute") -> DataFrame:
     """One trigger per completed chain end of every rule, with the latest start that leads to it: one stream for all rules.
 
