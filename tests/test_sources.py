@@ -1,5 +1,6 @@
 """Framing, agent batches, rate limiting and files."""
 
+import io
 import random
 import re
 from datetime import datetime, timedelta
@@ -101,6 +102,50 @@ def test_lines_between_offsets(spark, tmp_path, split):
     assert positions.listed(str(tmp_path / "none")) == {} and positions.positioned_lines(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_small_ranges_share_tasks_and_reads(spark, tmp_path):
+    """Ranges of 4 KB: some TASKS tasks, each byte read once or a little more often, the same lines."""
+    text = b"".join(b"line %d\n" % i for i in range(200_000))
+    (tmp_path / "log").write_bytes(text)
+    (tmp_path / "small").write_bytes(b"x\ny\n")
+    df = positions.positioned_lines(spark, str(tmp_path), split_bytes=4096)
+    assert df.rdd.getNumPartitions() <= positions.TASKS + 8 < len(text) // 4096
+    whole = df.where("path LIKE '%/log'").selectExpr("count(*) n", "count(DISTINCT position) p", "sum(length(raw) + 1) size").first()
+    assert tuple(whole) == (200_000, 200_000, len(text)) and df.where("path LIKE '%/small'").count() == 2
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read_at(self, n, at):
+            self.seek(at)
+            block = self.read(n)
+            self.taken += len(block)
+            return block
+
+    file = Counted(text)
+    found = [s for low in range(0, len(text), 65536) for starts, _ in positions.lines_of(file, low, min(low + 65536, len(text)), len(text)) for s in starts]
+    assert len(found) == 200_000 and found == sorted(set(found)) and file.taken < 1.2 * len(text)
+
+
+def test_cursors_are_sent_to_the_entries(spark, tmp_path):
+    """A join by host would gather all entries of a host in one task."""
+    folder = tmp_path / "source_ip=10.0.0.1"
+    folder.mkdir()
+    (folder / "j").write_text('{"__CURSOR": "a"}\n{"__CURSOR": "b"}\n')
+    cursors = spark.createDataFrame([("10.0.0.1", "a")], "source_ip string, cursor string")
+    read = lines.journald_after(lines.tail_lines(spark, str(tmp_path)), cursors)
+    assert [r["cursor"] for r in read.collect()] == ["b"]
+    assert "SortMergeJoin" not in read._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_middle_event(spark):
+    from watchhouse.workload.files import _middle
+
+    rng = random.Random(3)
+    for ids in ([rng.randrange(40) for _ in range(101)], [7] * 10, [5, 1], [4], []):
+        df = spark.createDataFrame([(i,) for i in ids], "event_id bigint")
+        assert [r[0] for r in _middle(df).collect()] == (sorted(ids)[len(ids) // 2 - 1:len(ids) // 2] if len(ids) > 1 else [])
+
+
 def test_stream_stopped_and_resumed(spark, tmp_path):
     """A file that grows between two runs: each line once, an unfinished line when it is finished."""
     logs = tmp_path / "in" / "source_ip=10.0.0.9"

@@ -155,10 +155,11 @@ def journald_after(lines: DataFrame, cursors: DataFrame, first_run: int = 1000)
     A host without a stored cursor sends its last ``first_run`` entries; one whose cursor is no longer in the files sends all they hold.
     """
     entries = journald_entries(lines).withColumn("cursor", F.get_json_object("raw", "$.__CURSOR"))
-    stored = cursors.select("source_ip", F.col("cursor").alias("_cursor")).where("_cursor IS NOT NULL")
+    # one cursor a host: sent to the entries, which a join by host would gather in one task each
+    stored = F.broadcast(cursors.select("source_ip", F.col("cursor").alias("_cursor")).where("_cursor IS NOT NULL"))
     same = [entries["source_ip"] == stored["source_ip"], entries["cursor"] == stored["_cursor"]]
     reached = entries.join(stored, same, "left_semi").groupBy("source_ip").agg(F.max(_at()).alias("_reached"))
-    known = entries.join(stored.join(reached, "source_ip", "left"), "source_ip")
+    known = entries.join(F.broadcast(stored.join(F.broadcast(reached), "source_ip", "left")), "source_ip")
     later = known.where(F.col("_reached").isNull() | (_at() > F.col("_reached"))).select(*entries.columns)
     last = F.row_number().over(Window.partitionBy("source_ip").orderBy(_at().desc()))
     fresh = entries.join(stored, "source_ip", "left_anti").withColumn("_n", last).where(F.col("_n") <= first_run).drop("_n")

@@ -2,7 +2,8 @@
 
 ``spark.read`` and ``spark.readStream`` of the format ``positioned_lines`` give ``path, position, raw, received_at``: the byte at which
 a line starts names it, also among equal lines.  Files are cut into byte ranges that are read in parallel; a line belongs to the range
-it starts in.  A stream's checkpoint holds the offsets, so a query that is started again goes on after the last line it has
+it starts in.  A task reads ranges that follow each other, so there are some TASKS tasks (more where one would take over
+``SPLIT_BYTES``) however small the ranges, and little more than a range's own bytes are read for it.  A stream's checkpoint holds the offsets, so a query that is started again goes on after the last line it has
 written.  Only whole lines are taken: an unfinished last line waits for its end.
 
 Offsets are JSON, ``{"<path>": byte, ...}``, one entry a file: the source is for the logs of a host or a relay; folders of very many
@@ -22,7 +23,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 FORMAT = "positioned_lines"
 SPLIT_BYTES = 64 << 20
+TASKS = 64
 _READ = 4 << 20
+_LOOK = 4096  # first look for the end of a line beyond a range; doubled until it is found
 _SCHEMA = pa.schema([("path", pa.string()), ("position", pa.int64()), ("raw", pa.string()), ("received_at", pa.timestamp("us", tz="UTC"))])
 
 
@@ -68,38 +71,48 @@ def lines_between(path: str, low: int, high: int, end: int) -> Iterator[tuple[li
     """Starts and bytes of the lines that begin in ``low`` to ``high``; ``end`` is where the file ends for this read."""
     system, inner = file_system(path)
     with system.open_input_file(inner) as file:
-        at, rest = low, b""
-        if low > 0:  # a line that began before is the business of the range before
-            at = low - 1
-            while at < end:
-                block = file.read_at(min(_READ, end - at), at)
-                found = block.find(b"\n")
-                if found >= 0:
-                    at += found + 1
-                    break
-                at += len(block)
-        start, begun = at, []  # where the open line starts, and its blocks so far
-        while start < high:
-            block = file.read_at(min(_READ, end - at), at) if at < end else b""
+        yield from lines_of(file, low, high, end)
+
+
+def lines_of(file, low: int, high: int, end: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """``lines_between`` of an open file.  What lies beyond ``high`` is read only as far as its last line goes, by growing looks."""
+    at, look = low, _LOOK
+    if low > 0:  # a line that began before is the business of the range before
+        at = low - 1
+        while at < end:
+            block = file.read_at(min(look, _READ, end - at), at)
+            found = block.find(b"\n")
+            if found >= 0:
+                at += found + 1
+                break
             at += len(block)
-            if block and b"\n" not in block:
-                begun.append(block)
-                continue
-            pieces = b"".join([*begun, block]).split(b"\n")
-            begun = [pieces.pop()]
-            if not block and begun[0]:  # the file ends without a line break
-                pieces = begun
-            starts, lines = [], []
-            for piece in pieces:
-                if start >= high:
-                    break
-                starts.append(start)
-                lines.append(piece)
-                start += len(piece) + 1
-            if starts:
-                yield starts, lines
-            if not block:
-                return
+            look *= 2
+    start, begun, look = at, [], _LOOK  # where the open line starts, and its blocks so far
+    while start < high:
+        if at < high:
+            wanted = min(_READ, high - at)
+        else:
+            wanted, look = min(_READ, look), look * 2
+        block = file.read_at(min(wanted, end - at), at) if at < end else b""
+        at += len(block)
+        if block and b"\n" not in block:
+            begun.append(block)
+            continue
+        pieces = b"".join([*begun, block]).split(b"\n")
+        begun = [pieces.pop()]
+        if not block and begun[0]:  # the file ends without a line break
+            pieces = begun
+        starts, lines = [], []
+        for piece in pieces:
+            if start >= high:
+                break
+            starts.append(start)
+            lines.append(piece)
+            start += len(piece) + 1
+        if starts:
+            yield starts, lines
+        if not block:
+            return
 
 
 class Range(InputPartition):
@@ -109,6 +122,18 @@ class Range(InputPartition):
         self.path, self.low, self.high, self.end, self.written = path, low, high, end, written
 
 
+class Task(InputPartition):
+    """Byte ranges of ``split`` bytes that one task reads: spans of files, each to be cut into ranges."""
+
+    def __init__(self, spans: list[Range], split: int):
+        self.spans, self.split = spans, split
+
+    def ranges(self) -> Iterator[Range]:
+        for span in self.spans:
+            for low in range(span.low, span.high, self.split):
+                yield Range(span.path, low, min(low + self.split, span.high), span.end, span.written)
+
+
 class _Ranges:
     """What batch and stream have in common."""
 
@@ -125,30 +150,64 @@ class _Ranges:
             out[path] = {"at": line_end(path, min(size, self.ending.get(path, size))), "written": written}
         return out
 
-    def ranges(self, starts: dict[str, int], ends: dict[str, dict]) -> list[Range]:
-        out = []
+    def tasks(self, starts: dict[str, int], ends: dict[str, dict]) -> list[Task]:
+        """Ranges of ``split`` bytes dealt to tasks in the order of the files, by spans of whole ranges."""
+        lows = {path: starts.get(path, 0) for path in ends}
+        lows = {path: 0 if low > ends[path]["at"] else low for path, low in lows.items()}
+        total = sum(end["at"] - lows[path] for path, end in ends.items())
+        size = max(1, min(SPLIT_BYTES, total // TASKS) // self.split) * self.split
+        out, room = [], 0
         for path, end in sorted(ends.items()):
-            low = starts.get(path, 0)
-            low = 0 if low > end["at"] else low
+            low = lows[path]
             while low < end["at"]:
-                high = min(low + self.split, end["at"])
-                out.append(Range(path, low, high, end["at"], end["written"]))
+                if room < self.split:
+                    out.append(Task([], self.split))
+                    room = size
+                high = min(low + room // self.split * self.split, end["at"])
+                out[-1].spans.append(Range(path, low, high, end["at"], end["written"]))
+                room -= high - low
                 low = high
         return out
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Task | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing to read is one task without a range
             return
-        for starts, lines in lines_between(partition.path, partition.low, partition.high, partition.end):
-            n = len(starts)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([partition.path] * n, pa.string()), pa.array(starts, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in lines], pa.string()),
-                pa.array([partition.written] * n, pa.int64()).cast(_SCHEMA.field(3).type)], schema=_SCHEMA)
+        path, file, found, size = None, None, [], 0
+        try:
+            for part in partition.ranges():
+                if part.path != path:
+                    if file is not None:
+                        file.close()
+                    system, inner = file_system(part.path)
+                    path, file = part.path, system.open_input_file(inner)
+                for starts, lines in lines_of(file, part.low, part.high, part.end):
+                    found.append((part, starts, lines))
+                    size += sum(map(len, lines)) + len(lines)
+                    if size >= _READ:
+                        yield _batch(found)
+                        found, size = [], 0
+            if found:
+                yield _batch(found)
+        finally:
+            if file is not None:
+                file.close()
+
+
+def _batch(found: list[tuple[Range, list[int], list[bytes]]]) -> pa.RecordBatch:
+    """One batch of the lines of several ranges."""
+    paths, positions, lines, written = [], [], [], []
+    for part, starts, raw in found:
+        paths += [part.path] * len(starts)
+        positions += starts
+        lines += [x.decode("utf-8", "replace") for x in raw]
+        written += [part.written] * len(starts)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(paths, pa.string()), pa.array(positions, pa.int64()), pa.array(lines, pa.string()), pa.array(written, pa.int64()).cast(_SCHEMA.field(3).type)], schema=_SCHEMA)
 
 
 class _BatchReader(_Ranges, DataSourceReader):
     def partitions(self):
-        return self.ranges(self.starting, self.ends())
+        return self.tasks(self.starting, self.ends())
 
 
 class _StreamReader(_Ranges, DataSourceStreamReader):
@@ -159,7 +218,7 @@ class _StreamReader(_Ranges, DataSourceStreamReader):
         return self.ends()
 
     def partitions(self, start: dict, end: dict):
-        return self.ranges({path: s["at"] for path, s in start.items()}, end)
+        return self.tasks({path: s["at"] for path, s in start.items()}, end)
 
 
 class PositionedLines(DataSource):

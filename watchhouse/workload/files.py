@@ -156,12 +156,13 @@ _UNITS = "CASE event_type WHEN 'view' THEN 'ssh.service' WHEN 'click' THEN 'cron
 
 
 def _journal(t: Tables):
-    """JSON lines of several units with broken and blank lines in between, one file per host in the order of event_id."""
+    """JSON lines of several units with broken and blank lines in between; a host's files follow each other in the order of event_id."""
     entry = F.to_json(F.struct(F.expr(_UNITS).alias("_SYSTEMD_UNIT"), F.col("event_id").cast("string").alias("_PID"), F.concat(F.lit("s="), "event_id").alias("__CURSOR")))
     noisy = F.concat(entry, F.lit("\n{broken\n\n[1]\n"))
     path = shared_dir(t.spark, "journald")
     rows = t.events.select(noisy.alias("value"), F.concat(F.lit("10.9.0."), F.col("event_id") % 4).alias("source_ip"), "event_id")
-    _write_lines(rows.repartition("source_ip").sortWithinPartitions("source_ip", "event_id").select("value", "source_ip"), path)
+    # ranges of event_id, whose order the numbers in the names of the files keep
+    _write_lines(rows.repartitionByRange("source_ip", "event_id").sortWithinPartitions("source_ip", "event_id").select("value", "source_ip"), path)
     return path
 
 
@@ -178,10 +179,20 @@ _CURSORS_SQL = """h AS (SELECT event_id % 4 AS host, count(*) AS n FROM events G
     r AS (SELECT e.* FROM e JOIN h USING (host) WHERE (host = 0 AND nth > n // 2) OR host = 2 OR (host = 3 AND nth > n - 100))"""
 
 
+def _middle(ids: DataFrame) -> DataFrame:
+    """The event_id of row ``n div 2`` of ``n`` in their order (no row below two): by counts per range first, then within one range."""
+    ranges = ids.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("event_id").withColumn("part", F.spark_partition_id())
+    counted = cut_lineage(ranges, "ranges")
+    parts = counted.groupBy("part").agg(F.sum("n").alias("_m"))
+    parts = parts.select("part", "_m", (F.sum("_m").over(Window.orderBy("part")) - F.col("_m")).alias("_before"), F.expr("sum(_m) OVER () div 2").alias("_half"))
+    wanted = parts.where("_before < _half AND _half <= _before + _m").drop("_m")
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy("part").orderBy("event_id"))
+    return counted.join(F.broadcast(wanted), "part").withColumn("_upto", upto).where("_upto - n < _half AND _half <= _upto").select("event_id")
+
+
 def _read_on(t: Tables):
     lines = src.tail_lines(t.spark, _journal(t), split_bytes=8192)
-    half = t.events.where("event_id % 4 = 0").select(F.row_number().over(Window.orderBy("event_id")).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"), "event_id")
-    half = half.where("at = n div 2").select(F.lit("10.9.0.0").alias("source_ip"), F.concat(F.lit("s="), "event_id").alias("cursor"))
+    half = _middle(t.events.where("event_id % 4 = 0")).select(F.lit("10.9.0.0").alias("source_ip"), F.concat(F.lit("s="), "event_id").alias("cursor"))
     full = t.events.where("event_id % 4 = 1").agg(F.concat(F.lit("s="), F.max("event_id")).alias("cursor")).select(F.lit("10.9.0.1").alias("source_ip"), "cursor")
     gone = t.spark.createDataFrame([("10.9.0.2", "s=gone")], "source_ip string, cursor string")
     cursors = half.unionByName(full).unionByName(gone)
