@@ -137,6 +137,16 @@ def test_cursors_are_sent_to_the_entries(spark, tmp_path):
     assert "SortMergeJoin" not in read._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_marks_are_sent_to_the_records(spark):
+    """A join by channel would gather all records of a channel in one task."""
+    marks = spark.createDataFrame([("A", 1)], "channel string, record_id bigint")
+    records = spark.range(4).selectExpr("CASE WHEN id < 3 THEN 'A' ELSE 'B' END channel", "id record_number", "1L event_id", "TIMESTAMP '2024-01-01 00:00:00' time_generated",
+                                        "4 event_type", "'s' source_name", "array('x') inserts")
+    newer = lines.windows_records(records, marks)
+    assert sorted(r["record_number"] for r in newer.collect()) == [2, 3]
+    assert "SortMergeJoin" not in newer._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_middle_event(spark):
     from watchhouse.workload.files import _middle
 

@@ -197,7 +197,8 @@ def windows_records(records: DataFrame, marks: DataFrame, computer: str = "local
     ``records(channel, record_number, event_id, time_generated, event_type, source_name, inserts)``,
     ``marks(channel, record_id)``.  Inserts are keyed by position, missing ones dropped.
     """
-    newer = records.join(marks, "channel", "left").filter(
+    # one mark a channel: sent to the records, which a join by channel would gather in one task each
+    newer = records.join(F.broadcast(marks), "channel", "left").filter(
         F.col("record_number") > F.coalesce("record_id", F.lit(0)))
     numbered = F.transform("inserts", lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
     data = F.map_from_entries(F.filter(numbered, lambda e: e["value"].isNotNull()))
