@@ -77,6 +77,11 @@ def test_sequence_ignores_the_order_of_arrival(spark, tmp_path):
     assert _sequence(spark, tmp_path, _ab(), batches) == [("x", _second(45), _second(55))]
 
 
+def test_sequence_rows_without_a_time(spark, tmp_path):
+    batches = [[("x", "a", T0), ("x", "a", None), ("x", "b", None), ("y", "b", None)], [("x", "b", _second(10)), (None, "b", None)]]
+    assert _sequence(spark, tmp_path, _ab(), batches) == [("x", T0, _second(10))]
+
+
 def test_rules_come_and_go_between_runs(spark, tmp_path):
     """Three rules of different windows in one stream; one is added and one taken away before the second run."""
     schema = "src_ip string, event_id string, received_at timestamp"

@@ -151,8 +151,8 @@ def sequence_streams(events: DataFrame, rules: Sequence[Rule], delay: str = "1 m
             F.lit(len(steps)).alias("n_steps"), F.lit(rule.window_seconds * 1_000_000).cast("bigint").alias("window"),
             F.lit(bucket * 1000).cast("bigint").alias("bucket"))
         hits.append(F.when(reduce(or_, steps) & F.col(rule.group_by).isNotNull(), hit))
-    # only rows that match a step reach the state, and move the watermark on
-    rows = events.filter(F.coalesce(*hits).isNotNull()).withWatermark("received_at", delay).select(
+    # only rows that match a step reach the state, and move the watermark on; one without a time has no place in a sequence
+    rows = events.filter(F.coalesce(*hits).isNotNull() & F.col("received_at").isNotNull()).withWatermark("received_at", delay).select(
         "received_at", F.unix_micros("received_at").alias("at"), F.inline(F.array_compact(F.array(*hits))))
     found = rows.groupBy("rule_id", "grp").transformWithStateInPandas(
         _SequenceState(), "rule_id string, grp string, first bigint, last bigint", "append", "eventTime")
