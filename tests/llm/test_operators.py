@@ -396,3 +396,30 @@ def test_empty_tables(spark):
         quality_fm.score(none, quality_fm.train(none, labels)),
     ):
         assert got.collect() == []
+
+
+def test_jaccard_edited_copies_do_not_meet_in_pairs(spark, monkeypatch):
+    """Copies of one text, each with 17 words of its own (a fifth of the shingles): none links with another, and few are compared."""
+    rnd = random.Random(11)
+    base = [f"b{rnd.randrange(10 ** 9)}" for _ in range(400)]
+
+    def edited(i):
+        words = list(base)
+        for at in rnd.sample(range(400), 17):
+            words[at] = f"e{i}x{at}"
+        return " ".join(words)
+
+    pairs = []
+    store = jaccard_join.stored
+
+    def counting(df, purpose):
+        out = store(df, purpose)
+        if purpose == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counting)
+    rows = [(i, edited(i)) for i in range(80)]
+    found = rows_of(jaccard_join.components(frame(spark, rows)))
+    assert found == _classes(rows)
+    assert sum(pairs) <= 4 * len(rows)

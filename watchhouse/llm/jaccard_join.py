@@ -3,12 +3,15 @@
 A document is its set of distinct five-word shingles, as 64-bit hashes; the hash value is the global order.  Two documents link
 when 100 * intersection >= 75 * union.
 
-Candidates.  Of any linking pair each has at least 75 % of its shingles in the other.  So the first E shingles of both in the
-global order share at least a known number of shingles (see ``_common``), and, once these are put in the order of
-their frequency over all documents, the rarest ones share at least one.  Documents that share one of those rarest shingles form
-a block.  Pairs within a block are not listed: one member is compared with all others, linked members become one component,
-and only pairs across components go on, with GROWTH times as many members compared in the next round, until a round has
-compared every member or a block is one component.  No block is cut short, so no link between components is lost.
+Candidates, in two steps.  Of any linking pair each has at least 75 % of its shingles in the other.  So the first E shingles of both in
+the global order share at least a known number of shingles (see ``_common``); a set of which fewer are found in any other set links
+with nothing and goes no further.  The others, mostly a small part, are indexed whole: put in the order of their frequency, the
+rarest quarter of the shingles of both share at least one, and from the first common one on both must have as many shared shingles
+left as the link needs.  Shingles that no other set has count against a set here, so most edited copies of one text that differ by
+more than the threshold never meet.  Documents that share one of those rarest shingles form a block.  Pairs within a block are not
+listed: one member is compared with all others, linked members become one component, and only pairs across components go on, with
+GROWTH times as many members compared in the next round, until a round has compared every member (the last one all that are left, where these are few) or a block is one component.  No
+block is cut short, so no link between components is lost.
 
 Verification.  The global order is cut into FRAGMENTS equal ranges.  Every candidate pair counts its common shingles in each range
 separately, and the counts are summed per pair.  Before that, parity bitmaps of SKETCH bits bound the overlap from above: bits that
@@ -41,7 +44,9 @@ SKETCH = 1024  # bits; beyond some 1 700 shingles a bitmap is full and turns no
 WHOLE = 128  # sets of up to this size are indexed whole
 COMMON = 64  # from this frequency on shingles count as equally common
 GROWTH = 8
+FEW = 64  # comparisons a member that are made in one round
 KEPT_WORDS = 300_000
+SLICE = 4 << 20  # shingles indexed at a time, or one set
 _SIGN = np.uint64(1 << 63)
 
 
@@ -53,12 +58,9 @@ def shingles(text: bytes) -> np.ndarray:
     cache = worker_cache("shingle_words", dict)
     if len(cache) > KEPT_WORDS:
         cache.clear()
-    codes = np.empty(len(words), np.uint64)
-    for at, word in enumerate(words):
-        code = cache.get(word)
-        if code is None:
-            code = cache[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        codes[at] = code
+    for word in set(words).difference(cache):
+        cache[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    codes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     width = min(SHINGLE, len(words))
     count = len(words) - width + 1
     total = np.full(count, width, np.uint64)
@@ -80,38 +82,43 @@ def _indexed(n: int) -> int:
 
 
 def _keys(batches):
-    """doc_id, text hash, set size and set id (null for an empty set)."""
+    """doc_id, text hash, set size, set id (null for an empty set) and, once a set in each batch, its indexed shingles."""
     for batch in batches:
-        sizes, ids = [], []
+        sizes, ids, heads, seen = [], [], [], set()
         for text in batch.column("text").cast(pa.binary()):
             found = shingles(text.as_py())
             sizes.append(len(found))
             ids.append(_set_id(found) if len(found) else None)
+            heads.append(None if ids[-1] is None or ids[-1] in seen else found[:_indexed(len(found))].view(np.int64))
+            seen.add(ids[-1])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "th", "n_shingles", "sid"])
+            [batch.column("doc_id"), batch.column("th"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
+            ["doc_id", "th", "n_shingles", "sid", "head"])
 
 
 def _index(batches):
-    """The indexed shingles of each set as (deal, h, sid, df); deal tells where a row is to go.
+    """Sets (sid, head) as rows of (deal, h, sid, df); deal tells where a row is to go.
 
-    A shingle that is common within a batch already is settled at once (df = COMMON): its rows go by set, and one row
-    without a set tells the others.  So the most frequent shingle sends one row per batch to its counting task.
+    A shingle that is common within a slice of a batch already is settled at once (df = COMMON): its rows go by set, and one row
+    without a set tells the others.  So the most frequent shingle sends one row per slice to its counting task.
     """
     for batch in batches:
-        sets: dict[int, np.ndarray] = {}
-        for text in batch.column("text").cast(pa.binary()):
-            found = shingles(text.as_py())
-            if len(found):
-                sets.setdefault(_set_id(found), found[:_indexed(len(found))])
-        h = np.concatenate([*sets.values(), np.zeros(0, np.uint64)]).view(np.int64)
-        sid = np.repeat(np.array([*sets], np.int64), [len(s) for s in sets.values()])
-        _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
-        common = times[inverse] >= COMMON
-        told = np.unique(h[common])
-        yield pa.RecordBatch.from_pydict({
-            "deal": np.concatenate([np.where(common, sid, h), told]), "h": np.concatenate([h, told]),
-            "sid": pa.array(np.concatenate([sid, np.zeros(len(told), np.int64)]), mask=np.concatenate([np.zeros(len(sid), bool), np.ones(len(told), bool)])),
-            "df": np.concatenate([np.where(common, COMMON, 0), np.full(len(told), COMMON)]).astype(np.int32)})
+        ids, heads = batch.column("sid").to_numpy(), batch.column("head")
+        ends = np.cumsum(np.diff(heads.offsets.to_numpy()))
+        low = 0
+        while low < len(batch):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE, "right")))
+            sets, first = np.unique(ids[low:high], return_index=True)
+            some = heads.slice(low, high - low).take(pa.array(first))
+            h, sid = some.flatten().to_numpy(), np.repeat(sets, np.diff(some.offsets.to_numpy()))
+            low = high
+            _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+            common = times[inverse] >= COMMON
+            told = np.unique(h[common])
+            yield pa.RecordBatch.from_pydict({
+                "deal": np.concatenate([np.where(common, sid, h), told]), "h": np.concatenate([h, told]),
+                "sid": pa.array(np.concatenate([sid, np.zeros(len(told), np.int64)]), mask=np.concatenate([np.zeros(len(sid), bool), np.ones(len(told), bool)])),
+                "df": np.concatenate([np.where(common, COMMON, 0), np.full(len(told), COMMON)]).astype(np.int32)})
 
 
 def _frequencies(batches):
@@ -183,26 +190,33 @@ def _common():
     return f"greatest(1L, least({', '.join(ends + inner)}) - 1)"
 
 
-_INDEXED_SQL = f"least(n, greatest({WHOLE}L, (n * 3 + 7) div 8))"
-# A linking pair has at least alpha = 75/175 of its joint size in common, so of the indexed shingles of either all but
-# (size - alpha) of the first common ones; from the first common one on, both must have that many left.
-_POSSIBLE = "least(rest, _rest) >= least(e - n, _e - _n) + (75 * (n + _n) + 174) div 175"
+# A linking pair has at least 75/175 of its joint size in common; from the first common shingle on both must have that many left.
+_POSSIBLE = "least(rest, _rest) >= (75 * (n + _n) + 174) div 175"
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(sid, h, df) of the shingles of sets (sid, head) that two sets or more have, with sid's rows in one partition."""
+    n = partitions(sets)
+    found = sets.mapInArrow(_index, "deal long, h long, sid long, df int").repartition(n, "deal").sortWithinPartitions("h", "sid")
+    return found.mapInArrow(_frequencies, "sid long, h long, df int").repartition(n, "sid").dropDuplicates(["sid", "h"])
+
+
+def _likely(heads: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sid, n) of the sets of whose indexed shingles others have as many as a link needs."""
+    counts = _shared(heads).groupBy("sid").agg(F.count("*").alias("_all"))
+    return counts.join(sizes, "sid").where(f"_all >= {_common()}").select("sid", "n")
 
 
-def _blocks(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(h, sid, n, e, rest, lone): the rarest indexed shingles, which each linking pair shares one of.
+def _blocks(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(h, sid, n, rest, lone): the rarest shingles of sets (sid, head) given whole, which each linking pair shares one of.
 
-    e: how many shingles of the set are indexed; rest: how many of them that others have too come from here on; lone: the share that
-    no other set has.
+    rest: how many of the shingles of the set that others have too come from here on; lone: the share that no other set has.
+    A linking pair has 75 % of either in common, so the first common one has that many after it.
     """
-    n = partitions(docs)
-    found = docs.select("text").mapInArrow(_index, "deal long, h long, sid long, df int").repartition(n, "deal").sortWithinPartitions("h", "sid")
-    shared = found.mapInArrow(_frequencies, "sid long, h long, df int").repartition(n, "sid").dropDuplicates(["sid", "h"]).join(sizes, "sid")
     rare = Window.partitionBy("sid").orderBy("df", "h")
-    ranked = shared.withColumn("_rank", F.row_number().over(rare)).withColumn("_all", F.count("*").over(Window.partitionBy("sid")))
-    rest = (F.col("_all") - F.col("_rank") + 1).cast("int").alias("rest")
-    return ranked.where(F.col("_rank") <= F.col("_all") - F.expr(_common()) + 1).select(
-        "h", "sid", "n", F.expr(_INDEXED_SQL).alias("e"), rest, (1 - F.col("_all") / F.expr(_INDEXED_SQL)).cast("float").alias("lone"))
+    ranked = _shared(sets).join(sizes, "sid").withColumn("_rank", F.row_number().over(rare)).withColumn("_all", F.count("*").over(Window.partitionBy("sid")))
+    rest = (F.col("_all") - F.col("_rank") + 1).cast("int")
+    return ranked.withColumn("rest", rest).where("4L * rest >= 3 * n").select("h", "sid", "n", "rest", (1 - F.col("_all") / F.col("n")).cast("float").alias("lone"))
 
 
 def _fragments(batches):
@@ -260,13 +274,16 @@ def _classes(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
         open_blocks = members.groupBy("h").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_m")).where(
             f"_low != _high AND _m > {done + 1}").select("h", "_m")
         live = stored(members.join(open_blocks, "h"), "open-blocks")
-        if live.isEmpty():
+        most, members_left, squares = live.groupBy("h").agg(F.count("*").alias("_m")).agg(F.max("_m"), F.sum("_m"), F.sum(F.col("_m") * F.col("_m"))).first()
+        if most is None:
             return component
+        if done and squares <= FEW * members_left:
+            limit = most  # what is left takes one round
         # the first ``limit`` members of each block, ranked in parts first
         parts = Window.partitionBy("h", "_part").orderBy(*order)
         ranked = live.withColumn("_part", F.pmod(F.xxhash64("sid"), F.lit(64))).withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= limit)
         ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("h").orderBy(*order))).where(F.col("_r").between(done + 1, limit))
-        chosen = ranked.select("h", F.col("sid").alias("_sid"), F.col("n").alias("_n"), F.col("e").alias("_e"), F.col("rest").alias("_rest"), F.col("lone").alias("_lone"), F.col("component").alias("_c"))
+        chosen = ranked.select("h", F.col("sid").alias("_sid"), F.col("n").alias("_n"), F.col("rest").alias("_rest"), F.col("lone").alias("_lone"), F.col("component").alias("_c"))
         across = live.join(chosen, "h").where(f"component != _c AND 4 * least(n, _n) >= 3 * greatest(n, _n) AND {_POSSIBLE}")
         pairs = across.where(later).select(F.col("sid").alias("x"), F.col("_sid").alias("c"), F.col("n").alias("nx"), F.col("_n").alias("nc")).distinct()
         links = stored(_verify(pairs, fragments), "found-links")
@@ -275,6 +292,8 @@ def _classes(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
             joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
             merged = connect(joined).withColumnRenamed("node", "component")
             component = stored(component.join(merged, "component", "left").select("sid", F.coalesce("label", "component").alias("component")), "components")
+        if limit >= most:
+            return component
         # a closed block stays closed: components only grow
         blocks = live.drop("component", "_m")
         done, limit = limit, limit * GROWTH
@@ -285,15 +304,16 @@ def classified(docs: DataFrame) -> DataFrame:
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     hashed = read.withColumn("th", F.xxhash64("text"))
-    keys = stored(hashed.mapInArrow(_keys, f"doc_id {kind}, th long, n_shingles long, sid long"), "sets")
+    keys = stored(hashed.mapInArrow(_keys, f"doc_id {kind}, th long, n_shingles long, sid long, head array<bigint>"), "sets")
     sets = keys.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.min("th").alias("th"))
-    blocks = stored(_blocks(read, sets.select("sid", "n")), "blocks")
-    shared = blocks.groupBy("h").agg(F.count("*").alias("_m")).where("_m > 1").select("h")
-    blocks = stored(blocks.join(shared, "h"), "shared-blocks")
+    likely = stored(_likely(keys.where("head IS NOT NULL").select("sid", "head"), sets.select("sid", "n")), "likely-sets")
     # one text of each set; equal texts are reduced before the exchange
-    wanted = sets.select("sid", "th").join(blocks.select("sid").distinct(), "sid")
+    wanted = sets.select("sid", "th").join(likely.select("sid"), "sid")
     texts = hashed.groupBy("th").agg(F.any_value("text").alias("text")).join(wanted, "th").select("sid", "text")
     fragments = _bucketed(texts, partitions(docs))
+    blocks = stored(_blocks(fragments.select("sid", F.flatten("parts").alias("head")), likely), "blocks")
+    shared = blocks.groupBy("h").agg(F.count("*").alias("_m")).where("_m > 1").select("h")
+    blocks = stored(blocks.join(shared, "h"), "shared-blocks")
     component = _classes(blocks, fragments)
     named = sets.join(component, "sid", "left").select("sid", "first", F.coalesce("component", "sid").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
