@@ -423,3 +423,22 @@ def test_jaccard_edited_copies_do_not_meet_in_pairs(spark, monkeypatch):
     found = rows_of(jaccard_join.components(frame(spark, rows)))
     assert found == _classes(rows)
     assert sum(pairs) <= 4 * len(rows)
+
+
+def test_lines_of_pages_are_moved_compressed(spark, monkeypatch):
+    """The lines of a page are stored and exchanged in less than half of their bytes; the text is whole."""
+    body = ["".join(f"<p>paragraph {p} of page {i} with some usual words in it</p>" for p in range(60)) for i in range(6)]
+    sizes, store = [], page_difference.stored
+
+    def measuring(df, purpose):
+        out = store(df, purpose)
+        if purpose == "page-lines":
+            sizes.append(out.select(F.sum(F.octet_length("lines"))).first()[0])
+        return out
+
+    monkeypatch.setattr(page_difference, "stored", measuring)
+    rows = [(i, f"http://h{i}.example/a", f"<html><body><article>{b}</article></body></html>") for i, b in enumerate(body)] + [(9, "http://h9.example/a", None)]
+    got = page_difference.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {i: "\n".join(f"paragraph {p} of page {i} with some usual words in it" for p in range(60)) for i in range(6)} | {9: ""}
+    assert {r.page_id: r.text for r in got} == want
+    assert 0 < sizes[0] < sum(map(len, want.values())) / 2

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -176,7 +177,7 @@ def _own_text(lines: list[tuple[str, bool]], neighbours: list[list[tuple[str, bo
     return "\n".join(line for line, _ in lines)
 
 
-_ROW = "url string, host string, path string, lines array<string>, protected array<boolean>, part long"
+_ROW = "url string, host string, path string, lines binary, protected array<boolean>"  # lines: compressed, joined by line feeds; null without any
 
 
 def _runs(batches, columns, same="lines"):
@@ -196,6 +197,15 @@ def _runs(batches, columns, same="lines"):
         yield run
 
 
+def _opened(batches):
+    """Batches with their lines as text again, a few pages at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), 256):
+            some = batch.slice(start, 256)
+            text = [zlib.decompress(x.as_buffer()).decode() if x.is_valid else "" for x in some.column("lines")]
+            yield some.set_column(some.schema.get_field_index("lines"), "lines", pa.array(text, pa.string()))
+
+
 def _edges(batches):
     """Of each partition the first two runs of its first host and the last two of its last, and whether it has that host only."""
     def emit(runs):
@@ -254,12 +264,13 @@ def extract(pages: DataFrame) -> DataFrame:
             for start in range(0, len(batch), 256):
                 some = batch.slice(start, 256)
                 found = [page_lines(page.as_py()) for page in some.column("html")]
+                texts = ["\n".join(x for x, _ in f).encode() for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns[:4], pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())), pa.array([[x for _, x in f] for f in found], pa.list_(pa.bool_())),
-                     pa.array([hashlib.sha256("\n".join(x for x, _ in f).encode()).hexdigest() if f else None for f in found], pa.string())],
+                    [*some.columns[:4], pa.array([zlib.compress(x) if x else None for x in texts], pa.binary()), pa.array([[x for _, x in f] for f in found], pa.list_(pa.bool_())),
+                     pa.array([hashlib.sha256(x).hexdigest() if x else None for x in texts], pa.string())],
                     ["page_id", "url", "host", "path", "lines", "protected", "digest"])
 
-    parsed = keyed.mapInArrow(read, f"page_id {kind}, {_ROW.removesuffix(', part long')}, digest string")
+    parsed = keyed.mapInArrow(read, f"page_id {kind}, {_ROW}, digest string")
     order = ["host", "path", "page_id"]
     placed = stored(parsed.repartitionByRange(partitions(pages), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
                     .withColumn("part", F.shiftright("_at", 33)), "page-lines")
@@ -274,13 +285,13 @@ def extract(pages: DataFrame) -> DataFrame:
     lent = placed.select("host", "path", "lines", "_at").join(F.broadcast(lent), "_at").select(  # at most four pages a part
         F.lit(None).cast(kind).alias("page_id"), F.lit(None).cast("string").alias("url"), "host", "path", "lines", F.lit(None).cast("array<boolean>").alias("protected"),
         F.lit(None).cast("long").alias("_at"), F.col("_to").alias("part"), "side")
-    aligned = in_order(placed.drop("digest").withColumn("side", F.when(F.size("lines") > 0, 1).otherwise(3)).unionByName(lent))
+    aligned = in_order(placed.drop("digest").withColumn("side", F.when(F.col("lines").isNotNull(), 1).otherwise(3)).unionByName(lent))
     columns = ["page_id", "url", "host", "path", "lines", "protected", "part", "side"]
 
     def difference(batches):
         """A run is emitted when the run after it is known."""
         before = current = None
-        for run in _runs(batches, columns):
+        for run in _runs(_opened(batches), columns):
             if current:
                 yield from finish(before, current, run)
             before, current = current, run
@@ -291,12 +302,12 @@ def extract(pages: DataFrame) -> DataFrame:
         # where lines are equal a lent run cannot stand beside this one, so every neighbour is a different page
         beside = [(n["lines"], n["members"][at]["path"]) for n, at in ((before, -1), (after, 0)) if n and n["lines"] and (n["part"], n["host"]) == (run["part"], run["host"])]
         own = [m for m in run["members"] if m["side"] in (1, 3)]
-        rows, texts = [], {}
+        rows, texts, lines = [], {}, run["lines"].split("\n") if run["lines"] else []
         for m in own:
             near = max(range(len(beside)), key=lambda i: _common(beside[i][1], m["path"]), default=None)  # the first of equally near ones
             key = near, tuple(m["protected"])
             if key not in texts:
-                texts[key] = _own_text(list(zip(m["lines"], m["protected"])), [] if near is None else [[(x, False) for x in beside[near][0]]])
+                texts[key] = _own_text(list(zip(lines, m["protected"])), [] if near is None else [[(x, False) for x in beside[near][0].split("\n")]])
             rows.append((m["page_id"], m["url"], texts[key], len(texts[key])))
         for start in range(0, len(rows), 256):
             yield emit(rows[start:start + 256])
