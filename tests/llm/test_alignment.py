@@ -79,3 +79,24 @@ def test_products():
         again = np.zeros((shape[1], shape[0]), int)
         again[back.row, back.column] = back.value
         assert (again == x.T).all()
+
+
+def test_common_letters_are_encoded_by_the_second_library():
+    """The same ids as by tokenizers, which is asked only for long texts and rare letters."""
+    coders = Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    usual = ["It's plain text, isn't it?  12 345", "Été à l'œuvre, größer; Привет", "a <|endoftext|> b", " \t\n\r\n  x  \x85 y\x1c\x00z ", "", "x" * 3000, " " * 120_000 + "y"]
+    rare = ["漢字 と かな", "emoji 🙂 — dash", "w " * 70_000]
+    asked = []
+
+    class Watched:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return own.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    own, coders.a = coders.a, Watched()
+    whole = [e.ids for e in own.encode_batch_fast([" " + t for t in usual + rare], add_special_tokens=False)]
+    for text, ids, (a, _) in zip(usual + rare, whole, coders.encode(usual + rare)):
+        assert a in (ids, [])
+    for text, ids in zip(usual, whole):
+        assert coders.fast_a.encode_ordinary(" " + text) == ids
+    assert asked == [" " + t for t in rare]

@@ -1,6 +1,7 @@
 """Alignment of two tokenizers by sparse products of token-byte incidence matrices.
 
-Each text is encoded twice.  A tokenization is a matrix in CSR form: one row per token, one column per byte, ones where the token
+Each text is encoded twice (the byte-level vocabulary A by a second library with the same ids where a text is short and of common
+letters).  A tokenization is a matrix in CSR form: one row per token, one column per byte, ones where the token
 covers the byte.  Gustavson's row products A . B^T give for every token of A the tokens of B whose bytes overlap its own (the value
 is the number of shared bytes): the overlap links.  Byte offsets where tokens of both end cut the tokens into groups; the product of
 the two group incidences gives the shared-group links, of which only the row sizes are formed (the symbolic half of the product), as
@@ -33,6 +34,7 @@ from watchhouse.llm.common import stored, worker_cache
 CHUNK_BYTES = 8 << 20  # text of a chunk, or one document
 SLICE_BYTES = 1 << 20  # text encoded and multiplied at a time
 ID_BITS = 20
+LONG_TEXT = 1 << 17  # bytes; beyond them, and from U+0500 on, where tables of letters may differ, A's own library encodes
 
 
 @dataclass
@@ -87,6 +89,7 @@ class Tokenizers:
 
     def __init__(self, byte_bpe: str, piece_bpe: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor already use its cores
@@ -95,13 +98,17 @@ class Tokenizers:
         self.a.no_padding()
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         with open(byte_bpe, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            described = json.load(file)
+        vocabulary, special = described["model"]["vocab"], {t["content"] for t in described.get("added_tokens") or []}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = sorted(set(range(256)) - set(plain))
         byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        ranks = {self.a_bytes[i]: i for token, i in vocabulary.items() if token not in special}
+        self.fast_a = tiktoken.Encoding("alignment", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
@@ -113,11 +120,14 @@ class Tokenizers:
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of each text by both, empty where there are no tokens by definition."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        wholes = [(" " + t).encode() for t in texts]
+        fast = [len(w) <= LONG_TEXT and int(np.frombuffer(w, np.uint8).max()) < 0xD4 for w in wholes]
+        slow = [" " + t for t, f in zip(texts, fast) if not f]
+        rest = iter(self.a.encode_batch_fast(slow, add_special_tokens=False) if slow else [])
+        a = [self.fast_a.encode_ordinary(" " + t) if f else next(rest).ids for t, f in zip(texts, fast)]
         b = self.b.encode(texts, num_threads=1)
         out = []
-        for text, x, y in zip(texts, a, b):
-            whole = (" " + text).encode()
+        for text, whole, x, y in zip(texts, wholes, a, b):
             fits = text and b"".join(map(self.a_bytes.__getitem__, x)) == whole and b"".join(map(self.b_bytes.__getitem__, y)) == whole
             out.append((x, y) if fits else ([], []))
         return out
