@@ -102,6 +102,19 @@ def test_rules_come_and_go_between_runs(spark, tmp_path):
     assert got == [("long", "x", 0, 50), ("long", "y", 51, 55), ("long", "y", 51, 200), ("new", "x", 60, 300), ("three", "x", 0, 60)]
 
 
+def test_sequence_triggers_are_not_broadcast(spark, tmp_path):
+    """The last batch has no new rows and finds the chains of all that waited: the rules go to them, not they to the rules."""
+    schema = "src_ip string, event_id string, received_at timestamp"
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _append(spark, path, [("x", "a", T0), ("x", "b", _second(10)), ("end", "a", _second(100_000))], schema)
+    events = spark.readStream.schema(schema).parquet(path).selectExpr("*", "'h' AS source_host")
+    started = rules.sequence_stream(events, _ab()).writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out)
+    started.awaitTermination()
+    plan = started._jsq.explainInternal(False)
+    assert started.lastProgress["numInputRows"] == 0 and "BuildRight" in plan and "BuildLeft" not in plan, plan
+    assert [(r["src_ip"], r["last_seen"]) for r in spark.read.parquet(out).collect()] == [("x", _second(10))]
+
+
 def test_sequence_calls_grow_with_groups():
     """1 200 instants of one group, each in a bucket of its own: a timer for the first bucket and one for the cleanup."""
     from types import SimpleNamespace

@@ -159,7 +159,8 @@ def sequence_streams(events: DataFrame, rules: Sequence[Rule], delay: str = "1 m
     params = events.sparkSession.createDataFrame(
         [(r.id, r.name, r.severity, r.group_by, r.window_seconds, len(r.body["steps"])) for r in rules],
         "rule_id string, name string, severity string, group_column string, window_seconds bigint, event_count int")
-    seen = found.join(params, "rule_id").withColumns({"first_seen": F.timestamp_micros("first"), "last_seen": F.timestamp_micros("last")})
+    # named as the small side: in a batch without new rows the optimizer takes the triggers of all waiting rows for an empty table
+    seen = found.join(F.broadcast(params), "rule_id").withColumns({"first_seen": F.timestamp_micros("first"), "last_seen": F.timestamp_micros("last")})
     text = lambda name: F.col(name).cast("string")
     return as_triggers(
         seen, rule_id=F.col("rule_id"), severity=F.col("severity"), name=F.col("name"), group_column=F.col("group_column"), group=shown(F.col("grp")),
