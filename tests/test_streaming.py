@@ -3,6 +3,7 @@
 import os
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,83 @@ def test_sequence_calls_grow_with_groups():
     assert not timers and state.state.get() is None and not state.waiting.values and len(calls) < 12
 
 
+def test_sequence_calls_do_not_grow_with_groups():
+    """300 groups of one shard in random micro-batches, each late row in time: the chains of a walk over all rows, a few calls a batch, nothing kept."""
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    calls, timers, bucket, window = [], set(), 30_000, 500 * 1_000_000
+
+    class Stored:
+        def __init__(self, empty):
+            self.value, self.empty = empty(), empty
+
+        def get(self):
+            return self.value if self.empty is not list else iter(self.value)
+
+        def put(self, value):
+            calls.append("put")
+            self.value = value
+
+        def appendValue(self, value):
+            self.put([*self.value, value])
+
+        def clear(self):
+            self.put(self.empty())
+
+        update = put
+
+    state = rules._SequenceState()
+    state.init(SimpleNamespace(getValueState=lambda *a: Stored(lambda: None), getListState=lambda *a: Stored(list), registerTimer=timers.add))
+    draw = random.Random(4)
+    rows = [(f"g{draw.randrange(300)}", draw.randrange(4000) * 1_000_000, 1 << draw.randrange(3)) for _ in range(6000)]
+    rows.sort(key=lambda r: r[1] + draw.randrange(60_000_000))  # up to a minute late
+    found = []
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+
+    def batch(part, watermark):
+        frame = pd.DataFrame(part, columns=["grp", "at", "steps"]).assign(n_steps=3, window=window, bucket=bucket)
+        list(state.handleInputRows(("r", 7), iter([frame[:100], frame[100:]]), at(watermark)))
+        for t in sorted(t for t in timers if t <= watermark):
+            timers.discard(t)
+            for f in state.handleExpiredTimer(("r", 7), at(watermark), SimpleNamespace(getExpiryTimeInMs=lambda t=t: t)):
+                assert set(f["rule_id"]) == {"r"}
+                found.extend(f[["grp", "first", "last"]].itertuples(index=False, name=None))
+
+    for low in range(0, len(rows), 300):
+        batch(rows[low:low + 300], max(0, max([r[1] for r in rows[:low]], default=0) // 1000 - 60_000))
+    for watermark in (4_100_000, 10_000_000):  # the rest, then the chains that are kept
+        batch([], watermark)
+    wanted = []
+    for grp in {r[0] for r in rows}:
+        reached = [None] * 3
+        marks = {}
+        for _, moment, step in (r for r in rows if r[0] == grp):
+            marks[moment] = marks.get(moment, 0) | step
+        for moment in sorted(marks):
+            starts = [moment, *reached[:2]]
+            for k in range(3):
+                if marks[moment] >> k & 1 and starts[k] is not None and moment - starts[k] <= window:
+                    reached[k] = starts[k]
+                    wanted += [(grp, starts[k], moment)] * (k == 2)
+    assert sorted(found) == sorted(wanted) and len(wanted) > 200
+    assert len(calls) < 200 and not timers and state.state.value is None and not state.waiting.value and not state.chains.value
+
+
+def test_sequence_state_in_parts():
+    """Values of a bounded size; a group may go on in the next one."""
+    names, at, steps = ["b", "a", "b", "b", "c", "b"], [3, 1, 1, 3, 9, 2], [1, 2, 4, 2, 1, 8]
+    grouped = rules._by_group(np.array(names, object), np.array(at), np.array(steps))
+    for most in (1, 2, 3, 5, 100):
+        parts = rules._parts(*grouped, most)
+        assert all(len(p[2]) <= most and sum(p[1]) == len(p[2]) and min(p[1]) > 0 for p in parts)
+        back = [x.tolist() for x in rules._instants(parts)]
+        assert list(zip(*back)) == [("b", 1, 4), ("b", 2, 8), ("b", 3, 3), ("a", 1, 2), ("c", 9, 1)]
+    assert rules._chain_parts({"a": [1, None], "b": [2, 1]}, 1) == [(["a"], [1, None]), (["b"], [2, 1])]
+
+
 def test_absence_reports_every_silent_tick(spark):
     from watchhouse.plans.threshold import absence_ticks
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 from operator import add, or_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from watchhouse.plans.triggers import as_triggers, shown
 from watchhouse.streaming.ingest import trigger
 
 REAL_TIME_SECONDS = 30
+SEQUENCE_SHARDS = 1024
 
 
 def blacklist_stream(events: DataFrame, blacklists: DataFrame, rule: Rule) -> DataFrame:
@@ -42,41 +45,46 @@ def blacklist_stream(events: DataFrame, blacklists: DataFrame, rule: Rule) -> Da
 
 
 class _SequenceState(StatefulProcessor):
-    """Per rule and group: instants that wait for the watermark, and per step the latest start of a chain that has reached it.
-
-    Rows wait until the watermark has passed the end of their bucket of event time and are then walked in time order, so the order
-    of arrival does not matter.  Steps are strictly ordered in time: an instant extends only chains of earlier instants.  A group
-    has a timer for the first bucket that waits, not one for each: whatever is due by then is walked in one go, so calls to
-    the state grow with groups and micro-batches, not with instants.  State is cleared a window after the last row of a group.  The
-    number of steps, the window and the bucket come with the rows, so one operator serves rules of all kinds; a rule that has
-    got other steps starts anew.
+    """Per rule and shard of its groups: instants that wait for the watermark, and per group and step the latest start of a chain that has reached it.
+
+    Rows wait until the watermark has passed the end of their bucket of event time and are then walked in time order, group by
+    group, so the order of arrival does not matter.  Steps are strictly ordered in time: an instant extends only chains of earlier
+    instants.  A shard holds many groups, as a call costs some milliseconds, many times what the rows of a group do; rows without a
+    column ``grp`` are of the one group that the key names.  A shard has a timer for the first bucket that waits: whatever is due by
+    then is walked in one go, so calls grow with shards and micro-batches, not with groups or instants.  Chains are dropped a window
+    after their latest start.  The number of steps, the window and the bucket come with the rows, so one operator serves rules of
+    all kinds; a rule that has got other steps starts anew.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("chain", "steps int, window bigint, bucket bigint, at bigint, reached array<bigint>")
-        self.waiting = handle.getListState("waiting", "at array<bigint>, steps array<bigint>")
+        self.state = handle.getValueState("rule", "steps int, window bigint, bucket bigint, sweep bigint")
+        self.waiting = handle.getListState("waiting", "grp array<string>, size array<int>, at array<bigint>, steps array<bigint>")
+        self.chains = handle.getListState("chains", "grp array<string>, reached array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        fresh: dict[int, int] = {}
+        parts = []
         rule = None
         for part in rows:
             if len(part):
                 rule = tuple(int(part[name].iloc[-1]) for name in ("n_steps", "window", "bucket"))
-                for at, steps in zip(part["at"].tolist(), part["steps"].tolist()):
-                    if _bucket_end(at, rule[2]) > watermark:
-                        fresh[at] = fresh.get(at, 0) | steps
+                fresh = part[_bucket_end(part["at"], rule[2]) > watermark]
+                if len(fresh):
+                    names = fresh["grp"].to_numpy(object) if "grp" in fresh else np.full(len(fresh), key[1], object)
+                    parts.append((names, fresh["at"].to_numpy(), fresh["steps"].to_numpy()))
         if rule is None:
             return iter([])
         saved = self.state.get()
         if saved is None or tuple(saved[:3]) != rule:
-            kept = tuple(saved[3:]) if saved and saved[0] == rule[0] else (None, None)
-            self.state.update((*rule, *kept))
-        if fresh:
-            for part in _parts(sorted(fresh.items())):
-                self.waiting.appendValue(part)
-            self.handle.registerTimer(_bucket_end(min(fresh), rule[2]))
+            if saved and saved[0] != rule[0]:
+                self.chains.clear()
+            self.state.update((*rule, saved[3] if saved else None))
+        if parts:
+            names, at, steps = map(np.concatenate, zip(*parts))
+            for value in _parts(*_by_group(names, at, steps)):
+                self.waiting.appendValue(value)
+            self.handle.registerTimer(_bucket_end(int(at.min()), rule[2]))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -84,37 +92,44 @@ class _SequenceState(StatefulProcessor):
         if saved is None:
             return
         watermark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        count, window, bucket, last, reached = saved
-        reached = list(reached) if reached else [None] * count
-        due: dict[int, int] = {}
-        later: dict[int, int] = {}
-        for instants, masks in self.waiting.get():
-            for at, steps in zip(instants, masks):
-                marks = due if _bucket_end(at, bucket) <= watermark else later
-                marks[at] = marks.get(at, 0) | steps
+        count, window, bucket, sweep = saved
+        names, at, steps = _instants(self.waiting.get())
+        due = _bucket_end(at, bucket) <= watermark
+        later = ~due
+        chains = {grp: reached[k * count:(k + 1) * count] for groups, reached in self.chains.get() for k, grp in enumerate(groups)}
+        before = len(chains)
         found = []
-        for at, steps in sorted(due.items()):
-            starts = [at, *reached[:-1]]
-            for k, start in enumerate(starts):
-                if steps >> k & 1 and start is not None and (k == 0 or start < at) and at - start <= window:
-                    reached[k] = start if reached[k] is None else max(reached[k], start)
-                    if k == count - 1:
-                        found.append((*key, start, at))
-        if due:
-            last = max(due)
-            if later:
-                self.waiting.put(_parts(sorted(later.items())))
+        if due.any():
+            groups, sizes, instants, masks = _by_group(names[due], at[due], steps[due])
+            marks = zip(instants.tolist(), masks.tolist())
+            for grp, size in zip(groups, sizes.tolist()):
+                reached = chains.setdefault(grp, [None] * count)
+                for moment, mask in islice(marks, size):
+                    starts = [moment, *reached[:-1]]
+                    for k, start in enumerate(starts):
+                        if mask >> k & 1 and start is not None and (k == 0 or start < moment) and moment - start <= window:
+                            reached[k] = start if reached[k] is None else max(reached[k], start)
+                            if k == count - 1:
+                                found.append((key[0], grp, start, moment))
+            if later.any():
+                self.waiting.put(_parts(*_by_group(names[later], at[later], steps[later])))
             else:
                 self.waiting.clear()
-        if later:
-            self.handle.registerTimer(_bucket_end(min(later), bucket))
-        # rows to come lie a bucket before the watermark at most: no chain of a window before that goes on
-        elif last is None or last + window < (watermark - bucket) * 1000:
+        # rows to come lie a bucket before the watermark at most: no chain whose latest start lies a window before that goes on
+        chains = {grp: reached for grp, reached in chains.items() if reached[0] is not None and reached[0] + window >= (watermark - bucket) * 1000}
+        if due.any() or len(chains) < before:
+            if chains:
+                self.chains.put(_chain_parts(chains))
+            else:
+                self.chains.clear()
+        if later.any():
+            self.handle.registerTimer(_bucket_end(int(at[later].min()), bucket))
+        elif not chains:
             self.state.clear()
-        else:
-            self.handle.registerTimer((last + window) // 1000 + bucket + 1)
-        if due and (later or last + window >= (watermark - bucket) * 1000):
-            self.state.update((count, window, bucket, last, reached))
+        elif sweep is None or sweep <= watermark:
+            sweep = (max(reached[0] for reached in chains.values()) + window) // 1000 + bucket + 1
+            self.handle.registerTimer(sweep)
+            self.state.update((count, window, bucket, sweep))
         if found:
             yield pd.DataFrame(found, columns=["rule_id", "grp", "first", "last"])
 
@@ -122,21 +137,55 @@ class _SequenceState(StatefulProcessor):
         pass
 
 
-def _bucket_end(at: int, bucket: int) -> int:
+def _bucket_end(at, bucket: int):
     """End of the bucket of event time, in milliseconds, that an instant (microseconds) lies in."""
     return (at // 1000 // bucket + 1) * bucket
 
 
-def _parts(marks: list[tuple[int, int]], most: int = 65_536) -> list[tuple[list[int], list[int]]]:
-    """Instants and their steps as values of a list state."""
-    cut = [marks[low:low + most] for low in range(0, len(marks), most)]
-    return [([at for at, _ in part], [steps for _, steps in part]) for part in cut]
+def _by_group(names: np.ndarray, at: np.ndarray, steps: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of group and time, one an instant: the groups, the number of their instants, the instants and their steps."""
+    codes, groups = pd.factorize(names)
+    order = np.lexsort((at, codes))
+    codes, at, steps = codes[order], at[order], steps[order]
+    begin = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])]))
+    return groups.tolist(), np.bincount(codes[begin]), at[begin], np.bitwise_or.reduceat(steps, begin)
+
+
+def _parts(groups: list[str], sizes: np.ndarray, at: np.ndarray, steps: np.ndarray, most: int = 65_536) -> list[tuple]:
+    """What ``_by_group`` returns as values of a list state; a group may go on in the next one."""
+    ends = np.cumsum(sizes)
+    cut = []
+    for low in range(0, len(at), most):
+        high = min(low + most, len(at))
+        first, last = np.searchsorted(ends, [low, high - 1], side="right")
+        those = slice(first, last + 1)
+        inside = np.minimum(ends[those], high) - np.maximum(ends[those] - sizes[those], low)
+        cut.append((groups[those], inside.tolist(), at[low:high].tolist(), steps[low:high].tolist()))
+    return cut
+
+
+def _instants(values) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, instant and steps of everything in a list state of ``_parts``."""
+    names, at, steps = [np.empty(0, object)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for groups, sizes, instants, masks in values:
+        names.append(np.repeat(np.array(groups, object), sizes))
+        at.append(np.array(instants, np.int64))
+        steps.append(np.array(masks, np.int64))
+    return np.concatenate(names), np.concatenate(at), np.concatenate(steps)
+
+
+def _chain_parts(chains: dict[str, list], most: int = 65_536) -> list[tuple[list[str], list]]:
+    """Groups and, one after the other, what each has reached, as values of a list state."""
+    items = list(chains.items())
+    cut = [items[low:low + most] for low in range(0, len(items), most)]
+    return [([grp for grp, _ in part], [start for _, reached in part for start in reached]) for part in cut]
 
 
-def sequence_streams(events: DataFrame, rules: Sequence[Rule], delay: str = "1 minute") -> DataFrame:
+def sequence_streams(events: DataFrame, rules: Sequence[Rule], delay: str = "1 minute", shards: int = SEQUENCE_SHARDS) -> DataFrame:
     """One trigger per completed chain end of every rule, with the latest start that leads to it: one stream for all rules.
 
-    An event is expanded to the rules it matches a step of; state is keyed by (rule, group).  Rules are read when the query starts: one
+    An event is expanded to the rules it matches a step of; state is keyed by rule and shard of its groups.  ``shards`` should be well
+    above the number of partitions and stay the same as long as a checkpoint is used.  Rules are read when the query starts: one
     started again from its checkpoint with other rules keeps the state of those it knows, begins new ones and reports no more of
     those that are gone.  A completion is reported when the watermark has passed its bucket (the
     rule cadence); rows more than ``delay`` late are dropped.  Needs the RocksDB state store.
@@ -154,7 +203,7 @@ def sequence_streams(events: DataFrame, rules: Sequence[Rule], delay: str = "1 m
     # only rows that match a step reach the state, and move the watermark on; one without a time has no place in a sequence
     rows = events.filter(F.coalesce(*hits).isNotNull() & F.col("received_at").isNotNull()).withWatermark("received_at", delay).select(
         "received_at", F.unix_micros("received_at").alias("at"), F.inline(F.array_compact(F.array(*hits))))
-    found = rows.groupBy("rule_id", "grp").transformWithStateInPandas(
+    found = rows.withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards)).cast("int")).groupBy("rule_id", "shard").transformWithStateInPandas(
         _SequenceState(), "rule_id string, grp string, first bigint, last bigint", "append", "eventTime")
     params = events.sparkSession.createDataFrame(
         [(r.id, r.name, r.severity, r.group_by, r.window_seconds, len(r.body["steps"])) for r in rules],
